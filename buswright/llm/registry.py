@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, mixing, piece_bpe
+from buswright.llm import exact_dedup, mixing, piece_bpe, token_store
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op5_token_store": token_store.op5_token_store,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
