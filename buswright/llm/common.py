@@ -57,9 +57,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one slice holds about ``most`` bytes of ``column``, or
-    a single row where that row alone is longer."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one slice holds at most ``rows`` rows and about ``most``
+    bytes of ``column``, or a single row where that row alone is longer."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(sizes, sizes[start] + most, side="right")) - 1
-            stop = min(max(stop, start + 1), batch.num_rows)
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -141,3 +141,18 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def row_starts(rows: np.ndarray, count: int) -> np.ndarray:
     """Where each of ``count`` rows begins in the sorted row numbers ``rows``; one end more."""
     return np.searchsorted(rows, np.arange(count + 1))
+
+
+def sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """Rows of a labelled table, about ``most`` of each label's at the most.
+
+    A row is taken by the hash of its doc_id, so reruns agree. Counts cover all
+    rows; labels are few, and there is one row for each in what is broadcast.
+    """
+    counts = rows.groupBy(label).count().select(label, (F.lit(float(most)) / F.col("count")).alias("__share"))
+    unit = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 11) / F.lit(float(1 << 53))
+    return rows.join(F.broadcast(counts), label).where(unit < F.col("__share")).drop("__share")
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))

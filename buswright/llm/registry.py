@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, mixing, piece_bpe, token_store
+from buswright.llm import exact_dedup, mixing, piece_bpe, token_store, toxicity
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
     "op5_token_store": token_store.op5_token_store,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
+    "op8_toxic_spans": toxicity.op8_toxic_spans,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
