@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, language, mixing, piece_bpe, quality, token_store, toxicity
+from buswright.llm import exact_dedup, language, minhash, mixing, piece_bpe, quality, token_store, toxicity
 
 QUERIES = {
     "op1_language_codes": language.op1_language_codes,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_quality_network": quality.op3_quality_network,
+    "op4_minhash": minhash.op4_minhash,
     "op5_token_store": token_store.op5_token_store,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
     "op8_toxic_spans": toxicity.op8_toxic_spans,
