@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, language, minhash, mixing, piece_bpe, quality, token_store, toxicity
+from buswright.llm import exact_dedup, language, minhash, mixing, piece_bpe, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_language_codes": language.op1_language_codes,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_network": quality.op3_quality_network,
     "op4_minhash": minhash.op4_minhash,
     "op5_token_store": token_store.op5_token_store,
+    "op6_warc_chunks": warc.op6_warc_chunks,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
     "op8_toxic_spans": toxicity.op8_toxic_spans,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_source_mix": mixing.OP2_SQL,
+    "op6_warc_chunks": warc.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
