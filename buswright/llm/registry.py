@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, language, minhash, mixing, piece_bpe, quality, token_store, toxicity, warc
+from buswright.llm import exact_dedup, language, minhash, mixing, ngram_join, piece_bpe, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_language_codes": language.op1_language_codes,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
     "op8_toxic_spans": toxicity.op8_toxic_spans,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE_SQL = {
