@@ -125,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 400) -> Ne
     """Learn from four fifths of the rows and fit the temperature on the rest."""
     rng = np.random.default_rng(3)
     x = x.astype(np.float64)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    centre, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     layers = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(())]
     net = Network(centre, scale, layers)
     if not len(y) or y.min() == y.max():
