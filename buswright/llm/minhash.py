@@ -5,7 +5,7 @@ A text's shingles are its runs of five words (a shorter text is one shingle).
 ``a``, permute the shingle hashes; a fingerprint is the smallest value of each,
 so two fingerprints agree in about the share of places that is the Jaccard
 similarity of their texts. Bands of the fingerprint are joined in Spark to find
-near copies, and each pair found is verified on the shingles themselves.
+near copies, which are verified on the shingles themselves (:mod:`buswright.llm.near_copies`).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buswright.llm.common import lower_ascii, materialise, mixed, row_starts, slices, table, text_or_empty, utf8, word_bounds, word_hashes
+from buswright.llm.common import lower_ascii, mixed, row_starts, slices, table, text_or_empty, utf8, word_bounds, word_hashes
 
 PERMUTATIONS, SHINGLE, SEED = 64, 5, 20_240_229
 BANDS, ROWS = 16, 4
@@ -155,51 +155,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Near copies found by joining bands: one row a document, with doc_id, class_id and similarity.
+def bands(docs: DataFrame) -> DataFrame:
+    """sig, doc, n, own: an index entry for each band of each document's fingerprint.
 
-    ``class_id`` is the smallest doc_id among documents that share a band with this
-    one in a chain of best matches of one step: the document's bands are joined to
-    the smallest doc_id of each band bucket, and the smallest whose shingles have a
-    verified Jaccard similarity of at least ``similarity`` with its own is taken;
-    without one a document is its own class. So a bucket of n documents gives n
-    pairs. Texts without words match nothing. Rows need distinct doc_ids; null
-    doc_ids are left out. Bands miss a pair of similarity 0.8 once in about 4,000.
+    Texts without words and null doc_ids have none. n is the number of distinct
+    shingles; own, of no use to bands, is 0.
     """
-    slim = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1_000_000):
             keys, bounds = shingles(part.column("text"))
             some = np.flatnonzero(np.diff(bounds) > 0)
             rows = signatures(part.column("text"))[some].astype(np.uint64)
-            bands = np.zeros((len(some), BANDS), np.uint64)
+            found = np.zeros((len(some), BANDS), np.uint64)
             for b in range(BANDS):
                 for r in range(ROWS):
-                    bands[:, b] = mixed(bands[:, b] * np.uint64(0x9E3779B97F4A7C15) + rows[:, b * ROWS + r] + np.uint64(b + 1))
-            sets = [np.unique(keys[bounds[i] : bounds[i + 1]]).tobytes() for i in some.tolist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), lists, pa.array(sets, pa.binary())], names=["doc_id", "bands", "shingles"])
-
-    marked = materialise(slim.mapInArrow(run, "doc_id long, bands array<long>, shingles binary"), "minhash")
-    banded = marked.select("doc_id", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("doc_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = banded.join(first, "band").where("other < doc_id").select("doc_id", "other").distinct()
-    pairs = pairs.join(marked.select("doc_id", F.col("shingles").alias("a")), "doc_id")
-    pairs = pairs.join(marked.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b")), "other")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "other", "similarity"])
-
-    checked = pairs.select("doc_id", "other", "a", "b").mapInArrow(verify, "doc_id long, other long, similarity double").where(F.col("similarity") >= similarity)
-    best = checked.groupBy("doc_id").agg(F.min(F.struct("other", "similarity")).alias("m"))
-    return slim.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("m.other", "doc_id").alias("class_id"), F.col("m.similarity").alias("similarity"))
+                    found[:, b] = mixed(found[:, b] * np.uint64(0x9E3779B97F4A7C15) + rows[:, b * ROWS + r] + np.uint64(b + 1))
+            size = np.array([len(np.unique(keys[bounds[i] : bounds[i + 1]])) for i in some.tolist()], np.int64)
+            ids = part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(some, BANDS)))
+            columns = [pa.array(found.reshape(-1).view(np.int64)), ids, pa.array(np.repeat(size, BANDS)), pa.array(np.zeros(len(some) * BANDS, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "doc", "n", "own"])
+
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "sig long, doc long, n long, own int")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
