@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from buswright.llm.common import materialise
 
+#: Names of up to this many nodes are sent to all tasks (some 40 MB); more are joined by a shuffle.
+_BROADCAST_ROWS = 1_000_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node that has a link; a component is named by its smallest node.
@@ -17,15 +20,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A node with very many links is combined in each task before the shuffle.
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    pairs = materialise(pairs.union(pairs.select("other", "node")).distinct(), "links")
+    pairs = materialise(pairs.union(pairs.select("other", "node")), "links")
     names = materialise(pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "names")
-    while True:
-        seen = pairs.join(names.select(F.col("node").alias("other"), "component"), "other").select("node", "component")
-        lower = seen.union(names).groupBy("node").agg(F.min("component").alias("near"))
+    nodes = names.count()
+    small = (lambda df: F.broadcast(df)) if nodes <= _BROADCAST_ROWS else (lambda df: df)
+    while nodes:
+        seen = pairs.join(small(names.select(F.col("node").alias("other"), "component")), "other").select("node", "component", F.lit(None).cast("long").alias("before"))
+        lower = seen.union(names.select("node", "component", F.col("component").alias("before"))).groupBy("node").agg(F.min("component").alias("near"), F.max("before").alias("before"))
         jump = names.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = lower.join(jump, "near").select("node", F.least("near", "far").alias("component"))
-        old = names.select("node", F.col("component").alias("before"))
-        names = materialise(new.join(old, "node").select("node", "component", (F.col("component") != F.col("before")).alias("changed")), "names")
-        if not names.where("changed").limit(1).count():
-            return names.select("node", "component")
-        names = names.select("node", "component")
+        new = lower.join(small(jump), "near").select("node", F.least("near", "far").alias("component"), "before")
+        new = materialise(new, "names")
+        names = new.select("node", "component")
+        if not new.agg(F.count_if(F.col("component") != F.col("before"))).first()[0]:
+            break
+    return names

@@ -3,10 +3,10 @@
 Two sets with a Jaccard similarity of at least t share a token among the first
 ``p = n - ceil(t n) + 1`` of each, in any order of tokens that is the same for
 all. The order here puts rare tokens first, so most documents' prefixes hold
-only tokens of their own and meet nothing. Only a quarter of the token space,
-chosen by hash, is counted and ordered by frequency; the rest follows it in the
-order, and the few documents whose quarter is too small for a prefix go on into
-the rest.
+only tokens of their own and meet nothing. How many sets have a token is counted
+for a quarter of the token space, chosen by hash. First in the order come that
+quarter's rare tokens, then all others by their count among the documents whose
+prefix the rare ones don't fill; those are few and are read again for it.
 
 Tokens are of two kinds. A rare one is indexed by itself. Frequent ones are
 dealt by hash into groups, and pairs of tokens of the same group are indexed: two
@@ -19,10 +19,11 @@ be in.
 Documents with equal sets are one class and only its smallest doc_id is joined.
 Within a list of documents that share an index entry not all pairs are made.
 First each is compared with the list's most central document, the one with the
-smallest share of tokens of its own. Then, in lists that aren't yet in one
-component, the documents outside the central one's component are compared with
-all the others. So a group of n near copies costs about n comparisons, and no
-link between components is missed.
+smallest share of tokens of its own. Then, where lists aren't yet in one
+component, the documents that they connect form a group, and those outside its
+largest component are compared with all others of it; in large groups in blocks,
+by matrix products that give links and not pairs. So a group of n near copies
+costs about n comparisons, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from buswright.llm.minhash import shingles
 
 #: Ids up to this many are sent to all tasks (16 MB); more are joined by a shuffle.
 _BROADCAST_ROWS = 2_000_000
+#: Documents of a group that is compared pair by pair, and of one side of a block in a larger one.
+_SMALL_GROUP, _BLOCK = 64, 1024
 _QUARTER = np.uint64(1) << np.uint64(62)
 
 
@@ -80,7 +83,7 @@ def token_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, sig_a, sig_b, counted, tokens: the tokens that a prefix may need, null for
+    """doc_id, n, sig_a, sig_b, counted, tokens: the counted quarter of each set, null for
     a set that the same task has met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                     tokens.append(None)
                     continue
                 met.add(name)
-                enough = c >= rule.prefix(size) + max(rule.groups(b) for b in rule.bands(size))
-                tokens.append(keys[a : a + (c if enough else size)].view(np.int64))
+                tokens.append(keys[a : a + c].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.array(count, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "sig_a", "sig_b", "counted", "tokens"],
@@ -113,14 +115,18 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, counted long, tokens array<long>")
 
 
-def signatures(n: int, alone: int, counts: np.ndarray, tokens: np.ndarray, rule: Rule) -> np.ndarray:
-    """Index entries of one set.
+def _classes(sets: DataFrame) -> DataFrame:
+    """sig_a, sig_b, low, doc_id, n, counted: a row for each distinct set, low its smallest doc_id and doc_id
+    the smallest of those that have its tokens."""
+    with_tokens = F.when(F.col("tokens").isNotNull(), F.col("doc_id"))
+    return sets.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("low"), F.min(with_tokens).alias("doc_id"), F.min("n").alias("n"), F.min("counted").alias("counted"))
 
-    ``alone`` is how many of its counted tokens no other set has; ``tokens`` are the
-    others in the common order and ``counts`` how many sets have each (of tokens
-    outside the counted quarter 0).
+
+def signatures(n: int, need: int, counts: np.ndarray, tokens: np.ndarray, rule: Rule) -> np.ndarray:
+    """Index entries of a set of n tokens for ``need`` places of its prefix.
+
+    ``tokens`` come in the common order and ``counts`` say how many sets have each.
     """
-    need = rule.prefix(n) - alone
     if need <= 0:
         return np.zeros(0, np.uint64)
     often = counts > rule.frequent
@@ -130,15 +136,14 @@ def signatures(n: int, alone: int, counts: np.ndarray, tokens: np.ndarray, rule:
     for band in rule.bands(n):
         groups = rule.groups(band)
         group = (mixed(tokens ^ np.uint64(0xA5A5)) % np.uint64(groups)).astype(np.int64)
-        seen, got, end = [[] for _ in range(groups)], 0, 0
+        seen, got = [[] for _ in range(groups)], 0
         for end in range(len(tokens)):
             if got >= need:
                 break
             if often[end]:
                 mine = seen[group[end]]
                 got += 1 if mine else 0
-                pairs = [mixed(mixed(np.array([t], np.uint64)) + tokens[end : end + 1] + np.uint64(band))[0] for t in mine]
-                out += pairs
+                out += [mixed(mixed(np.array([t], np.uint64)) + tokens[end : end + 1] + np.uint64(band))[0] for t in mine]
                 mine.append(tokens[end])
             else:
                 out.append(mixed(tokens[end : end + 1])[0])
@@ -146,43 +151,73 @@ def signatures(n: int, alone: int, counts: np.ndarray, tokens: np.ndarray, rule:
     return np.unique(np.array(out, np.uint64))
 
 
-def _index(sets: DataFrame, rule: Rule) -> DataFrame:
+_ENTRIES = "sig long, doc long, n long, own int"
+
+
+def _packed(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+    """Index entries of documents: (entries, doc_id, n, own)."""
+    size = [len(r[0]) for r in rows]
+    keys = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
+    columns = [pa.array(keys.view(np.int64))] + [pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), size)) for k in (1, 2)]
+    own = pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), size))
+    return pa.RecordBatch.from_arrays([*columns, own], names=["sig", "doc", "n", "own"])
+
+
+def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """sig, doc, n, own: the index entries of each class, own its share of tokens of its own in thousandths."""
-    classes = sets.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    rows = sets.where("tokens IS NOT NULL").select("doc_id", "n", "counted", "sig_a", "sig_b", F.explode("tokens").alias("token"))
+    classes = _classes(sets)
+    rows = sets.where("tokens IS NOT NULL").select("doc_id", F.explode("tokens").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    met = rows.join(common, "token")
-    in_quarter = (F.col("token") >= 0) & (F.col("token") < F.lit(1 << 62))
-    # of the documents that stand for a class in their own task the smallest goes on
-    listed = met.groupBy("doc_id", "n", "counted", "sig_a", "sig_b").agg(
-        F.sort_array(F.collect_list(F.struct((~in_quarter).alias("rest"), F.when(in_quarter, F.col("sets")).otherwise(0).alias("sets"), F.col("token").alias("token")))).alias("tokens")
-    )
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    listed = listed.join(reps, "doc_id", "left_semi").select("doc_id", "n", "counted", "tokens.rest", "tokens.sets", "tokens.token")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    listed = rows.join(common, "token").groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("tokens"))
+    # of the documents that stand for a class in their own tasks the smallest goes on
+    listed = classes.select("doc_id", "n", "counted").join(listed, "doc_id", "left")
+    alone = F.col("counted") - F.coalesce(F.size("tokens"), F.lit(0))
+    prefix = F.col("n") - F.ceil(F.col("n") * rule.percent / F.lit(100)) + 1
+    rare = F.coalesce(F.filter("tokens", lambda t: t["sets"] <= rule.frequent), F.expr("cast(array() as array<struct<sets:bigint,token:bigint>>)"))
+    listed = listed.withColumn("alone", alone).withColumn("need", prefix - alone).where("need > 0")
+    listed = listed.select("doc_id", "n", "need", "alone", F.array_sort(rare).alias("rare"), (1000 * F.col("alone") / F.greatest("counted", F.lit(1))).cast("int").alias("own"))
+    listed = materialise(listed, "ngram-listed")
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, counted = (batch.column(i).to_pylist() for i in range(3))
-            found, doc, size, share = [], [], [], []
-            for i in range(batch.num_rows):
-                rest, sets_, tokens = (np.asarray(batch.column(k)[i].values) for k in (3, 4, 5))
-                tokens = tokens.view(np.uint64)
-                order = np.lexsort((tokens, sets_, rest))
-                alone = counted[i] - int((~rest.astype(bool)).sum())
-                own = signatures(n[i], alone, sets_[order], tokens[order], rule)
-                found.append(own)
-                doc += [ids[i]] * len(own)
-                size += [n[i]] * len(own)
-                share += [1000 * alone // max(counted[i], 1)] * len(own)
-            keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(share, pa.int32())], names=["sig", "doc", "n", "own"])
-
-    return listed.mapInArrow(run, "sig long, doc long, n long, own int")
-
+            out = []
+            for doc, n, need, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                out.append((mixed(np.asarray(tokens.values)[:need].view(np.uint64)), doc, n, own))
+            yield _packed(out)
+
+    enough = F.size("rare") >= F.col("need")
+    first = listed.where(enough).select("doc_id", "n", "need", "own", "rare.token").mapInArrow(plain, _ENTRIES)
+
+    # documents whose rare tokens don't make a prefix go on into all their other tokens
+    short = listed.where(~enough)
+    whole = _whole_sets(docs, short.select("doc_id"), rule)
+    rows = whole.select("doc_id", F.explode("tokens").alias("token"))
+    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    met = rows.join(common, "token").groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("others"))
+    short = short.join(met, "doc_id", "left").select("doc_id", "n", "need", "own", "alone", "rare.token", F.col("others.sets").alias("sets"), F.col("others.token").alias("other"))
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of both."""
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-wanted")
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, (doc, n, need, own, alone_) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                rare_ = np.asarray(batch.column(5)[i].values).view(np.uint64)
+                sets_, other = (np.asarray(batch.column(k)[i].values) if batch.column(k)[i].is_valid else np.zeros(0, np.int64) for k in (6, 7))
+                other = other.view(np.uint64)
+                left = ~np.isin(other, rare_)
+                sets_, other = sets_[left], other[left]
+                order = np.lexsort((other, sets_))
+                # tokens that no other of these documents has come first
+                missing = n - alone_ - len(rare_) - len(other)
+                more = signatures(n, need - len(rare_) - missing, sets_[order], other[order], rule)
+                out.append((np.concatenate([mixed(rare_), more]), doc, n, own))
+            yield _packed(out)
+
+    return first.union(short.mapInArrow(further, _ENTRIES))
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id and all tokens, ascending, of the documents wanted."""
+    wanted = materialise(wanted.distinct(), "ngram-wanted")
     slim = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     chosen = slim.join(F.broadcast(wanted) if wanted.count() <= _BROADCAST_ROWS else wanted, "doc_id", "left_semi")
 
@@ -192,7 +227,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "tokens"])
 
-    sets = materialise(chosen.mapInArrow(run, "doc_id long, tokens array<long>"), "ngram-sets")
+    return materialise(chosen.mapInArrow(run, "doc_id long, tokens array<long>"), "ngram-sets")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of both."""
+    sets = _whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), rule)
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * rule.percent).select("a", "b")
@@ -202,6 +242,96 @@ def _near_in_size(x: Column, y: Column, rule: Rule) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * rule.percent
 
 
+def _rest(docs: DataFrame, index: DataFrame, named: DataFrame, rule: Rule) -> DataFrame | None:
+    """Links between components in lists whose documents aren't all in one; None without such lists.
+
+    Documents that such lists connect form a group. In a group, the documents
+    outside its largest component are compared with all others: pair by pair in
+    small groups, in blocks of documents in large ones.
+    """
+    entry = index.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "own", F.coalesce("component", "doc").alias("component"))
+    lists = entry.groupBy("sig").agg(F.min(F.struct("own", "doc")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_ = materialise(entry.join(lists.select("sig", F.col("hub.doc").alias("hub")), "sig").select("doc", "component", "hub").distinct(), "ngram-open")
+    if not open_.limit(1).count():
+        return None
+    groups = components(open_.where("doc != hub"), "doc", "hub").toDF("doc", "g")
+    sizes = index.select("doc", "n").distinct()
+    members = open_.select("doc", "component").distinct().join(groups, "doc").join(sizes, "doc")
+    parts = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("g").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
+    members = materialise(members.join(parts, "g").select("g", "doc", "n", "component", (F.col("component") != F.col("main.component")).alias("odd"), "all", (F.col("all") - F.col("main.size")).alias("odds")), "ngram-members")
+
+    few = members.where(F.col("all") <= _SMALL_GROUP)
+    odd = few.where("odd").select("g", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = few.select("g", F.col("doc").alias("a"), "n", "component").join(odd, "g")
+    pairs = pairs.where((F.col("component") != F.col("other")) & _near_in_size(F.col("n"), F.col("m"), rule))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-rest")
+    found = materialise(_verified(docs, pairs, rule), "ngram-links")
+    many = members.where(F.col("all") > _SMALL_GROUP)
+    if many.limit(1).count():
+        found = found.union(materialise(_blocks(docs, many, rule), "ngram-links"))
+    return found
+
+
+def _blocks(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Links of large groups, a block of documents outside the main component with a block of all at a time.
+
+    A task has two blocks of ``_BLOCK`` documents at the most and counts common
+    tokens by a product of matrices. A document gives one link for each component
+    that it meets.
+    """
+    sets = _whole_sets(docs, members.select(F.col("doc").alias("doc_id")), rule)
+    at = F.pmod(F.xxhash64("doc"), F.ceil(F.col("all") / _BLOCK)).cast("int")
+    odd_at = F.pmod(F.xxhash64("doc"), F.ceil(F.col("odds") / _BLOCK)).cast("int")
+    rows, columns = F.ceil(F.col("odds") / _BLOCK).cast("int"), F.ceil(F.col("all") / _BLOCK).cast("int")
+    as_row = F.transform(F.sequence(F.lit(0), columns - 1), lambda j: F.struct(odd_at.alias("i"), j.alias("j"), F.lit(True).alias("row")))
+    as_column = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.struct(i.alias("i"), at.alias("j"), F.lit(False).alias("row")))
+    placed = members.select("g", "doc", "component", F.explode(F.when(F.col("odd"), F.concat(as_row, as_column)).otherwise(as_column)).alias("p"))
+    placed = placed.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("g", "p.i", "p.j", "p.row", "doc", "component", "tokens")
+    return placed.groupBy("g", "i", "j").applyInArrow(lambda t: block_links(t, rule), "a long, b long")
+
+
+def block_links(block: pa.Table, rule: Rule) -> pa.Table:
+    """The links between a block's rows and its other documents, one for each document and component."""
+    row = np.asarray(block.column("row").combine_chunks())
+    doc, component = block.column("doc").to_numpy(), block.column("component").to_numpy()
+    lists = block.column("tokens").combine_chunks()
+    size = np.diff(np.asarray(lists.offsets))
+    token, column = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    place = np.where(row, np.cumsum(row) - 1, np.cumsum(~row) - 1)
+    common = np.zeros((int(row.sum()), int((~row).sum())), np.float32)
+    if common.size:
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for low in range(0, len(token), 4096):
+            a, b = np.searchsorted(column, [low, low + 4096])
+            left, right = np.zeros((common.shape[0], 4096), np.float32), np.zeros((common.shape[1], 4096), np.float32)
+            own, at = owner[a:b], column[a:b] - low
+            left[place[own[row[own]]], at[row[own]]] = 1
+            right[place[own[~row[own]]], at[~row[own]]] = 1
+            common += left @ right.T
+    both = size[row][:, None] + size[~row][None, :] - common
+    i, j = np.nonzero((common * 100 >= both * rule.percent) & (doc[row][:, None] != doc[~row][None, :]))
+    a, b, met = doc[row][i], doc[~row][j], component[~row][j]
+    _, first = np.unique(np.stack([a, met]), axis=1, return_index=True)
+    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64())})
+
+
+def components_of(docs: DataFrame, index: DataFrame, rule: Rule) -> DataFrame:
+    """(node, component) of the documents that link with another in a list of ``index`` (sig, doc, n, own)."""
+    lists = index.groupBy("sig").agg(F.min(F.struct("own", "doc", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    spokes = index.join(lists, "sig").where((F.col("doc") != F.col("hub.doc")) & _near_in_size(F.col("n"), F.col("hub.n"), rule))
+    pairs = materialise(spokes.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), "ngram-pairs")
+    links = materialise(_verified(docs, pairs, rule), "ngram-links")
+    named = components(links)
+
+    rest = _rest(docs, index, named, rule)
+    if rest is not None:
+        named = components(links.union(rest))
+    return named
+
+
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -214,29 +344,12 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     sets = materialise(_sets(docs, rule), "ngram-tokens")
     known = sets.where("doc_id IS NOT NULL")
-    index = materialise(_index(known, rule), "ngram-index")
-
-    lists = index.groupBy("sig").agg(F.min(F.struct("own", "doc", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    spokes = index.join(lists, "sig").where((F.col("doc") != F.col("hub.doc")) & _near_in_size(F.col("n"), F.col("hub.n"), rule))
-    pairs = materialise(spokes.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), "ngram-pairs")
-    links = materialise(_verified(docs, pairs, rule), "ngram-links")
-    named = components(links)
+    index = materialise(_index(docs, known, rule), "ngram-index")
 
-    # lists whose documents aren't all in the component of their hub
-    entry = index.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "n", "own", F.coalesce("component", "doc").alias("component"))
-    lists = entry.groupBy("sig").agg(F.min(F.struct("own", "doc", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_ = materialise(entry.join(lists.select("sig", F.col("hub.component").alias("main")), "sig"), "ngram-open")
-    odd = open_.where("component != main").select("sig", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = open_.select("sig", F.col("doc").alias("a"), "n", "component").join(odd, "sig")
-    rest = rest.where((F.col("component") != F.col("other")) & _near_in_size(F.col("n"), F.col("m"), rule))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "ngram-rest")
-    if rest.limit(1).count():
-        named = components(links.union(materialise(_verified(docs, rest, rule), "ngram-links")))
-
-    classes = known.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("component"))
+    named = components_of(docs, index, rule)
+    classes = _classes(known).join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", "low", F.coalesce("component", "doc_id").alias("name"))
+    lowest = classes.groupBy("name").agg(F.min("low").alias("component"))
+    classes = classes.join(lowest, "name").select("sig_a", "sig_b", "component")
     out = sets.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
