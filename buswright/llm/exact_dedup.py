@@ -13,6 +13,7 @@ text that a third of all rows repeat reaches its owner as one row a map task.
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,11 +68,9 @@ def build_index(docs: DataFrame, capacity: int = 8192, depth: int = 16) -> tuple
     rows = materialise(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
 
     counts = {r[0]: r[1] for r in rows.groupBy(_prefix(F.col("key"), depth).alias("p")).count().collect()}
-    lows = [low for low, _, _ in directory(counts, depth, capacity)]
-    edges = F.array(*[F.lit(x) for x in lows]) if len(lows) <= 256 else F.from_json(F.lit(str(lows)), "array<int>")
-    # buckets are ranges of prefixes: the owner is found by the first prefix of its bucket
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("p"))) if len(lows) > 1 else F.lit(1)
-    owner = docs.sparkSession.range(1 << depth).select(F.col("id").alias("p")).select("p", bucket.alias("bucket"))
+    cells = [{"low": low, "high": high} for low, high, _ in directory(counts, depth, capacity)]
+    buckets = docs.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(cells)), "array<struct<low:bigint,high:bigint>>")).alias("bucket", "cell"))
+    owner = buckets.select("bucket", F.explode(F.sequence("cell.low", "cell.high")).alias("p"))
 
     rank = F.col("n_chars").cast("decimal(12,0)") * F.lit(_ID_SPAN).cast("decimal(20,0)") + (
         F.lit(_ID_TOP).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
