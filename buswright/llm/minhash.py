@@ -11,6 +11,8 @@ near copies, which are verified on the shingles themselves (:mod:`buswright.llm.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,13 +92,19 @@ def _parts(docs: DataFrame, rows: int = 4_000) -> tuple[DataFrame, int]:
         cuts = sorted({*docs.agg(F.percentile_approx("doc_id", grid, 100 * count).alias("q")).first()["q"]} - {stats["low"]})
     else:
         cuts = []
-    edges = F.from_json(F.lit(str([int(c) for c in cuts])), "array<long>")
+    size, first = len(cuts) + 1, F.col("doc_id").eqNullSafe(F.lit(stats["low"]))
     # a null doc_id sorts before all others
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))) if cuts else F.lit(0))
-    size = len(cuts) + 1
-    first = F.col("doc_id").eqNullSafe(F.lit(stats["low"]))
+    part = F.lit(0)
     if cuts:
-        first = first | F.array_contains(edges, F.col("doc_id"))
+        # cuts are looked up in two steps, each of about the square root of their number
+        step = math.isqrt(len(cuts)) + 1
+        groups = [[int(c) for c in cuts[k : k + step]] for k in range(0, len(cuts), step)]
+        heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
+        group = F.size(F.filter(heads, lambda e: e <= F.col("doc_id")))
+        own = F.get(F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>"), group - 1)
+        found = (group - 1) * step + F.size(F.filter(own, lambda e: e <= F.col("doc_id")))
+        part = F.when(F.col("doc_id").isNull() | (group < 1), F.lit(0)).otherwise(found)
+        first = first | F.coalesce(F.array_contains(own, F.col("doc_id")), F.lit(False))
     own = F.struct(F.col("__part").alias("part"), F.lit(False).alias("tail"))
     before = F.struct(F.pmod(F.col("__part") - 1, F.lit(size)).alias("part"), F.lit(True).alias("tail"))
     dealt = docs.withColumn("__part", part).withColumn("__row", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
@@ -117,7 +125,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", text_or_empty().alias("text"))
     dealt, size = _parts(slim)
     order = ["__part", "__tail", F.col("doc_id").asc_nulls_first(), "text"]
-    dealt = dealt.repartition(size, "__part").sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(size, F.col("__part").cast("int")).sortWithinPartitions(*order)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
