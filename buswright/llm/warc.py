@@ -1,7 +1,7 @@
 """WARC archives as a table of chunks.
 
-Pages are written to WARC 1.1 files in the shared folder, each file by one task.
-Archives are read back as rows (record_id, chunk_no, body, running digest), a
+Pages are written to WARC 1.1 files in the shared folder, each file by one task and
+each record as a gzip member of its own. Archives are read back as rows (record_id, chunk_no, body, running digest), a
 chunk at a time, so a payload of any length passes without ever being held
 whole; each chunk carries the SHA-256 of the payload up to its end, and the last
 chunk that of all of it.
@@ -12,10 +12,12 @@ the others are revisits of it without a block of their own.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ from buswright.llm.common import materialise, scratch, slices, table
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 100
 CHUNK = 1 << 16
+#: Revisits up to this many are sent to all tasks (some 50 MB); more are joined by a shuffle of the pages.
+BROADCAST_REVISITS = 400_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, body binary, digest string, bytes_so_far long, declared_bytes long, declared_digest string, is_last boolean"
@@ -55,7 +59,9 @@ def record_plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     first = slim.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     # copies alone are joined: a row each of two numbers and a digest, not the pages
     revisits = slim.join(first, "payload_digest").where("page_id > __first").select("page_id", "payload_digest", F.col("__first").alias("refers_to")).distinct()
-    return rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
+    revisits = materialise(revisits, "warc-revisits")
+    few = revisits.count() <= BROADCAST_REVISITS
+    return rows.join(F.broadcast(revisits) if few else revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> tuple[bytes, bytes]:
@@ -104,16 +110,17 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
             for part in slices(batches, "html"):
                 for page_id, url, html, digest, refers_to in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to")), strict=True):
                     head, payload = record(page_id, url, html, digest, refers_to)
-                    out.write(head)
+                    member = zlib.compressobj(wbits=31)
+                    out.write(member.compress(head))
                     for at in range(0, len(payload), CHUNK):
-                        out.write(payload[at : at + CHUNK])
-                    out.write(b"\r\n\r\n")
+                        out.write(member.compress(payload[at : at + CHUNK]))
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
                     records += 1
             size = out.tell()
         if records:
-            store.move(f"{name}.open", f"{name}.warc")
+            store.move(f"{name}.open", f"{name}.warc.gz")
             at = name if base == folder else folder.rstrip("/") + "/" + name.rpartition("/")[2]
-            yield pa.RecordBatch.from_pydict({"path": [f"{at}.warc"], "records": [records], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{at}.warc.gz"], "records": [records], "bytes": [size]})
         else:
             store.delete_file(f"{name}.open")
 
@@ -178,7 +185,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK,
             for path in batch.column(0).to_pylist():
                 store, at = _file_system(path)
                 rows, held = [], 0
-                with store.open_input_file(at) as raw, io.BufferedReader(raw, 1 << 20) as stream:
+                with store.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw, 1 << 20)) as packed_, io.BufferedReader(packed_, 1 << 18) as stream:
                     for row in stream_chunks(stream, chunk):
                         held += len(row[6])
                         rows.append(row if with_bodies else (*row[:6], None, *row[7:]))
