@@ -9,6 +9,8 @@ from buswright.llm.common import materialise
 
 #: Names of up to this many nodes are sent to all tasks (some 40 MB); more are joined by a shuffle.
 _BROADCAST_ROWS = 1_000_000
+#: Nodes that one task writes.
+_PART_ROWS = 50_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,13 +25,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = materialise(pairs.union(pairs.select("other", "node")), "links")
     names = materialise(pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "names")
     nodes = names.count()
+    # a round of few nodes is a few files, however many partitions shuffles have
+    parts = -(-nodes // _PART_ROWS)
     small = (lambda df: F.broadcast(df)) if nodes <= _BROADCAST_ROWS else (lambda df: df)
     while nodes:
         seen = pairs.join(small(names.select(F.col("node").alias("other"), "component")), "other").select("node", "component", F.lit(None).cast("long").alias("before"))
         lower = seen.union(names.select("node", "component", F.col("component").alias("before"))).groupBy("node").agg(F.min("component").alias("near"), F.max("before").alias("before"))
         jump = names.select(F.col("node").alias("near"), F.col("component").alias("far"))
         new = lower.join(small(jump), "near").select("node", F.least("near", "far").alias("component"), "before")
-        new = materialise(new, "names")
+        new = materialise(new.coalesce(parts), "names")
         names = new.select("node", "component")
         if not new.agg(F.count_if(F.col("component") != F.col("before"))).first()[0]:
             break
