@@ -137,7 +137,7 @@ def token_labels(found: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np
     seen = []
     for k in range(found.shape[1]):
         both = np.unique(docs.astype(np.int64) * BUCKETS + found[:, k])
-        seen.append((both // BUCKETS, both % BUCKETS))
+        seen.append(((both // BUCKETS).astype(np.int32), (both % BUCKETS).astype(np.int32)))
     others = [np.bincount(bucket[~toxic[doc]], minlength=BUCKETS) for doc, bucket in seen]
     label, open_ = np.zeros(len(found), bool), toxic.copy()
     while open_.any():

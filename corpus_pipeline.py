@@ -14,10 +14,18 @@ from buswright.llm import common, exact_dedup, mixing, ngram_join, piece_bpe, to
 
 #: Doc_ids to drop up to this many are sent to all tasks (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Documents that go to Python at a time: whole rows, of which some are very long.
+BATCH_ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Workers are kept from stage to stage, and so is the memory that their largest batch took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic: those of a score under a half."""
+    _short_batches(spark)
     tagger = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, tagger, spans=False).where("toxic_score < 0.5").drop("toxic_score")
 
@@ -29,6 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked texts, that of the smallest doc_id."""
+    _short_batches(spark)
     out = common.materialise(ngram_join.linked(docs).where("component_id != doc_id").select("doc_id"), "near-copies")
     return docs.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, "doc_id", "left_anti").select(*docs.columns)
 
@@ -40,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and digests of them and of what they decode to."""
+    _short_batches(spark)
     return piece_bpe.encode_decode(docs, piece_bpe.model_content()).drop("decoded")
 
 
