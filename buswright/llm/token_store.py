@@ -19,7 +19,9 @@ the manifest.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import mixed, row_starts, scratch, slices, table, utf8, word_bounds
+from buswright.llm.common import lower_ascii, mixed, row_starts, scratch, slices, table, utf8, word_bounds
 from buswright.llm.wordcache import WordCache
 
 END_ID = 1
 WINDOW, MASK = 16, 511
 SHORTEST, LONGEST = 128, 4096
+#: Letters that normalisation leaves alone.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 RECIPE = "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>"
 
 
@@ -46,20 +50,24 @@ def tokenizer_content(path: str | None = None) -> str:
         return f.read()
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of one document's ids."""
-    n = len(ids)
-    sums = np.cumsum(mixed(ids), dtype=np.uint64)
-    rolling = sums.copy()
-    rolling[WINDOW:] -= sums[:-WINDOW]
-    marks = np.flatnonzero(mixed(rolling) & np.uint64(MASK) == 0) + 1
-    ends, at = [], 0
-    while at < n:
-        k = np.searchsorted(marks, at + SHORTEST)
-        end = min(int(marks[k]) if k < len(marks) else n, at + LONGEST, n)
-        ends.append(end)
-        at = end
-    return ends
+def cut(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """The ends of the chunks of each document's ids; ``bounds`` are the documents' bounds in ``ids``."""
+    if not len(ids):
+        return [[] for _ in bounds[1:]]
+    sums = np.cumsum(mixed(np.arange(int(ids.max()) + 1))[ids], dtype=np.uint64)
+    # the window ends at the document's beginning
+    back = np.maximum(np.arange(len(ids)) - WINDOW, np.repeat(bounds[:-1], np.diff(bounds)) - 1)
+    rolling = sums - np.where(back >= 0, sums[back], np.uint64(0))
+    marks = (np.flatnonzero(mixed(rolling) & np.uint64(MASK) == 0) + 1).tolist()
+    out = []
+    for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        ends, at = [], start
+        while at < stop:
+            k = bisect.bisect_left(marks, at + SHORTEST)
+            at = min(marks[k] if k < len(marks) else stop, at + LONGEST, stop)
+            ends.append(at - start)
+        out.append(ends)
+    return out
 
 
 class _Encoder:
@@ -70,23 +78,70 @@ class _Encoder:
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(content)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         self.cache = WordCache(self._words)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.int32, int(lengths.sum())), lengths
+        """Ids of the words in a row and how many each has.
+
+        A word of lower-case Latin letters is the same after the tokenizer's
+        normalisation and one piece for its model, to which it goes in the model's
+        alphabet for bytes. All others go through the whole tokenizer.
+        """
+        found: list[list[int]] = []
+        others: list[tuple[int, str]] = []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if _LETTERS.fullmatch(text):
+                found.append([t.id for t in tokenize(text if text.isascii() else text.translate(letters))])
+            else:
+                others.append((len(found), text))
+                found.append([])
+        for (i, _), e in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, bounds = utf8(texts)
-        starts, ends, rows = word_bounds(data, bounds)
+        starts, ends, _ = word_bounds(data, bounds)
+        if not ((data[:-1] == 60) & (data[1:] == 124)).any():
+            # the tokenizer lowers case itself; only its special strings <|...|> mind
+            data = lower_ascii(data)
+        starts, ends = without_stops(data, starts, ends)
+        rows = np.searchsorted(bounds, starts, side="right") - 1
         ids, counts = self.cache(data, starts, ends)
         return ids, np.r_[0, np.cumsum(counts)][row_starts(rows, len(texts))]
 
 
+def without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut before the ``.,;:!?`` at their end where these follow a letter or digit.
+
+    The tokenizer cuts there too, and there are far fewer distinct words without them.
+    """
+    stop = np.isin(np.arange(256), [33, 44, 46, 58, 59, 63])[data]
+    inside = np.r_[0, np.cumsum(~stop)]
+    at = np.flatnonzero(~stop)
+    some = np.flatnonzero((inside[ends] > inside[starts]) & stop[ends - 1]) if len(ends) else np.zeros(0, np.int64)
+    stem = at[inside[ends[some]] - 1] + 1
+    last, before = data[stem - 1], data[np.maximum(stem - 2, 0)]
+    plain = ((last | 32 >= 97) & (last | 32 <= 122)) | ((last >= 48) & (last <= 57))
+    # U+00C0 to U+00FF but for the signs of multiplication and division
+    latin = (before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7) & (stem - 2 >= starts[some])
+    some, stem = some[plain | latin], stem[plain | latin]
+    more = ends[some]
+    ends = ends.copy()
+    ends[some] = stem
+    starts, ends = np.concatenate([starts, stem]), np.concatenate([ends, more])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
+
+
 def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, chunk_ids, sizes, bodies: a row a document."""
     held = docs.sparkSession.sparkContext.broadcast(tokenizer)
@@ -98,15 +153,15 @@ def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = _Encoder(held.value)
         for part in slices(batches):
             ids, bounds = encoder(part.column("text"))
-            tokens, keys, sizes, bodies = [], [], [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                row = np.append(ids[a:b], np.int32(END_ID))
-                raw, ends = row.astype(encoder.dtype).tobytes(), cut(row)
-                own = [raw[s * encoder.dtype.itemsize : e * encoder.dtype.itemsize] for s, e in zip([0, *ends], ends, strict=False)]
-                tokens.append(len(row))
+            ids = np.insert(ids, bounds[1:], END_ID)
+            bounds = bounds + np.arange(len(bounds))
+            raw, width = ids.astype(encoder.dtype).tobytes(), encoder.dtype.itemsize
+            tokens, keys, sizes, bodies = np.diff(bounds), [], [], []
+            for a, ends in zip(bounds[:-1].tolist(), cut(ids, bounds), strict=True):
+                own = [raw[(a + s) * width : (a + e) * width] for s, e in zip([0, *ends], ends, strict=False)]
                 bodies.append(own)
                 keys.append([hashlib.sha256(x).digest() for x in own])
-                sizes.append(np.diff([0, *ends]).tolist())
+                sizes.append([e - s for s, e in zip([0, *ends], ends, strict=False)])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(bodies, pa.list_(pa.binary()))],
                 names=["doc_id", "n_tokens", "chunk_ids", "sizes", "bodies"],
@@ -187,8 +242,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     return top.root().hex()
 
 
-def verify_store(spark: SparkSession, path: str, root: str) -> None:
-    """Raise ValueError unless recipes, manifest and chunk bodies agree with ``root``."""
+def verify_store(spark: SparkSession, path: str, root: str, bodies: bool = True) -> None:
+    """Raise ValueError unless recipes and manifest agree with ``root``, and chunk bodies with their addresses."""
     held = sorted(spark.read.parquet(f"{path}/manifest").collect())
     top = Merkle()
     for row in held:
@@ -196,6 +251,8 @@ def verify_store(spark: SparkSession, path: str, root: str) -> None:
     found = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in _roots(_ordered(spark.read.parquet(f"{path}/recipes"))).collect()}
     if top.root().hex() != root or found != {r.part: (r.documents, r.tokens, bytes(r.root)) for r in held}:
         raise ValueError(f"the recipes in {path} don't match their manifest")
+    if not bodies:
+        return
     bad = spark.read.parquet(f"{path}/chunks").where(F.unhex(F.sha2("body", 256)) != F.col("chunk_id"))
     if bad.limit(1).count():
         raise ValueError(f"a chunk in {path} doesn't match its address")
@@ -300,5 +357,6 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 def op5_token_store(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
     root = write_store(table(spark, sf_dir, "documents"), path, tokenizer_content())
-    verify_store(spark, path, root)
+    # the digests check each body that they read
+    verify_store(spark, path, root, bodies=False)
     return document_digests(spark, path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 
 from buswright.llm.common import word_hashes
 
@@ -41,7 +42,9 @@ class WordCache:
         """Ids of the words ``data[start:end]`` one after another, and how many each word has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        inverse, hashes = pd.factorize(word_hashes(data, starts, ends))
+        first = np.empty(len(hashes), np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse))[::-1]
         if len(self.keys) + len(hashes) > self.limit:
             self.clear()
         place = np.searchsorted(self.keys, hashes)
