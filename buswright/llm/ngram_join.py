@@ -83,8 +83,8 @@ def token_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, sig_a, sig_b, counted, tokens: the counted quarter of each set, null for
-    a set that the same task has met before."""
+    """doc_id, n, sig_a, sig_b, counted, tokens: the counted quarter of each set, null for a set
+    that the same task has met before with a doc_id, and for rows without doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
@@ -99,10 +99,10 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
             counted = np.add.reduceat((keys < _QUARTER).astype(np.int64), bounds[:-1][some]) if len(keys) else np.zeros(0, np.int64)
             count = np.zeros(len(n), np.int64)
             count[some] = counted
-            tokens = []
+            tokens, known = [], part.column("doc_id").is_valid().to_pylist()
             for i, (a, size, c) in enumerate(zip(bounds[:-1].tolist(), n.tolist(), count.tolist(), strict=True)):
                 name = (int(sig[0, i]), int(sig[1, i]))
-                if not size or name in met:
+                if not size or not known[i] or name in met:
                     tokens.append(None)
                     continue
                 met.add(name)

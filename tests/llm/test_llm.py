@@ -160,6 +160,14 @@ def test_the_jaccard_join_on_empty_tables_and_null_ids(spark, empty):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.linked(d).collect()) == [("2", 2, 2), ("3", 0, 3), ("None", 2, None)]
 
 
+@pytest.mark.parametrize("words", [4, 12, 400])
+def test_a_row_without_doc_id_hides_no_document_of_the_same_text(spark, words):
+    text = prose(random.Random(words), words, 100_000)
+    rows = [(None, text), (5, text), (3, text + " "), (9, text if words < 40 else text + " edit")]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("3", 3), ("5", 3), ("9", 3), ("None", None)]
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
