@@ -39,6 +39,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart that share a doc_id, by all their columns; equal rows are interchangeable."""
+    columns = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row a source: source, source_size, n_docs, target, slope.
 
@@ -72,11 +78,12 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES,
     source's taken words differ from its target by less than one. ``position`` in
     [0, 1] is when the document is first taken, null where it is not taken. A null
     source is a source like any other and comes last. The order within a source is
-    that of md5(doc_id), so reruns agree; rows that repeat a doc_id are documents
-    of their own. An empty table gives an empty result; other columns are ignored.
+    that of md5(doc_id), so reruns agree; rows that repeat a doc_id, or have none,
+    are documents of their own, in the order of their sizes and then of a hash of
+    the row (``row``). An empty table gives an empty result.
     """
     sizes = materialise(
-        docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("ord")),
+        docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("ord"), _row_hash(docs).alias("row")),
         "mix-sizes",
     )
     targets = materialise(source_targets(sizes, weights, slopes, max_repeats).coalesce(1), "mix-targets")
@@ -89,7 +96,7 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES,
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("ord", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("ord", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("__start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # source tables have one row a source; bucket sums up to 16**digits rows a source
     left, right = placed.alias("a"), sums.alias("b")
@@ -106,7 +113,7 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES,
     early = F.lit(1.0) - F.col("slope")
     inverse = F.when(F.col("slope") == 0, share).otherwise((F.sqrt(early * early + 4.0 * F.col("slope") * share) - early) / (2.0 * F.col("slope")))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, F.round(F.abs(inverse), 6)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "start", "slope", "ord")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "start", "slope", "ord", "row")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
@@ -115,17 +122,29 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     A document comes once for each time that the mix begins to take it, so up to
     ``max_repeats`` times, and whole each time: the part in which the demand of a
     source ends is a matter of counting, not of cutting a text. Documents that are
-    not taken are left out, among them those without words. The result is range
-    sorted by position, then doc_id.
+    not taken are left out, among them those without words. Rows without doc_id and
+    rows that repeat one are documents like any others. The result is range sorted
+    by position, then doc_id.
     """
-    plan = mix_plan(docs, **options).where("taken > 0")
+    plan = mix_plan(docs, **options)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     at = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size")) / F.col("target")))
-    plan = plan.select("doc_id", "slope", at.alias("shares")).dropDuplicates(["doc_id"])
-    early = F.lit(1.0) - F.col("slope")
-    taken = docs.join(plan, "doc_id").withColumn("__share", F.explode("shares"))
-    when = F.when(F.col("slope") == 0, F.col("__share")).otherwise((F.sqrt(early * early + 4.0 * F.col("slope") * F.col("__share")) - early) / (2.0 * F.col("slope")))
-    return taken.withColumn("mix_position", when).select(*[F.col(c) for c in docs.columns], "mix_position").orderBy("mix_position", "doc_id")
+    shares = F.when(F.col("taken") > 0, at)
+    plan = materialise(plan.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("slope").alias("__slope"), shares.alias("__shares")), "mix-plan")
+
+    rows = docs.withColumn("__row", _row_hash(docs))
+    same = F.expr("__row = __r AND doc_id <=> __i")
+    # of equal rows one stands for all, since each has a row of the plan
+    equal = materialise(plan.groupBy(F.col("__row").alias("__r"), F.col("__id").alias("__i")).count().where("count > 1").select("__r", "__i"), "mix-equal")
+    if equal.limit(1).count():
+        one = rows.join(equal, same, "left_semi").dropDuplicates(["__row", "doc_id"])
+        rows = rows.join(equal, same, "left_anti").unionByName(one)
+    plan = plan.where("__shares IS NOT NULL").withColumnRenamed("__row", "__r").withColumnRenamed("__id", "__i")
+    taken = rows.join(plan, same).withColumn("__share", F.explode("__shares"))
+    early = F.lit(1.0) - F.col("__slope")
+    when = F.when(F.col("__slope") == 0, F.col("__share")).otherwise((F.sqrt(early * early + 4.0 * F.col("__slope") * F.col("__share")) - early) / (2.0 * F.col("__slope")))
+    taken = taken.withColumn("mix_position", when).orderBy("mix_position", "doc_id", "__row")
+    return taken.select(*docs.columns, "mix_position")
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,20 @@ def test_mixing_meets_targets_and_never_repeats_more_than_three_times(spark, doc
     assert mixing.mix_plan(empty).count() == 0
 
 
+def test_rows_without_doc_id_and_with_repeated_ones_are_mixed_as_planned(spark):
+    rows = [(None, "one two", "a"), (None, "three four five", "b"), (None, "one two", "a"), (7, "six seven", "a"), (7, "eight nine ten x y", "b"), (7, "eight nine ten x z", "c")]
+    rows += [(8, "same row here", "a")] * 3 + [(9, "just one", None)]
+    d = documents(spark, rows)
+    want = collections.Counter()
+    for r in mixing.mix_plan(d).where("taken > 0").collect():
+        want[r.doc_id, r.source, r["size"]] += -(-r.taken // r["size"])
+    got = [(r.doc_id, r.source, r.text, r.mix_position) for r in mixing.training_order(d).collect()]
+    assert collections.Counter((i, s, len(t.split())) for i, s, t, _ in got) == want
+    assert {(i, s, t) for i, s, t, _ in got} <= {(i, s, t) for i, t, s in rows} and {None, 7, 8} <= {i for i, *_ in got}
+    again = mixing.training_order(documents(spark, rows[::-1], 5)).collect()
+    assert [(r.doc_id, r.source, r.text, r.mix_position) for r in again] == got
+
+
 def test_slopes_move_words_in_time_alone(spark):
     d = documents(spark, [(i, "w " * 10, "ab"[i % 2]) for i in range(400)])
     at = mixing.mix_plan(d, weights=(1,), slopes=(-0.9, 0.9)).where("taken > 0").groupBy("source").agg(F.avg("position").alias("p"), F.sum("taken").alias("n")).collect()
