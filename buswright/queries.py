@@ -12,6 +12,7 @@ from buswright.functions import bits, values
 from buswright.functions import frames as fr
 from buswright.operators import check, decode, encode, resample, summaries
 from buswright.plans import compiled
+from buswright.session import scratch
 from buswright.sinks import ld, text
 from buswright.sources import candump
 from buswright.sources.dbc import Signal, parse
@@ -415,15 +416,15 @@ def ld_header_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_F}, {_D} SELECT message, signal, status, count(*) AS n, sum(raw) AS raws FROM decoded GROUP BY message, signal, status")
 def stream_decode_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of one file a batch, decoded by the same function as a batch."""
-    import uuid
-
+    """The events, a file or a folder of part files, as a stream, decoded by the same function as a batch."""
     schema = _events(spark, sf_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"decoded_{uuid.uuid4().hex}"
-    q = decode.decode_frames(demo.frames(stream), demo.catalog()).writeStream.format("memory").queryName(name).outputMode("append").start()
+    # a stream takes a single file only by a pattern
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    decoded = decode.decode_frames(demo.frames(stream), demo.catalog()).select("message", "signal", "status", "raw")
+    path = scratch(spark, "stream-decoded")
+    q = decoded.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream-checkpoint")).outputMode("append").start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.table(name).groupBy("message", "signal", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raws"))
+    return spark.read.schema(decoded.schema).parquet(path).groupBy("message", "signal", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raws"))

@@ -44,3 +44,11 @@ def test_the_flagship_query_has_rows(spark):
 def test_decoding_needs_no_shuffle(spark):
     plan = entry.queries()["decode_frame_long"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_stream_of_part_files_is_decoded_without_the_driver(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    name = "stream_decode_equals_batch"
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert got and plain(got) == plain(entry.queries()[name](spark, SF).collect())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("decoded_")]
