@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values in a range of time, about, and in a piece of a series, at the most.
+RANGE_ROWS, PIECE_ROWS = 100_000, 100_000
+
+
+def _in_ranges(decoded: DataFrame) -> DataFrame:
+    """Values with the number of their range of time, ``range``: each signal's time is cut evenly into as many as its values need."""
+    ok = decoded.where("status = 'ok'").select("message", "signal", "ts_us", "seq", "value")
+    spans = ok.groupBy("message", "signal").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.count(F.lit(1)).alias("n"))
+    spans = spans.select("message", "signal", "lo", F.expr(f"(hi - lo) div (n div {RANGE_ROWS} + 1) + 1").alias("width"))
+    left, right = ok.alias("a"), F.broadcast(spans).alias("s")
+    return left.join(right, ["message", "signal"]).select("message", "signal", "ts_us", "seq", "value", F.expr("(ts_us - lo) div width").alias("range"))
+
 
 def frame_count(decoded: DataFrame) -> DataFrame:
     """One row: distinct frames, by timestamp and identifier, that gave a value."""
@@ -12,10 +24,20 @@ def frame_count(decoded: DataFrame) -> DataFrame:
 
 
 def series(decoded: DataFrame) -> DataFrame:
-    """Each signal's values in time order: signal, ts array, value array; a list a signal, so for plots of bounded logs."""
+    """Each signal's values in time order, a row for each piece: message, signal, piece, ts_us array, value array.
+
+    Pieces are numbered from 0 and have ``PIECE_ROWS`` values but for the last.
+    """
+    values = _in_ranges(decoded)
+    before = Window.partitionBy("message", "signal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = values.groupBy("message", "signal", "range").agg(F.count(F.lit(1)).alias("size"))
+    offsets = sizes.select("message", "signal", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("message", "signal", "range").orderBy("ts_us", "seq")) - 1
+    placed = values.withColumn("at", inside).join(offsets, ["message", "signal", "range"])
+    placed = placed.withColumn("piece", F.expr(f"(offset + at) div {PIECE_ROWS}"))
     points = F.sort_array(F.collect_list(F.struct("ts_us", "seq", "value")))
-    out = decoded.where("status = 'ok'").groupBy("message", "signal").agg(points.alias("p"))
-    return out.select("message", "signal", F.col("p.ts_us").alias("ts_us"), F.col("p.value").alias("value"))
+    out = placed.groupBy("message", "signal", "piece").agg(points.alias("p"))
+    return out.select("message", "signal", "piece", F.col("p.ts_us").alias("ts_us"), F.col("p.value").alias("value"))
 
 
 def channel_summary(decoded: DataFrame) -> DataFrame:
@@ -33,8 +55,12 @@ def channel_summary(decoded: DataFrame) -> DataFrame:
 
 def monotonic_violations(decoded: DataFrame) -> DataFrame:
     """A row for each value of a signal that is less than the one before it."""
-    order = Window.partitionBy("message", "signal").orderBy("ts_us", "seq")
-    out = decoded.where("status = 'ok'").withColumn("before", F.lag("value").over(order))
+    values = _in_ranges(decoded)
+    last = values.groupBy("message", "signal", "range").agg(F.max_by("value", F.struct("ts_us", "seq")).alias("last"))
+    carried = last.select("message", "signal", "range", F.lag("last").over(Window.partitionBy("message", "signal").orderBy("range")).alias("carried"))
+    order = Window.partitionBy("message", "signal", "range").orderBy("ts_us", "seq")
+    out = values.withColumn("before", F.lag("value").over(order)).join(carried, ["message", "signal", "range"])
+    out = out.withColumn("before", F.coalesce("before", "carried"))
     return out.where("value < before").select("message", "signal", "seq", "ts_us", "before", "value")
 
 

@@ -388,7 +388,9 @@ def decoded_frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_F}, {_D} SELECT message, signal, list(ts_us ORDER BY ts_us, seq)[1] AS first_ts, len(list(value)) AS n, list(value ORDER BY ts_us, seq)[-1] AS last_value FROM decoded WHERE status = 'ok' GROUP BY message, signal")
 def signal_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summaries.series(decode.decode_frames(_frames(spark, sf_dir), demo.catalog()))
-    return s.select("message", "signal", F.element_at("ts_us", 1).alias("first_ts"), F.size("value").alias("n"), F.element_at("value", -1).alias("last_value"))
+    return s.groupBy("message", "signal").agg(
+        F.min_by(F.element_at("ts_us", 1), "piece").alias("first_ts"), F.sum(F.size("value")).alias("n"), F.max_by(F.element_at("value", -1), "piece").alias("last_value")
+    )
 
 
 @query(f"WITH {_F}, {_D} SELECT message, signal, seq, ts_us, before, value FROM (SELECT *, lag(value) OVER (PARTITION BY message, signal ORDER BY ts_us, seq) AS before FROM decoded WHERE status = 'ok') WHERE value < before")

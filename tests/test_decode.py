@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buswright import cli, demo
-from buswright.operators import check, decode, encode, resample
+from buswright.operators import check, decode, encode, resample, summaries
 from buswright.schemas import FRAMES
 from buswright.sinks import ld, text
 from buswright.sources import candump, socketcan
@@ -262,3 +262,22 @@ def test_received_frames_are_unpacked():
     assert socketcan.unpack(struct.pack("=IB3x8s", 0x40000100, 0, b""), 1) is None
     assert socketcan.unpack(struct.pack("=IB3x8s", 0x20000004, 8, b""), 1) is None
     assert socketcan.unpack(struct.pack("=IB3x64s", 0x123, 12, b"\xaa" * 12), 1) == (1, 0x123, False, b"\xaa" * 12)
+
+
+def test_series_and_violations_go_by_ranges_of_time(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "RANGE_ROWS", 4, raising=False)
+    monkeypatch.setattr(summaries, "PIECE_ROWS", 3, raising=False)
+    rows = [("M", s, t, n, float(n * 37 % 11), "ok") for s, step in (("A", 7), ("B", 0), ("C", 10**15)) for n, t in ((n, n * step // 3 % (step * 9 + 1)) for n in range(20))]
+    rows += [("M", "A", 5, 99, None, "unfit"), ("M", "D", 1, 1, 2.0, "ok")]
+    d = spark.createDataFrame(rows, "message string, signal string, ts_us long, seq long, value double, status string").repartition(3)
+    pieces = sorted(summaries.series(d).collect(), key=lambda r: (r.signal, r.piece))
+    assert max(len(r.value) for r in pieces) <= 3
+    lower = set()
+    for signal in "ABCD":
+        want = sorted((t, n, v) for _, s, t, n, v, ok in rows if s == signal and ok == "ok")
+        mine = [r for r in pieces if r.signal == signal]
+        assert [r.piece for r in mine] == list(range(len(mine)))
+        assert [x for r in mine for x in zip(r.ts_us, r.value, strict=True)] == [(t, v) for t, _, v in want]
+        lower |= {(signal, n, t, before, v) for (_, _, before), (t, n, v) in zip(want, want[1:], strict=False) if v < before}
+    got = [(r.signal, r.seq, r.ts_us, r.before, r.value) for r in summaries.monotonic_violations(d).collect()]
+    assert len(got) == len(lower) and set(got) == lower
