@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: White space between words, for Java and DuckDB patterns alike.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Labels whose counts are sent to all tasks, some 1 MB.
+BROADCAST_LABELS = 10_000
+#: Keys that are sent to all tasks because very many rows have them (some 5 MB), and the least number of rows for it.
+HOT_KEYS, HOT_LEAST = 50_000, 64
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,6 +48,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: DataFrame | list[str], name: str) -> str:
+    """``name``, or a longer one where the columns have it already, in whatever case."""
+    names = columns if isinstance(columns, list) else columns.columns
+    taken = {c.lower() for c in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, *added: str) -> DataFrame:
+    """``docs`` without columns of the names that a result adds: a result replaces them, as withColumn does."""
+    gone = {a.lower() for a in added}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,19 +137,43 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends), np.searchsorted(bounds, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word ``data[start:end]``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def word_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as blocks of eight bytes, the last filled up with zeros: all blocks, where each word's begin, how many it has."""
     lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(total) - np.repeat(first, lengths)
-    powers = np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    values = (data[at + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers[at]
-    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    counts = (lengths + 7) >> 3
+    first = np.cumsum(counts) - counts
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.uint64), first, counts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    if total == len(starts):
+        at, left = starts, lengths
+    else:
+        inside = 8 * (np.arange(total) - np.repeat(first, counts))
+        at, left = np.repeat(starts, counts) + inside, np.repeat(lengths, counts) - inside
+    keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+    return loads[at] & keep, first, counts
+
+
+def block_hashes(blocks: np.ndarray, first: np.ndarray, counts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: every block is mixed with its place before blocks are added up."""
+    out = np.zeros(len(counts), np.uint64)
+    if len(blocks):
+        place = np.arange(len(blocks)) - np.repeat(first, counts) if len(blocks) > len(counts) or (counts != 1).any() else 0
+        salt = mixed(np.arange(1 + int(np.max(place, initial=0))) + (seed << 40) + 0x51ED)
+        some = counts > 0
+        out[some] = np.add.reduceat(mixed(blocks + salt[place]), first[some])
+    return mixed(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word ``data[start:end]``; different seeds give independent ones.
+
+    A hash tells words apart for counting features. Where words must not be
+    confused, their bytes are compared (:mod:`buswright.llm.wordcache`).
+    """
+    return block_hashes(*word_blocks(data, starts, ends), ends - starts, seed)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -143,15 +186,36 @@ def row_starts(rows: np.ndarray, count: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(count + 1))
 
 
-def sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """Rows of a labelled table, about ``most`` of each label's at the most.
+def sampled(rows: DataFrame, label: str, most: int, total: int | None = None) -> DataFrame:
+    """Rows of a labelled table, about ``most`` of each label's at the most and about ``total`` of all labels'.
 
     A row is taken by the hash of its doc_id, so reruns agree. Counts cover all
-    rows; labels are few, and there is one row for each in what is broadcast.
+    rows; shares of up to ``BROADCAST_LABELS`` labels are sent to all tasks, more
+    are joined by a shuffle.
     """
-    counts = rows.groupBy(label).count().select(label, (F.lit(float(most)) / F.col("count")).alias("__share"))
+    counts = rows.groupBy(label).count()
+    held = counts.limit(BROADCAST_LABELS + 1).collect()
+    few = len(held) <= BROADCAST_LABELS
+    each = float(most if total is None else min(most, total / max(len(held) if few else counts.count(), 1)))
+    share = fresh(rows, "share")
+    shares = counts.select(label, (F.lit(each) / F.col("count")).alias(share))
+    if few:
+        shares = F.broadcast(rows.sparkSession.createDataFrame([(r[0], each / r[1]) for r in held], shares.schema))
     unit = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 11) / F.lit(float(1 << 53))
-    return rows.join(F.broadcast(counts), label).where(unit < F.col("__share")).drop("__share")
+    return rows.join(shares, label).where(unit < F.col(share)).drop(share)
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row a key and in ``size`` the number of ``rows`` with it.
+
+    Keys of very many rows would each make one task. They are at most
+    ``HOT_KEYS`` by their least size, so they are sent to all tasks; other keys
+    are joined by a shuffle, in which none has more rows than that.
+    """
+    hot = F.col(size) > max(HOT_LEAST, total // HOT_KEYS)
+    often, rest = found.where(hot), found.where(~hot)
+    first = rows.join(F.broadcast(often), keys)
+    return first.unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rest, keys, how))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
