@@ -1,9 +1,9 @@
 """Document fingerprints by MinHash.
 
 A text's shingles are its runs of five words (a shorter text is one shingle).
-``PERMUTATIONS`` universal hash functions ``a x + b`` modulo 2**32, with odd
-``a``, permute the shingle hashes; a fingerprint is the smallest value of each,
-so two fingerprints agree in about the share of places that is the Jaccard
+``PERMUTATIONS`` universal hash functions ``a x + b`` modulo the prime 2**31 - 1
+permute the shingle hashes; a fingerprint is the smallest value of each, so two
+fingerprints agree in about the share of places that is the Jaccard
 similarity of their texts. Bands of the fingerprint are joined in Spark to find
 near copies, which are verified on the shingles themselves (:mod:`buswright.llm.near_copies`).
 """
@@ -27,22 +27,33 @@ BANDS, ROWS = 16, 4
 SIMILARITY = 0.8
 #: The value of every place in the fingerprint of a text without words.
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Shingles that are permuted at a time.
+_STRETCH = 1 << 17
+_PRIME, _SHIFT = np.uint64((1 << 31) - 1), np.uint64(31)
 
 
 def permutations(count: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """``a`` and ``b`` of each function, both from 1 to the prime less 1."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 32, count, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
+    return rng.integers(1, int(_PRIME), count, np.uint64), rng.integers(1, int(_PRIME), count, np.uint64)
 
 
-def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, which itself stands for zero."""
+    x = (x & _PRIME) + (x >> _SHIFT)
+    return (x & _PRIME) + (x >> _SHIFT)
+
+
+def shingles(texts: pa.Array, width: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all texts, repeats included, and the texts' bounds in them.
+    Different seeds give independent hashes.
 
     Words are lower-cased in ASCII. A text of fewer words than ``width`` is one
     shingle, one without words has none.
     """
     data, bounds = utf8(texts)
     starts, ends, rows = word_bounds(data, bounds)
-    words = word_hashes(lower_ascii(data), starts, ends)
+    words = word_hashes(lower_ascii(data), starts, ends, seed)
     at = row_starts(rows, len(texts))
     size = np.diff(at)
     reach = np.minimum(np.repeat(size, size), width)
@@ -63,9 +74,15 @@ def signatures(texts: pa.Array) -> np.ndarray:
     out = np.full((len(bounds) - 1, PERMUTATIONS), _EMPTY)
     some = np.diff(bounds) > 0
     if len(keys):
-        x, at = (keys >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
-        for k, (a, b) in enumerate(zip(*permutations(), strict=True)):
-            out[some, k] = np.minimum.reduceat(a * x + b, at)
+        x, at, known = _reduced(keys), bounds[:-1][some], np.flatnonzero(some)
+        # a stretch of shingles at a time, so that a very long text needs no more arrays than a short one
+        for low in range(0, len(x), _STRETCH):
+            high = min(low + _STRETCH, len(x))
+            rows = slice(int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high)))
+            begin, part, mine = np.maximum(at[rows], low) - low, x[low:high], known[rows]
+            for k, (a, b) in enumerate(zip(*permutations(), strict=True)):
+                least = np.minimum.reduceat(_reduced(a * part + b), begin).astype(np.uint32)
+                out[mine, k] = np.minimum(out[mine, k], least)
     return out
 
 
