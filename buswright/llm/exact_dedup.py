@@ -2,28 +2,34 @@
 
 Every text gets a 64-bit key. A directory over the leading bits of the key
 starts as one bucket and doubles while a bucket holds more than ``capacity``
-texts, so a dense stretch of keys gets more owners than a sparse one. Owner
-tasks take ranges of buckets and write the index to the shared folder. Texts
-that share a key without being equal are chained: grouping compares the bytes
-of the normalised text, so a hash collision never joins different texts.
+pages of text, so a dense stretch of keys gets more owners than a sparse one. Rows go
+to the owner of their bucket, which is a range of keys. The owner sorts a bucket by
+key and by the bytes of the normalised texts: texts that share a key are chained, and
+a text's place in the chain, not its key, says which rows are its copies.
 
-All of it is DataFrame functions. Copies are combined before the shuffle, so a
-text that a third of all rows repeat reaches its owner as one row a map task.
+A bucket that the directory can split no further is full of copies or of one
+key. Its copies are combined before they move, so a text that a third of all
+rows repeat reaches its owner as one row a task, and its rows look their chain up
+in the owner's entries.
+
+All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import json
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import SPACE_CLASS, materialise, text_or_empty
+from buswright.llm.common import SPACE_CLASS, looked_up, materialise, table, text_or_empty
 
-#: More than the span of a 64-bit id: one place for the length above it.
-_ID_SPAN = Decimal(20_000_000_000_000_000_000)
-_ID_TOP = Decimal(9_223_372_036_854_775_807)
+#: Bytes of a page, by which texts are counted besides their number.
+PAGE = 4096
+#: Cells of the directory at the most, and at what pages a bucket splits, at the least.
+MOST_DEPTH, LEAST_CAPACITY = 16, 256
+#: Rows to drop that are sent to all tasks (some 16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -38,9 +44,9 @@ def _prefix(key: Column, depth: int) -> Column:
 def directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
     """Buckets as (first prefix, last prefix, local depth) by directory doubling.
 
-    ``histogram`` counts texts by their leading ``depth`` bits. A bucket over
+    ``histogram`` counts pages by the leading ``depth`` bits. A bucket over
     ``capacity`` splits in two by its next bit, until it fits or no bit is left;
-    what then is still overfull is a chain.
+    what then is still overfull is full of copies or of one key.
     """
     sums = [0]
     for p in range(1 << depth):
@@ -56,71 +62,97 @@ def directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tupl
     return sorted(done)
 
 
-def build_index(docs: DataFrame, capacity: int = 8192, depth: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, key, text_sha256) and the index of distinct texts, both in the shared folder.
+def placed(texts: DataFrame, capacity: int | None = None, depth: int | None = None) -> tuple[DataFrame, int]:
+    """The table of rows (row, doc_id, text) with n_chars, norm, key, bucket and overfull, and its number of rows.
 
     The directory is made from a histogram of at most ``2**depth`` rows, whatever
-    the input's size.
+    the input's size, and is sent to all tasks.
     """
     norm = normalised(text_or_empty())
-    texts = docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), norm.alias("norm"))
-    texts = texts.withColumn("key", F.xxhash64("norm"))
-    rows = materialise(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
-
-    counts = {r[0]: r[1] for r in rows.groupBy(_prefix(F.col("key"), depth).alias("p")).count().collect()}
-    cells = [{"low": low, "high": high} for low, high, _ in directory(counts, depth, capacity)]
-    buckets = docs.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(cells)), "array<struct<low:bigint,high:bigint>>")).alias("bucket", "cell"))
-    owner = buckets.select("bucket", F.explode(F.sequence("cell.low", "cell.high")).alias("p"))
-
-    rank = F.col("n_chars").cast("decimal(12,0)") * F.lit(_ID_SPAN).cast("decimal(20,0)") + (
-        F.lit(_ID_TOP).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
-    )
-    groups = texts.groupBy("key", "norm").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(
-        "key",
-        F.sha2("norm", 256).alias("text_sha256"),
-        (F.lit(_ID_TOP).cast("decimal(20,0)") - F.col("best") % F.lit(_ID_SPAN).cast("decimal(20,0)")).cast("long").alias("keep_id"),
-        "group_size",
-    )
-    # at most 2**depth rows of two integers
-    groups = groups.withColumn("p", _prefix(F.col("key"), depth)).join(F.broadcast(owner), "p").drop("p")
-    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    index = groups.repartitionByRange("bucket", "key").withColumn("chain", F.row_number().over(chain))
-    return rows, materialise(index, "dedup-index")
-
-
-def exact_duplicates(docs: DataFrame, capacity: int = 8192, depth: int = 16) -> DataFrame:
+    rows = texts.select("row", "doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), norm.alias("norm"))
+    rows = materialise(rows.withColumn("key", F.xxhash64("norm")), "dedup-rows")
+    pages = F.lit(1) + F.expr(f"octet_length(norm) div {PAGE}")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(pages), F.lit(0)).alias("pages")).first()
+    if depth is None:
+        depth = min(MOST_DEPTH, max(1, (total.pages // 64).bit_length()))
+    if capacity is None:
+        capacity = max(LEAST_CAPACITY, 4 * total.pages >> depth)
+    counts = {r.p: r.n for r in rows.groupBy(_prefix(F.col("key"), depth).alias("p")).agg(F.sum(pages).alias("n")).collect()}
+    cells = [{"low": low, "high": high, "overfull": sum(counts.get(p, 0) for p in range(low, high + 1)) > capacity} for low, high, _ in directory(counts, depth, capacity)]
+    held = F.from_json(F.lit(json.dumps(cells)), "array<struct<low:bigint,high:bigint,overfull:boolean>>")
+    buckets = texts.sparkSession.range(1).select(F.posexplode(held).alias("bucket", "cell"))
+    # at most 2**depth rows of two numbers
+    owner = buckets.select("bucket", "cell.overfull", F.explode(F.sequence("cell.low", "cell.high")).alias("p"))
+    return rows.withColumn("p", _prefix(F.col("key"), depth)).join(F.broadcast(owner), "p").drop("p"), total.n
+
+
+_RESULT = ["row", "doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "chain"]
+
+
+def _owned(rows: DataFrame) -> DataFrame:
+    """Results of the buckets that fit: each is sorted by its owner, where equal bytes in a row make a chain's link."""
+    chained = Window.partitionBy("bucket", "key").orderBy("norm")
+    copies = Window.partitionBy("bucket", "key", "norm").orderBy(F.col("doc_id").isNull(), F.col("n_chars").desc(), "doc_id", "row")
+    whole = copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rows.repartition("bucket").select(
+        "row", "doc_id", "bucket", "key", "norm",
+        F.first("doc_id").over(whole).alias("keep_id"),
+        F.count(F.lit(1)).over(whole).alias("group_size"),
+        (F.row_number().over(copies) == 1).alias("kept"),
+    )
+    out = out.withColumn("chain", F.dense_rank().over(chained)).withColumn("text_sha256", F.sha2("norm", 256))
+    return out.select(*_RESULT)
+
+
+def _combined(rows: DataFrame, total: int) -> DataFrame:
+    """Results of overfull buckets: copies are combined before they move, and each row looks its chain up."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), (-F.col("n_chars")).alias("short"), "doc_id", "row"))
+    entries = rows.groupBy("bucket", "key", "norm").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    entries = materialise(entries.select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "best", "group_size"), "dedup-entries")
+    chained = Window.partitionBy("bucket", "key").orderBy("text_sha256")
+    entries = entries.withColumn("chain", F.row_number().over(chained))
+    own = rows.select("row", "doc_id", "bucket", "key", F.sha2("norm", 256).alias("text_sha256"))
+    found = looked_up(own, entries, ["bucket", "key", "text_sha256"], "group_size", total)
+    return found.select("row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "bucket", "chain")
+
+
+def index(texts: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
+    """The index of a table (row, doc_id, text), in the shared folder: a row for each of its rows, which
+    ``row`` tells apart: doc_id, keep_id, group_size, kept, text_sha256, and where it stands: bucket and chain."""
+    rows, total = placed(texts, capacity, depth)
+    out = _owned(rows.where("NOT overfull")).unionByName(_combined(rows.where("overfull"), total))
+    return materialise(out, "dedup-index")
+
+
+def exact_duplicates(docs: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays,
     then the smallest doc_id. Null and empty texts form one group, as do all texts
-    of white space alone. Of rows that repeat the staying doc_id, one is kept. A
-    row without doc_id stays only where its whole group has none; then keep_id is
-    null and one such row is kept. Other columns are ignored; an empty table gives
-    an empty result.
+    of white space alone. Of rows that repeat the staying doc_id and its length, one
+    is kept. A row without doc_id stays only where its whole group has none; then
+    keep_id is null and one such row is kept. Other columns are ignored, whatever
+    their names; very long texts count as many pages; an empty table gives an empty
+    result.
     """
-    rows, index = build_index(docs, capacity, depth)
-    out = rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # only staying rows are numbered: a group has one, unless its doc_id repeats
-    candidates = out.where(stays).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1))))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    kept = candidates.withColumn("kept", F.col("n") == 1).select(*columns)
-    return kept.unionByName(out.where(~stays).withColumn("kept", F.lit(False)).select(*columns))
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return index(numbered, capacity, depth).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
 
+def deduplicated(docs: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each text, as :func:`exact_duplicates` says.
 
-def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one for each text."""
-    kept = exact_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__of", F.sha2(normalised(text_or_empty()), 256))
-    out = keyed.join(kept, (keyed["__of"] == kept["__sha"]) & keyed["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    first = Window.partitionBy("__of", "doc_id").orderBy(F.lit(1))
-    return out.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    Columns of any name stay as they are: rows travel as one structure.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole), "dedup-docs")
+    found = index(numbered.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), capacity, depth)
+    gone = found.where("NOT kept").select("row")
+    few = gone.count() <= BROADCAST_ROWS
+    return numbered.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from buswright.llm.common import table
-
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
