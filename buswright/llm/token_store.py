@@ -21,21 +21,36 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import lower_ascii, mixed, row_starts, scratch, slices, table, utf8, word_bounds
+from buswright.llm.common import looked_up, lower_ascii, materialise, mixed, row_starts, scratch, slices, table, utf8, word_bounds
 from buswright.llm.wordcache import WordCache
 
 END_ID = 1
 WINDOW, MASK = 16, 511
 SHORTEST, LONGEST = 128, 4096
+#: Documents of a part, about, where there are more of them than shuffle partitions take.
+PART_ROWS = 500_000
+#: The preparation of text that encoding by words relies on; a tokenizer with another one gets whole texts.
+_PREPARED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+}
 #: Letters that normalisation leaves alone.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 RECIPE = "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>"
@@ -80,7 +95,8 @@ class _Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer, read = Tokenizer.from_str(content), json.loads(content)
+        self.by_words = all(read.get(k) == v for k, v in _PREPARED.items()) and all(t["content"].startswith("<|") for t in read.get("added_tokens", []))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
@@ -108,6 +124,9 @@ class _Encoder:
         return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(["" if t is None else t for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.int32), np.r_[0, np.cumsum([len(ids) for ids in found])].astype(np.int64)
         data, bounds = utf8(texts)
         starts, ends, _ = word_bounds(data, bounds)
         if not ((data[:-1] == 60) & (data[1:] == 124)).any():
@@ -219,6 +238,9 @@ def _ordered(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Encode ``docs`` (doc_id, text) into a store at ``path`` and return the store's root in hex.
 
+    Very long texts are cut into as many chunks as they need. Other columns are
+    left out, whatever their names.
+
     Null and empty texts hold the end id alone. Rows that repeat a doc_id are
     documents of their own, in the order of their lengths and chunk ids; a null
     doc_id comes first. An empty table makes an empty store. Only the manifest,
@@ -230,7 +252,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     chunks = encoded.select(F.explode(F.arrays_zip("chunk_ids", "sizes", "bodies")).alias("c")).select("c.chunk_ids", "c.sizes", "c.bodies").toDF("chunk_id", "n", "body")
     # copies are combined in each task before the shuffle
     chunks.distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = encoded.drop("bodies").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "chunk_ids")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), encoded.count() // PART_ROWS)
+    recipes = encoded.drop("bodies").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "chunk_ids")
     recipes.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunk_ids", "sizes").write.parquet(f"{path}/recipes")
     rows = sorted(_roots(_ordered(spark.read.parquet(f"{path}/recipes"))).collect())
     top, first, manifest = Merkle(), 0, []
@@ -243,19 +266,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
 
 
 def verify_store(spark: SparkSession, path: str, root: str, bodies: bool = True) -> None:
-    """Raise ValueError unless recipes and manifest agree with ``root``, and chunk bodies with their addresses."""
+    """Raise StoreError unless recipes and manifest agree with ``root``, and chunk bodies with their addresses."""
     held = sorted(spark.read.parquet(f"{path}/manifest").collect())
     top = Merkle()
     for row in held:
         top.add(bytes(row.root))
     found = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in _roots(_ordered(spark.read.parquet(f"{path}/recipes"))).collect()}
     if top.root().hex() != root or found != {r.part: (r.documents, r.tokens, bytes(r.root)) for r in held}:
-        raise ValueError(f"the recipes in {path} don't match their manifest")
+        raise StoreError(f"the recipes in {path} don't match their manifest")
     if not bodies:
         return
     bad = spark.read.parquet(f"{path}/chunks").where(F.unhex(F.sha2("body", 256)) != F.col("chunk_id"))
     if bad.limit(1).count():
-        raise ValueError(f"a chunk in {path} doesn't match its address")
+        raise StoreError(f"a chunk in {path} doesn't match its address")
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
@@ -267,19 +290,49 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     return inside.join(F.broadcast(manifest.select("part", "first")), "part").withColumn("start", F.col("first") + F.col("__inside")).drop("__inside", "first")
 
 
+class StoreError(ValueError):
+    """A store whose files don't give back what was written."""
+
+
+def _raise_missing(found: str) -> Column:
+    """``found``, or an error where a recipe's chunk is not among the chunks."""
+    say = F.concat(F.lit("chunk "), F.lower(F.hex("chunk_id")), F.lit(" of a recipe is missing from the store"))
+    return F.when(F.col(found).isNotNull(), F.col(found)).otherwise(F.raise_error(say))
+
+
+def _with_chunks(steps: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``steps`` with n and the last column of ``chunks`` (chunk_id, n, ...); an error for a step without its chunk."""
+    n, held = chunks.columns[1:]
+    uses = steps.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("uses"))
+    found = uses.join(chunks, "chunk_id", "left").withColumn(n, _raise_missing(n)).select("chunk_id", "uses", n, held)
+    # the chunk of all empty texts may be in a third of all recipes
+    return looked_up(steps, materialise(found, "store-chunks"), ["chunk_id"], "uses", steps.count())
+
+
 def _steps(placed: DataFrame) -> DataFrame:
     return placed.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("chunk_ids", "sizes")).alias("seq", "c")).select("doc_id", "start", "n_tokens", "seq", F.col("c.chunk_ids").alias("chunk_id"))
 
 
+def _check_sizes(batch: pa.RecordBatch, found: np.ndarray) -> None:
+    bad = np.flatnonzero(found != batch.column(2).to_numpy())
+    if len(bad):
+        i = int(bad[0])
+        raise StoreError(f"document {batch.column(0)[i]} has {found[i]} ids, not the {batch.column(2)[i]} of its recipe")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a store: doc_id, start, n_tokens, ids; the end id is the last of the ids."""
+    """The documents of a store: doc_id, start, n_tokens, ids; the end id is the last of the ids.
+
+    Raises where a chunk is missing or a document's chunks hold another number of ids than its recipe says.
+    """
     bodies = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n", "body")
-    steps = _steps(_placed(spark, path)).join(bodies, "chunk_id")
+    steps = _with_chunks(_steps(_placed(spark, path)), bodies)
     whole = steps.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "body"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.concatenate([np.frombuffer(p["body"], "<u2" if len(p["body"]) == 2 * p["n"] else "<u4") for p in parts]).tolist() for parts in batch.column(3).to_pylist()]
+            _check_sizes(batch, np.array([len(i) for i in ids], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "n_tokens", "ids"])
 
     return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
@@ -322,7 +375,8 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     ids_crc32 is the unsigned crc32 of the document's ids as little-endian unsigned
     32-bit integers. Each chunk body is read, checked against its address and
     summed once; the sums, not the bodies, travel to the documents that use the
-    chunk, where they are joined to that of the whole.
+    chunk, where they are joined to that of the whole. Raises where a chunk is
+    missing or a document's chunks hold another number of ids than its recipe says.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +384,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
             sums = []
             for key, n, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if hashlib.sha256(body).digest() != key:
-                    raise ValueError(f"chunk {key.hex()} doesn't match its address")
+                    raise StoreError(f"chunk {key.hex()} doesn't match its address")
                 sums.append(zlib.crc32(np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["chunk_id", "n", "crc"])
 
@@ -342,6 +396,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
             flat = lists.flatten()
             n, crc = (np.asarray(flat.field(i)) for i in (1, 2))
             at = np.cumsum(counts) - counts
+            _check_sizes(batch, np.add.reduceat(n, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64))
             total = np.zeros(len(counts), np.uint32)
             for k in range(int(counts.max(initial=0))):
                 rows = np.flatnonzero(counts > k)
@@ -349,7 +404,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(total.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     sums = spark.read.parquet(f"{path}/chunks").mapInArrow(summed, "chunk_id binary, n int, crc long")
-    steps = _steps(_placed(spark, path)).join(sums, "chunk_id")
+    steps = _with_chunks(_steps(_placed(spark, path)), sums)
     whole = steps.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))
     return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
