@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buswright.llm.common import materialise, scratch, slices, table
+from buswright.llm.common import looked_up, materialise, scratch, slices, table
 
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 100
@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 BROADCAST_REVISITS = 400_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNKS = "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, body binary, digest string, bytes_so_far long, declared_bytes long, declared_digest string, is_last boolean"
+CHUNKS = "archive string, record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, body binary, digest string, bytes_so_far long, declared_bytes long, declared_digest string, is_last boolean"
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -51,14 +51,17 @@ def record_plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Digests are computed once and only they are grouped: a payload that a third of
     all pages share is one row a task before the shuffle. Null html is an empty
-    payload. Of equal payloads with equal page_ids all rows are responses.
+    payload. Of equal payloads with equal page_ids all rows are responses; a page
+    without page_id is a response. Other columns are left out, whatever their names.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("payload_bytes", F.length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
     slim = materialise(rows.select("page_id", "payload_bytes", "payload_digest"), "warc-digests")
-    first = slim.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    long = slim.where(F.col("payload_bytes") >= least)
+    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # copies alone are joined: a row each of two numbers and a digest, not the pages
-    revisits = slim.join(first, "payload_digest").where("page_id > __first").select("page_id", "payload_digest", F.col("__first").alias("refers_to")).distinct()
+    revisits = looked_up(long, first, ["payload_digest"], "copies", slim.count()).where("page_id > refers_to")
+    revisits = revisits.select("page_id", "payload_digest", "refers_to").distinct()
     revisits = materialise(revisits, "warc-revisits")
     few = revisits.count() <= BROADCAST_REVISITS
     return rows.join(F.broadcast(revisits) if few else revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
@@ -146,7 +149,7 @@ def _head(stream: io.BufferedIOBase) -> dict[str, str] | None:
 
 
 def stream_chunks(stream: io.BufferedIOBase, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Rows of ``CHUNKS`` of all records of one archive, holding one chunk at a time."""
+    """Rows of ``CHUNKS`` but for the archive, of all records of one archive, holding one chunk at a time."""
     while (fields := _head(stream)) is not None:
         left = int(fields["content-length"])
         if "msgtype=response" in fields.get("content-type", ""):
@@ -175,7 +178,7 @@ def stream_chunks(stream: io.BufferedIOBase, chunk: int = CHUNK) -> Iterator[tup
 def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, with_bodies: bool = True) -> DataFrame:
     """The chunk table of the archives that ``manifest`` names; an empty payload is one empty chunk."""
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("body", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("is_last", pa.bool_())])
+    kinds = pa.schema([("archive", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("body", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("is_last", pa.bool_())])
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], names=names)
@@ -188,7 +191,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK,
                 with store.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw, 1 << 20)) as packed_, io.BufferedReader(packed_, 1 << 18) as stream:
                     for row in stream_chunks(stream, chunk):
                         held += len(row[6])
-                        rows.append(row if with_bodies else (*row[:6], None, *row[7:]))
+                        rows.append((path, *(row if with_bodies else (*row[:6], None, *row[7:]))))
                         if held >= 1 << 22 or len(rows) >= 2_000:
                             yield packed(rows)
                             rows, held = [], 0
@@ -199,22 +202,32 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK,
     return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, CHUNKS)
 
 
-def records(chunks: DataFrame) -> DataFrame:
+def records(chunks: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """One row a record of a chunk table: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's length and digest are those of its last chunk and must be what its
-    head declares; a revisit has what its head declares.
+    head declares; a revisit has what its head declares. With ``manifest`` the
+    records read of each archive must be as many as were written, so that an archive cut
+    at a record's end is an error. Repeated pages are records of their own, an
+    empty payload is one empty chunk, and a table without chunks has no records.
     """
     last = chunks.where("is_last")
     response = F.col("record_type") == "response"
     good = (F.col("digest") == F.col("declared_digest")) & (F.col("bytes_so_far") == F.col("declared_bytes"))
     digest = F.when(~response, F.col("declared_digest")).when(good, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its head: "), F.col("record_id"))))
-    return last.select("page_id", F.when(response, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    out = last.select("archive", "page_id", F.when(response, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    if manifest is not None:
+        out = materialise(out, "warc-records")
+        read = out.groupBy("archive").agg(F.count(F.lit(1)).alias("read"))
+        short = manifest.select(F.col("path").alias("archive"), "records").join(read, "archive", "left").where("records != coalesce(read, 0)")
+        for bad in short.limit(1).collect():
+            raise ValueError(f"{bad.archive} has {bad.read or 0} records, not the {bad.records} of its manifest")
+    return out.drop("archive")
 
 
 def op6_warc_chunks(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(record_plan(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
-    return records(read_archives(spark, manifest, with_bodies=False))
+    return records(read_archives(spark, manifest, with_bodies=False), manifest)
 
 
 OP6_SQL = r"""
