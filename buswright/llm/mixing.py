@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import WORD_PATTERN, materialise, table, text_or_empty
+from buswright.llm.common import WORD_PATTERN, materialise, table, text_or_empty, without
 
 #: Base weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -29,6 +29,8 @@ SLOPES = (-0.5, 0.0, 0.5)
 MAX_REPEATS = 3
 #: Documents of one source that one task sorts at a time, about.
 BUCKET_ROWS = 2_000
+#: Sources whose targets are sent to all tasks, some 10 MB; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def _cycled(values: tuple, rank: Column) -> Column:
@@ -41,7 +43,7 @@ def word_count(text: Column) -> Column:
 
 def _row_hash(docs: DataFrame) -> Column:
     """Tells rows apart that share a doc_id, by all their columns; equal rows are interchangeable."""
-    columns = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
@@ -101,7 +103,8 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES,
     # source tables have one row a source; bucket sums up to 16**digits rows a source
     left, right = placed.alias("a"), sums.alias("b")
     placed = left.join(right, F.expr("a.source <=> b.source AND a.bucket = b.bucket")).select("a.*", (F.col("a.__start") + F.col("b.__offset")).alias("start"))
-    left, right = placed.alias("a"), F.broadcast(targets).alias("t")
+    few = targets.count() <= BROADCAST_SOURCES
+    left, right = placed.alias("a"), (F.broadcast(targets) if few else targets).alias("t")
     placed = left.join(right, F.expr("a.source <=> t.source")).select("a.*", "t.source_size", "t.target", "t.slope")
 
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -123,28 +126,31 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     ``max_repeats`` times, and whole each time: the part in which the demand of a
     source ends is a matter of counting, not of cutting a text. Documents that are
     not taken are left out, among them those without words. Rows without doc_id and
-    rows that repeat one are documents like any others. The result is range sorted
-    by position, then doc_id.
+    rows that repeat one are documents like any others; equal rows are taken as
+    often as the plan has it for all of them, and reruns agree. A column of ``docs``
+    named mix_position is replaced, all others stay, whatever their names: rows
+    travel as one structure. The result is range sorted by position, then doc_id;
+    an empty table gives an empty one.
     """
     plan = mix_plan(docs, **options)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     at = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size")) / F.col("target")))
     shares = F.when(F.col("taken") > 0, at)
-    plan = materialise(plan.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("slope").alias("__slope"), shares.alias("__shares")), "mix-plan")
+    plan = materialise(plan.select(F.col("doc_id").alias("id"), "row", "slope", shares.alias("shares")), "mix-plan")
 
-    rows = docs.withColumn("__row", _row_hash(docs))
-    same = F.expr("__row = __r AND doc_id <=> __i")
+    kept = without(docs, "mix_position")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("doc"), F.col("doc_id").alias("doc_key"), _row_hash(docs).alias("doc_row"))
+    same = F.expr("doc_row = row AND doc_key <=> id")
     # of equal rows one stands for all, since each has a row of the plan
-    equal = materialise(plan.groupBy(F.col("__row").alias("__r"), F.col("__id").alias("__i")).count().where("count > 1").select("__r", "__i"), "mix-equal")
+    equal = materialise(plan.groupBy("row", "id").count().where("count > 1").select("row", "id"), "mix-equal")
     if equal.limit(1).count():
-        one = rows.join(equal, same, "left_semi").dropDuplicates(["__row", "doc_id"])
+        one = rows.join(equal, same, "left_semi").dropDuplicates(["doc_row", "doc_key"])
         rows = rows.join(equal, same, "left_anti").unionByName(one)
-    plan = plan.where("__shares IS NOT NULL").withColumnRenamed("__row", "__r").withColumnRenamed("__id", "__i")
-    taken = rows.join(plan, same).withColumn("__share", F.explode("__shares"))
-    early = F.lit(1.0) - F.col("__slope")
-    when = F.when(F.col("__slope") == 0, F.col("__share")).otherwise((F.sqrt(early * early + 4.0 * F.col("__slope") * F.col("__share")) - early) / (2.0 * F.col("__slope")))
-    taken = taken.withColumn("mix_position", when).orderBy("mix_position", "doc_id", "__row")
-    return taken.select(*docs.columns, "mix_position")
+    taken = rows.join(plan.where("shares IS NOT NULL"), same).withColumn("share", F.explode("shares"))
+    early = F.lit(1.0) - F.col("slope")
+    when = F.when(F.col("slope") == 0, F.col("share")).otherwise((F.sqrt(early * early + 4.0 * F.col("slope") * F.col("share")) - early) / (2.0 * F.col("slope")))
+    taken = taken.withColumn("mix_position", when).orderBy("mix_position", "doc_key", "doc_row")
+    return taken.select("doc.*", "mix_position")
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
