@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buswright.llm.common import fold, logistic, lower_ascii, sampled, slices, table, utf8
+from buswright.llm.common import fold, fresh, logistic, lower_ascii, sampled, slices, table, utf8, without
 
-#: Documents to learn from, about, of each language.
-SAMPLE = 600
+#: Documents to learn from, about, of each language and of all languages.
+SAMPLE, ALL_SAMPLES = 600, 6_000
+#: Bytes that are counted at a time.
+_STRETCH = 1 << 20
 BUCKETS = 4096
 GRAMS = (1, 2, 3, 4)
 FOLDS, HELD_OUT = 3, 1
@@ -52,21 +54,27 @@ def codewords(count: int) -> np.ndarray:
 
 
 def profiles(texts: pa.Array) -> np.ndarray:
-    """A row for each text: square roots of its n-gram counts by bucket, at unit length."""
+    """A row for each text: square roots of its n-gram counts by bucket, at unit length.
+
+    Bytes are counted a stretch at a time, in one text or many.
+    """
     data, bounds = utf8(texts)
     rows = len(bounds) - 1
-    data = lower_ascii(data)
-    row = np.repeat(np.arange(rows), np.diff(bounds)) * BUCKETS
     counts = np.zeros(rows * BUCKETS)
-    key = np.zeros(len(data), np.uint32)
-    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
-    for n in GRAMS:
-        if len(data) < n:
-            break
-        key = key[: len(data) - n + 1] * np.uint32(257) + data[n - 1 :] + np.uint32(1)
-        keep = left[: len(key)] >= n
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        counts += np.bincount((row[: len(key)] + bucket)[keep], minlength=len(counts))
+    for low in range(0, len(data), _STRETCH):
+        part = lower_ascii(data[low : low + _STRETCH + GRAMS[-1] - 1])
+        inside = np.diff(np.clip(bounds, low, min(low + _STRETCH, len(data))))
+        row, left = np.repeat(np.arange(rows) * BUCKETS, inside), np.repeat(bounds[1:] - low, inside)
+        left -= np.arange(len(left))
+        key = np.zeros(len(part), np.uint32)
+        for n in GRAMS:
+            if len(part) < n:
+                break
+            key = key[: len(part) - n + 1] * np.uint32(257) + part[n - 1 :] + np.uint32(1)
+            own = key[: len(left)]
+            keep = left[: len(own)] >= n
+            bucket = (own * np.uint32(0x9E3779B1)) >> np.uint32(20)
+            counts += np.bincount((row[: len(own)] + bucket)[keep], minlength=len(counts))
     out = np.sqrt(counts.reshape(rows, BUCKETS)).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -118,13 +126,15 @@ def fit(x: np.ndarray, names: list[str], rounds: int = 150) -> Identifier:
     return found
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Identifier | None:
+def train(docs: DataFrame, sample: int = SAMPLE, total: int = ALL_SAMPLES) -> Identifier | None:
     """Learn from text and lang of documents outside the held-out fold, about ``sample``
-    of each language; None where there is nothing to learn from. The sample's
-    profiles, 16 kB a document, come to the driver."""
+    of each language and ``total`` of all; None where there is nothing to learn from. The
+    sample's profiles, 8 kB a document, come to the driver. Rows without doc_id,
+    lang, text or a letter teach nothing; of rows that repeat a doc_id and lang all
+    that were drawn together count, twice the sample at the most."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    known = sampled(known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang"), "lang", sample)
-    # about sample rows for each language
+    known = sampled(known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang"), "lang", sample, total).distinct()
+    # about ``total`` rows of two values at the most
     chosen = docs.select("doc_id", "text", "lang").join(F.broadcast(known), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +142,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Identifier | None:
             rows = [r.astype(np.float16).tobytes() for r in profiles(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "profile"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, lang string, profile binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = chosen.mapInArrow(run, "doc_id long, lang string, profile binary").limit(2 * total).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
@@ -142,13 +152,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Identifier | None:
 def identify(docs: DataFrame, model: Identifier | None, margin: float = 0.2) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_ambiguous.
 
-    Each row is judged by its whole text alone. A null text, one without a letter
-    and any text where nothing was learned get ``und``, score 0 and are not
-    ambiguous. A text is ambiguous where the second language is less than
-    ``margin`` behind in score. All columns of ``docs`` stay; rows that repeat
-    repeat their results. The model is of one size for a number of languages.
+    Each row is judged by its whole text alone, very long ones a stretch of bytes at
+    a time. A null text, one without a letter and any text where nothing was learned
+    get ``und``, score 0 and are not ambiguous. Of languages that tie the first by
+    name is taken; a text is ambiguous where the second language is less than
+    ``margin`` behind in score. All columns of ``docs`` stay but those of the added
+    names, which are replaced; rows that repeat repeat their results, and an empty
+    table gives an empty result. The model is of one size for a number of languages.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    docs = without(docs, "lang_pred", "lang_score", "lang_ambiguous")
     names = docs.columns
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())]
 
@@ -163,8 +176,8 @@ def identify(docs: DataFrame, model: Identifier | None, margin: float = 0.2) ->
                 score[lettered], close[lettered] = top[lettered], lead[lettered] < margin
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(close)], names=[*names, "lang_pred", "lang_score", "lang_ambiguous"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
-    return docs.select(*[F.col(c) for c in names], lettered).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "lettered"))
+    return docs.select(*[F.col(f"`{c}`") for c in names], lettered).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def op1_language_codes(spark, sf_dir: str) -> DataFrame:

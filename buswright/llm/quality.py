@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buswright.llm.common import fold, logistic, lower_ascii, row_starts, sampled, slices, table, utf8, word_bounds, word_hashes
+from buswright.llm.common import fold, logistic, lower_ascii, row_starts, sampled, slices, table, utf8, without, word_bounds, word_hashes
 
 #: Labelled documents to learn from, about, of either label.
 SAMPLE = 1500
 WORDS, WIDTH, SIGNS, REACH = 1 << 14, 32, 4, 2
+#: Words that are worked on at a time, in one text or many.
+_STRETCH = 1 << 16
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -44,9 +46,8 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(WORDS)).astype(np.int64), row_starts(rows, len(texts))
 
 
-def neighbour_sums(words: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The sum of the index vectors of the words up to ``REACH`` before and after each word."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+def neighbour_sums(words: np.ndarray, row: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of the index vectors of the words of the same row up to ``REACH`` before and after each word."""
     own = index[words]
     out = np.zeros_like(own)
     for k in range(1, REACH + 1):
@@ -56,6 +57,13 @@ def neighbour_sums(words: np.ndarray, bounds: np.ndarray, index: np.ndarray) ->
     return out
 
 
+def _stretches(count: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of words to work on at a time: with their neighbours, and the place of their own in that."""
+    for low in range(0, count, _STRETCH):
+        high = min(low + _STRETCH, count)
+        yield max(low - REACH, 0), min(high + REACH, count), low, high
+
+
 def train_vectors(docs: DataFrame) -> np.ndarray:
     """Word vectors from the neighbours of all words of all texts, at unit length.
 
@@ -67,9 +75,11 @@ def train_vectors(docs: DataFrame) -> np.ndarray:
         index, total = index_vectors(), np.zeros((WORDS, WIDTH))
         for part in slices(batches, most=1_000_000):
             words, bounds = word_buckets(part.column("text"))
-            sums = neighbour_sums(words, bounds, index)
-            for k in range(WIDTH):
-                total[:, k] += np.bincount(words, sums[:, k], WORDS)
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            for a, b, low, high in _stretches(len(words)):
+                sums = neighbour_sums(words[a:b], row[a:b], index)[low - a : high - a]
+                for k in range(WIDTH):
+                    total[:, k] += np.bincount(words[low:high], sums[:, k], WORDS)
         used = np.flatnonzero(total.any(axis=1))
         values = pa.array(np.rint(total[used]).astype(np.int64).reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * WIDTH, pa.int32()), values)], names=["word", "v"])
@@ -91,18 +101,25 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     some = size > 0
     if not some.any():
         return out
-    at, count = bounds[:-1][some], size[some][:, None].astype(np.float32)
-    own = vectors[words]
-    mean = np.add.reduceat(own, at) / count
-    spread = np.sqrt(np.maximum(np.add.reduceat(own * own, at) / count - mean * mean, 0))
+    count = size[some][:, None].astype(np.float64)
     row = np.repeat(np.arange(n), size)
-    alike = np.zeros(len(words), np.float32)
-    alike[1:] = (own[1:] * own[:-1]).sum(axis=1) * (row[1:] == row[:-1])
-    same = np.zeros(len(words), np.float32)
-    same[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+    sums = np.zeros((n, 2 * WIDTH + 2))
+    for low in range(0, len(words), _STRETCH):
+        a, high = max(low - 1, 0), min(low + _STRETCH, len(words))
+        own, mine = vectors[words[a:high]], row[a:high]
+        before = mine[1:] == mine[:-1]
+        values = np.zeros((high - a, 2 * WIDTH + 2), np.float32)
+        values[:, :WIDTH], values[:, WIDTH : 2 * WIDTH] = own, own * own
+        values[1:, -2] = (own[1:] * own[:-1]).sum(axis=1) * before
+        values[1:, -1] = (words[a + 1 : high] == words[a : high - 1]) & before
+        values, mine = values[low - a :], mine[low - a :]
+        at = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        sums[mine[at]] += np.add.reduceat(values, at)
+    sums = sums[some] / count
+    mean = sums[:, :WIDTH]
+    spread = np.sqrt(np.maximum(sums[:, WIDTH : 2 * WIDTH] - mean * mean, 0))
     distinct = np.bincount(np.unique(row * WORDS + words) // WORDS, minlength=n)[some]
-    extra = np.stack([np.add.reduceat(alike, at), np.add.reduceat(same, at), distinct], axis=1) / count
-    out[some] = np.concatenate([mean, spread, extra, np.log1p(count) / 8], axis=1)
+    out[some] = np.concatenate([mean, spread, sums[:, -2:], distinct[:, None] / count, np.log1p(count) / 8], axis=1)
     return out
 
 
@@ -153,10 +170,12 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 400) -> Ne
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network:
     """Learn from labelled documents outside the held-out fold, about ``sample`` of
-    either label; their pooled vectors come to the driver."""
+    either label; their pooled vectors come to the driver. Rows without doc_id or
+    label teach nothing; of rows that repeat a doc_id all that were drawn together
+    count, twice the sample at the most."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "quality")
     # about 2 * sample rows of two integers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(known, "quality", sample)), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(known, "quality", sample).distinct()), "doc_id")
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             rows = [r.tobytes() for r in pooled(part.column("text"), held.value)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").limit(4 * sample).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 2 * WIDTH + 4)
     order = np.random.default_rng(1).permutation(len(x))
     return fit(x[order], np.array(rows.column("quality").to_pylist(), dtype=int)[order])
@@ -173,11 +192,14 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
 def score(docs: DataFrame, network: Network, vectors: np.ndarray) -> DataFrame:
     """``docs`` with quality_score, the calibrated probability of label 1.
 
-    Each row is scored by its whole text alone; null and empty texts have the
-    score of a text without words. All columns of ``docs`` stay; an empty table
-    gives an empty result. Vectors and network are of one size whatever the data.
+    Each row is scored by its whole text alone, very long ones a stretch of words at
+    a time, so repeated rows repeat their score and ties need no order; null and
+    empty texts have the score of a text without words. All columns of ``docs`` stay
+    but one of the added name, which is replaced; an empty table gives an empty
+    result. Vectors and network are of one size whatever the data.
     """
     held = docs.sparkSession.sparkContext.broadcast((network, vectors))
+    docs = without(docs, "quality_score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
