@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buswright.llm.common import materialise
+from buswright.llm.common import looked_up, materialise
 
 #: Names of up to this many nodes are sent to all tasks (some 40 MB); more are joined by a shuffle.
 _BROADCAST_ROWS = 1_000_000
@@ -23,18 +23,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     pairs = materialise(pairs.union(pairs.select("other", "node")), "links")
-    names = materialise(pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "names")
+    names = pairs.groupBy("node").agg(F.min("other").alias("m"), F.count(F.lit(1)).alias("degree"))
+    names = materialise(names.select("node", F.least("node", "m").alias("component"), "degree"), "names")
     nodes = names.count()
+    few, total = nodes <= _BROADCAST_ROWS, 0 if nodes <= _BROADCAST_ROWS else pairs.count()
     # a round of few nodes is a few files, however many partitions shuffles have
     parts = -(-nodes // _PART_ROWS)
-    small = (lambda df: F.broadcast(df)) if nodes <= _BROADCAST_ROWS else (lambda df: df)
     while nodes:
-        seen = pairs.join(small(names.select(F.col("node").alias("other"), "component")), "other").select("node", "component", F.lit(None).cast("long").alias("before"))
-        lower = seen.union(names.select("node", "component", F.col("component").alias("before"))).groupBy("node").agg(F.min("component").alias("near"), F.max("before").alias("before"))
+        other = names.select(F.col("node").alias("other"), "component", "degree")
+        seen = pairs.join(F.broadcast(other), "other") if few else looked_up(pairs, other, ["other"], "degree", total)
+        seen = seen.select("node", "component", F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("degree"))
+        lower = seen.union(names.select("node", "component", F.col("component").alias("before"), "degree"))
+        lower = lower.groupBy("node").agg(F.min("component").alias("near"), F.max("before").alias("before"), F.max("degree").alias("degree"))
         jump = names.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = lower.join(small(jump), "near").select("node", F.least("near", "far").alias("component"), "before")
-        new = materialise(new.coalesce(parts), "names")
-        names = new.select("node", "component")
+        if few:
+            new = lower.join(F.broadcast(jump), "near")
+        else:
+            # very many nodes may have one name
+            lower = materialise(lower, "near")
+            sizes = lower.groupBy("near").agg(F.count(F.lit(1)).alias("named"))
+            new = looked_up(lower, jump.join(sizes, "near"), ["near"], "named", nodes)
+        new = materialise(new.select("node", F.least("near", "far").alias("component"), "before", "degree").coalesce(parts), "names")
+        names = new.select("node", "component", "degree")
         if not new.agg(F.count_if(F.col("component") != F.col("before"))).first()[0]:
             break
-    return names
+    return names.select("node", "component")

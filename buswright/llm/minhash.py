@@ -181,10 +181,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def bands(docs: DataFrame) -> DataFrame:
-    """sig, doc, n, own: an index entry for each band of each document's fingerprint.
+    """sig, doc, n, own, reach: an index entry for each band of each document's fingerprint.
 
     Texts without words and null doc_ids have none. n is the number of distinct
-    shingles; own, of no use to bands, is 0.
+    shingles, all of which others may have (reach); own, of no use to bands, is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +198,10 @@ def bands(docs: DataFrame) -> DataFrame:
                     found[:, b] = mixed(found[:, b] * np.uint64(0x9E3779B97F4A7C15) + rows[:, b * ROWS + r] + np.uint64(b + 1))
             size = np.array([len(np.unique(keys[bounds[i] : bounds[i + 1]])) for i in some.tolist()], np.int64)
             ids = part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(some, BANDS)))
-            columns = [pa.array(found.reshape(-1).view(np.int64)), ids, pa.array(np.repeat(size, BANDS)), pa.array(np.zeros(len(some) * BANDS, np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["sig", "doc", "n", "own"])
+            columns = [pa.array(found.reshape(-1).view(np.int64)), ids, pa.array(np.repeat(size, BANDS)), pa.array(np.zeros(len(some) * BANDS, np.int32)), pa.array(np.repeat(size, BANDS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "doc", "n", "own", "reach"])
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "sig long, doc long, n long, own int")
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "sig long, doc long, n long, own int, reach long")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

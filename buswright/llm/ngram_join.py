@@ -19,11 +19,17 @@ be in.
 Documents with equal sets are one class and only its smallest doc_id is joined.
 Within a list of documents that share an index entry not all pairs are made.
 First each is compared with the list's most central document, the one with the
-smallest share of tokens of its own. Then, where lists aren't yet in one
-component, the documents that they connect form a group, and those outside its
-largest component are compared with all others of it; in large groups in blocks,
-by matrix products that give links and not pairs. So a group of n near copies
-costs about n comparisons, and no link between components is missed.
+smallest share of tokens of its own. Where a list isn't yet in one component, those
+of its documents go that can link with no other of it: a document's reach is how many of its
+tokens any other may have at all, and two documents of reach r and s share
+min(r, s) tokens at the most. That ends lists of a passage that many otherwise
+different texts have. The documents that the lists left over connect form a group, and
+those outside its largest component are compared with all others of it; in large
+groups in blocks, by matrix products that give links and not pairs. So a group
+of n near copies costs about n comparisons, and no link between components is missed.
+
+Tokens are 64-bit hashes of n-grams while candidates are searched; a set's name and
+the verification of a link use a second, independent hash besides.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buswright.llm.common import materialise, mixed, slices, table
+from buswright.llm.common import looked_up, materialise, mixed, slices, table
 from buswright.llm.components import components
 from buswright.llm.minhash import shingles
 
@@ -44,6 +50,8 @@ from buswright.llm.minhash import shingles
 _BROADCAST_ROWS = 2_000_000
 #: Documents of a group that is compared pair by pair, and of one side of a block in a larger one.
 _SMALL_GROUP, _BLOCK = 64, 1024
+#: Tokens of all documents of a block, about.
+_BLOCK_TOKENS = 2_000_000
 _QUARTER = np.uint64(1) << np.uint64(62)
 
 
@@ -71,9 +79,9 @@ def _band(n: int) -> int:
     return int(np.log(max(n, 1)) / np.log(1.25))
 
 
-def token_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(texts: pa.Array, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each text in ascending order, and the texts' bounds in them."""
-    keys, bounds = shingles(texts, width)
+    keys, bounds = shingles(texts, width, seed)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((keys, row))
     keys, row = keys[order], row[order]
@@ -93,8 +101,10 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
             n, some = np.diff(bounds), np.diff(bounds) > 0
             sig = np.zeros((2, len(n)), np.uint64)
             if len(keys):
+                # the second name is of the second hash
+                again, at = token_sets(part.column("text"), rule.width, 1)
                 sig[0, some] = np.add.reduceat(mixed(keys), bounds[:-1][some])
-                sig[1, some] = np.bitwise_xor.reduceat(mixed(keys + np.uint64(1)), bounds[:-1][some])
+                sig[1, some] = np.add.reduceat(mixed(again), at[:-1][some])
             # keys are sorted, so the counted quarter is the beginning of each set
             counted = np.add.reduceat((keys < _QUARTER).astype(np.int64), bounds[:-1][some]) if len(keys) else np.zeros(0, np.int64)
             count = np.zeros(len(n), np.int64)
@@ -151,20 +161,22 @@ def signatures(n: int, need: int, counts: np.ndarray, tokens: np.ndarray, rule:
     return np.unique(np.array(out, np.uint64))
 
 
-_ENTRIES = "sig long, doc long, n long, own int"
+ENTRIES = "sig long, doc long, n long, own int, reach long"
 
 
-def _packed(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
-    """Index entries of documents: (entries, doc_id, n, own)."""
+def _packed(rows: list[tuple[np.ndarray, int, int, int, int]]) -> pa.RecordBatch:
+    """Index entries of documents: (entries, doc_id, n, own, reach)."""
     size = [len(r[0]) for r in rows]
     keys = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
     columns = [pa.array(keys.view(np.int64))] + [pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), size)) for k in (1, 2)]
     own = pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), size))
-    return pa.RecordBatch.from_arrays([*columns, own], names=["sig", "doc", "n", "own"])
+    reach = pa.array(np.repeat(np.array([r[4] for r in rows], np.int64), size))
+    return pa.RecordBatch.from_arrays([*columns, own, reach], names=["sig", "doc", "n", "own", "reach"])
 
 
 def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """sig, doc, n, own: the index entries of each class, own its share of tokens of its own in thousandths."""
+    """sig, doc, n, own, reach: the index entries of each class, own its share of tokens of its own in
+    thousandths and reach the number of its tokens that others of such an entry may have."""
     classes = _classes(sets)
     rows = sets.where("tokens IS NOT NULL").select("doc_id", F.explode("tokens").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -181,12 +193,12 @@ def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, n, need, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                out.append((mixed(np.asarray(tokens.values)[:need].view(np.uint64)), doc, n, own))
+            for doc, n, need, own, alone_, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+                out.append((mixed(np.asarray(tokens.values)[:need].view(np.uint64)), doc, n, own, n - alone_))
             yield _packed(out)
 
     enough = F.size("rare") >= F.col("need")
-    first = listed.where(enough).select("doc_id", "n", "need", "own", "rare.token").mapInArrow(plain, _ENTRIES)
+    first = listed.where(enough).select("doc_id", "n", "need", "own", "alone", "rare.token").mapInArrow(plain, ENTRIES)
 
     # documents whose rare tokens don't make a prefix go on into all their other tokens
     short = listed.where(~enough)
@@ -209,81 +221,113 @@ def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 # tokens that no other of these documents has come first
                 missing = n - alone_ - len(rare_) - len(other)
                 more = signatures(n, need - len(rare_) - missing, sets_[order], other[order], rule)
-                out.append((np.concatenate([mixed(rare_), more]), doc, n, own))
+                # others of the further entries are documents like this one, which have none of the missing tokens
+                out += [(mixed(rare_), doc, n, own, n - alone_), (more, doc, n, own, n - alone_ - missing)]
             yield _packed(out)
 
-    return first.union(short.mapInArrow(further, _ENTRIES))
+    return first.union(short.mapInArrow(further, ENTRIES))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id and all tokens, ascending, of the documents wanted."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """doc_id and all tokens, ascending, of the documents wanted, by each of the hashes: tokens, tokens1."""
     wanted = materialise(wanted.distinct(), "ngram-wanted")
     slim = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     chosen = slim.join(F.broadcast(wanted) if wanted.count() <= _BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    names = ["tokens" + (str(seed) if seed else "") for seed in seeds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1_000_000):
-            keys, bounds = token_sets(part.column("text"), rule.width)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "tokens"])
+            columns = [part.column("doc_id").cast(pa.int64())]
+            for seed in seeds:
+                keys, bounds = token_sets(part.column("text"), rule.width, seed)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
 
-    return materialise(chosen.mapInArrow(run, "doc_id long, tokens array<long>"), "ngram-sets")
+    return materialise(chosen.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in names)), "ngram-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of both."""
-    sets = _whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), rule)
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * rule.percent).select("a", "b")
+    """The pairs (a, b) that link, by the whole sets of both under either hash."""
+    sets = _whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), rule, (0, 1))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"), F.col("tokens1").alias("x1"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"), F.col("tokens1").alias("y1"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    for x, y in (("x", "y"), ("x1", "y1")):
+        common = F.size(F.array_intersect(x, y))
+        both = both.where(common * 100 >= (F.size(x) + F.size(y) - common) * rule.percent)
+    return both.select("a", "b")
+
+
+def _may_link(n: Column, m: Column, reach: Column, other: Column, rule: Rule) -> Column:
+    """Whether sets of sizes n and m may link that share no more tokens than either's reach."""
+    near = F.least(n, m) * 100 >= F.greatest(n, m) * rule.percent
+    return near & (F.least(reach, other) * (100 + rule.percent) >= (n + m) * rule.percent)
 
 
-def _near_in_size(x: Column, y: Column, rule: Rule) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * rule.percent
+def _open_lists(entries: DataFrame) -> DataFrame:
+    """sig, hub, size, reach and n (the largest and the smallest) of lists whose documents aren't all in one component."""
+    lists = entries.groupBy("sig").agg(
+        F.min(F.struct("own", "doc")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("size"), F.max("reach").alias("most"), F.min("n").alias("least"),
+    )
+    return lists.where("low != high").select("sig", F.col("hub.doc").alias("hub"), "size", "most", "least")
 
 
-def _rest(docs: DataFrame, index: DataFrame, named: DataFrame, rule: Rule) -> DataFrame | None:
+def _rest(docs: DataFrame, shared: DataFrame, named: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between components in lists whose documents aren't all in one; None without such lists.
 
-    Documents that such lists connect form a group. In a group, the documents
-    outside its largest component are compared with all others: pair by pair in
-    small groups, in blocks of documents in large ones.
+    ``shared`` are the index entries that several documents have. Documents that
+    open lists connect form a group. In a group, the documents outside its largest
+    component are compared with all others: pair by pair in small groups, in blocks
+    of documents in large ones.
     """
-    entry = index.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "own", F.coalesce("component", "doc").alias("component"))
-    lists = entry.groupBy("sig").agg(F.min(F.struct("own", "doc")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_ = materialise(entry.join(lists.select("sig", F.col("hub.doc").alias("hub")), "sig").select("doc", "component", "hub").distinct(), "ngram-open")
+    entries = shared.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "n", "own", "reach", F.coalesce("component", "doc").alias("component"))
+    entries = materialise(entries, "ngram-entries")
+    total = entries.count()
+    lists = materialise(_open_lists(entries), "ngram-lists")
+    # the best partner that a list may hold has its largest reach and its smallest size
+    able = _may_link(F.col("n"), F.greatest("least", F.ceil(F.col("n") * rule.percent / 100)), F.col("reach"), F.col("most"), rule)
+    able = looked_up(entries, lists.where("size > 1"), ["sig"], "size", total).where(able).select(*entries.columns)
+    able = materialise(able, "ngram-able")
+    lists = materialise(_open_lists(able), "ngram-lists")
+    open_ = looked_up(able, lists, ["sig"], "size", total).select("doc", "component", "hub", "n", "reach")
+    open_ = materialise(open_.groupBy("doc", "component", "hub").agg(F.max("n").alias("n"), F.max("reach").alias("reach")), "ngram-open")
     if not open_.limit(1).count():
         return None
     groups = components(open_.where("doc != hub"), "doc", "hub").toDF("doc", "g")
-    sizes = index.select("doc", "n").distinct()
-    members = open_.select("doc", "component").distinct().join(groups, "doc").join(sizes, "doc")
-    parts = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size"))
-    parts = parts.groupBy("g").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
-    members = materialise(members.join(parts, "g").select("g", "doc", "n", "component", (F.col("component") != F.col("main.component")).alias("odd"), "all", (F.col("all") - F.col("main.size")).alias("odds")), "ngram-members")
+    members = open_.groupBy("doc").agg(F.max("component").alias("component"), F.max("n").alias("n"), F.max("reach").alias("reach"))
+    members = materialise(members.join(groups, "doc"), "ngram-grouped")
+    parts = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    parts = parts.groupBy("g").agg(F.max(F.struct("size", "component", "tokens")).alias("main"), F.sum("size").alias("all"), F.sum("tokens").alias("tokens"))
+    members = looked_up(members, parts, ["g"], "all", members.count())
+    blocks = lambda rows, tokens: F.ceil(F.greatest(rows / _BLOCK, tokens / _BLOCK_TOKENS)).cast("int")
+    members = members.select(
+        "g", "doc", "n", "reach", "component", "all", (F.col("component") != F.col("main.component")).alias("odd"),
+        blocks(F.col("all"), F.col("tokens")).alias("columns"), blocks(F.col("all") - F.col("main.size"), F.col("tokens") - F.col("main.tokens")).alias("rows"),
+    )
+    members = materialise(members, "ngram-members")
 
     few = members.where(F.col("all") <= _SMALL_GROUP)
-    odd = few.where("odd").select("g", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = few.select("g", F.col("doc").alias("a"), "n", "component").join(odd, "g")
-    pairs = pairs.where((F.col("component") != F.col("other")) & _near_in_size(F.col("n"), F.col("m"), rule))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-rest")
-    found = materialise(_verified(docs, pairs, rule), "ngram-links")
+    odd = few.where("odd").select("g", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("reach").alias("far"), F.col("component").alias("other"))
+    pairs = few.select("g", F.col("doc").alias("a"), "n", "reach", "component").join(odd, "g")
+    pairs = pairs.where((F.col("component") != F.col("other")) & _may_link(F.col("n"), F.col("m"), F.col("reach"), F.col("far"), rule))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     many = members.where(F.col("all") > _SMALL_GROUP)
     if many.limit(1).count():
-        found = found.union(materialise(_blocks(docs, many, rule), "ngram-links"))
-    return found
+        pairs = pairs.union(materialise(_blocks(docs, many, rule), "ngram-blocks"))
+    return materialise(_verified(docs, materialise(pairs.distinct(), "ngram-rest"), rule), "ngram-links")
 
 
 def _blocks(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """Links of large groups, a block of documents outside the main component with a block of all at a time.
+    """Pairs of large groups that link by the first hash, a block of documents outside the main component with a block of all at a time.
 
     A task has two blocks of ``_BLOCK`` documents at the most and counts common
     tokens by a product of matrices. A document gives one link for each component
     that it meets.
     """
     sets = _whole_sets(docs, members.select(F.col("doc").alias("doc_id")), rule)
-    at = F.pmod(F.xxhash64("doc"), F.ceil(F.col("all") / _BLOCK)).cast("int")
-    odd_at = F.pmod(F.xxhash64("doc"), F.ceil(F.col("odds") / _BLOCK)).cast("int")
-    rows, columns = F.ceil(F.col("odds") / _BLOCK).cast("int"), F.ceil(F.col("all") / _BLOCK).cast("int")
+    at, odd_at = F.pmod(F.xxhash64("doc"), F.col("columns")).cast("int"), F.pmod(F.xxhash64("doc"), F.col("rows")).cast("int")
+    rows, columns = F.col("rows"), F.col("columns")
     as_row = F.transform(F.sequence(F.lit(0), columns - 1), lambda j: F.struct(odd_at.alias("i"), j.alias("j"), F.lit(True).alias("row")))
     as_column = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.struct(i.alias("i"), at.alias("j"), F.lit(False).alias("row")))
     placed = members.select("g", "doc", "component", F.explode(F.when(F.col("odd"), F.concat(as_row, as_column)).otherwise(as_column)).alias("p"))
@@ -319,14 +363,15 @@ def block_links(block: pa.Table, rule: Rule) -> pa.Table:
 
 
 def components_of(docs: DataFrame, index: DataFrame, rule: Rule) -> DataFrame:
-    """(node, component) of the documents that link with another in a list of ``index`` (sig, doc, n, own)."""
-    lists = index.groupBy("sig").agg(F.min(F.struct("own", "doc", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    spokes = index.join(lists, "sig").where((F.col("doc") != F.col("hub.doc")) & _near_in_size(F.col("n"), F.col("hub.n"), rule))
+    """(node, component) of the documents that link with another in a list of ``index``, as ENTRIES."""
+    lists = index.groupBy("sig").agg(F.min(F.struct("own", "doc", "n", "reach")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialise(looked_up(index, materialise(lists, "ngram-lists"), ["sig"], "size", index.count()), "ngram-shared")
+    spokes = shared.where((F.col("doc") != F.col("hub.doc")) & _may_link(F.col("n"), F.col("hub.n"), F.col("reach"), F.col("hub.reach"), rule))
     pairs = materialise(spokes.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), "ngram-pairs")
     links = materialise(_verified(docs, pairs, rule), "ngram-links")
     named = components(links)
 
-    rest = _rest(docs, index, named, rule)
+    rest = _rest(docs, shared, named, rule)
     if rest is not None:
         named = components(links.union(rest))
     return named
@@ -338,9 +383,10 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Null and empty texts and texts of white space have no shingles and link with
     nothing; a text of fewer words than the rule's width is one shingle. doc_ids
     are distinct: rows that repeat both doc_id and text get the same result. Rows
-    without doc_id link with nothing and have a null component. An empty table
-    gives an empty result; other columns are ignored. Tokens are told apart by
-    64-bit hashes.
+    without doc_id link with nothing and have a null component. Very long texts
+    are sets like others; ties need no order, since a component is named by its
+    smallest doc_id. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     sets = materialise(_sets(docs, rule), "ngram-tokens")
     known = sets.where("doc_id IS NOT NULL")
