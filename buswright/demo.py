@@ -1,4 +1,4 @@
-"""A database and frames to try the operators on, made from a table of events."""
+"""A database and frames to try the operators on, made from a table of events: a freight tram."""
 
 from __future__ import annotations
 
@@ -7,75 +7,77 @@ from pyspark.sql import functions as F
 
 from buswright.sources.dbc import Catalog, parse
 
-DBC = """VERSION "demo"
+DBC = """VERSION "tram"
 
-BO_ 256 Engine: 8 ECU
- SG_ Speed : 7|16@0+ (0.25,0) [0|16384] "rpm" DASH
- SG_ Temp : 16|8@1+ (0.5,-40) [-40|88] "degC" DASH
- SG_ Load : 24|8@1+ (0.4,0) [0|102] "%" DASH
- SG_ Odo : 32|32@1- (1,0) [0|0] "m" DASH
+BO_ 289 Drive: 8 TCU
+ SG_ Torque : 0|16@1- (0.5,0) [-16384|16383.5] "Nm" HMI
+ SG_ Current : 23|12@0+ (0.1,-50) [-50|359.5] "A" HMI
+ SG_ Notch : 24|3@1+ (1,0) [0|7] "" HMI
+ SG_ Distance : 32|32@1+ (0.125,0) [0|0] "km" HMI
 
-BO_ 512 Wheels: 8 ECU
- SG_ Left : 7|16@0- (0.01,0) [-328|328] "km/h" DASH
- SG_ Right : 16|16@1+ (0.01,0) [0|656] "km/h" DASH
- SG_ Tail : 39|12@0+ (1,100) [0|0] "" DASH
- SG_ Mode : 48|4@1- (1,0) [-8|7] "" DASH
+BO_ 1042 Doors: 8 DCU
+ SG_ Boarded : 7|10@0+ (1,0) [0|1023] "" HMI
+ SG_ Play : 8|6@1- (0.25,1) [-7|8.75] "mm" HMI
+ SG_ State : 16|4@1- (1,0) [-8|7] "" HMI
+ SG_ Cycles : 39|20@0+ (1,0) [0|0] "" HMI
 
-BO_ 768 Damper: 8 ECU
- SG_ Always : 24|16@1+ (1,0) [0|0] "N" DASH
- SG_ Page M : 0|8@1+ (1,0) [0|255] "" DASH
- SG_ Front m0 : 8|16@1- (0.1,0) [0|0] "mm" DASH
- SG_ Rear m1 : 8|16@1- (0.1,0) [0|0] "mm" DASH
+BO_ 77 Climate: 8 HVAC
+ SG_ Power : 0|12@1+ (0.05,0) [0|204.75] "kW" HMI
+ SG_ CabinAir m2 : 16|12@1- (0.1,0) [0|0] "degC" HMI
+ SG_ Zone M : 12|4@1+ (1,0) [0|15] "" HMI
+ SG_ StoreAir m9 : 16|12@1- (0.1,-20) [0|0] "degC" HMI
+ SG_ Humidity m9 : 28|8@1+ (0.5,0) [0|127.5] "%" HMI
 
-BO_ 2566843904 Diag: 8 ECU
- SG_ Code : 0|8@1+ (1,0) [0|255] "" DASH
- SG_ Wide : 8|56@1+ (1,0) [0|0] "" DASH
+BO_ 2327633409 Faults: 8 TCU
+ SG_ Severity : 4|3@1+ (1,0) [0|7] "" HMI
+ SG_ Counter : 15|56@0+ (1,0) [0|0] "" HMI
 
-BO_ 1024 Silent: 8 ECU
+BO_ 1500 Parked: 8 TCU
 
-VAL_ 512 Mode -1 "Fault" 0 "Off" 1 "On" 2 "" ;
-VAL_ 768 Page 0 "Front axle" 1 "Rear axle" ;
-VAL_ 2566843904 Code 0 "OK" 1 "Overheat, engine" 255 "Not available" ;
+VAL_ 1042 State -2 "Jammed" 0 "Closed" 3 "Open" 5 "" ;
+VAL_ 77 Zone 2 "Cabin" 9 "Cold store" ;
+VAL_ 2327633409 Severity 1 "Minor" 4 "Stop, now" 7 "Unknown" ;
 """
 
-BROKEN_DBC = """BO_ 1 Short: 2 ECU
- SG_ Spills : 8|16@1+ (1,0) [0|0] "" X
- SG_ Fits : 0|8@1+ (1,0) [0|0] "" X
-BO_ 2 Tangled: 8 ECU
- SG_ A : 0|16@1+ (1,0) [0|0] "" X
- SG_ B : 15|8@1+ (1,0) [0|0] "" X
- SG_ C : 39|16@0+ (1,0) [0|0] "" X
-BO_ 3 Paged: 8 ECU
- SG_ Sel M : 0|8@1+ (1,0) [0|0] "" X
- SG_ P0 m0 : 8|16@1+ (1,0) [0|0] "" X
- SG_ P1 m1 : 8|16@1+ (1,0) [0|0] "" X
- SG_ Q1 m1 : 20|8@1+ (1,0) [0|0] "" X
-BO_ 2147483649 Wide: 4 ECU
- SG_ W : 7|40@0+ (1,0) [0|0] "" X
+BROKEN_DBC = """BO_ 18 Pump: 3 YARD
+ SG_ Flow : 12|16@1+ (1,0) [0|0] "" X
+ SG_ Valve : 0|8@1+ (1,0) [0|0] "" X
+BO_ 19 Winch: 8 YARD
+ SG_ Rope : 4|12@1+ (1,0) [0|0] "" X
+ SG_ Pull : 14|6@1- (1,0) [0|0] "" X
+ SG_ Angle : 31|12@0+ (1,0) [0|0] "" X
+ SG_ Tilt : 36|8@1+ (1,0) [0|0] "" X
+BO_ 20 Crane: 8 YARD
+ SG_ Axis M : 0|4@1+ (1,0) [0|0] "" X
+ SG_ Hook m1 : 8|10@1+ (1,0) [0|0] "" X
+ SG_ Boom m2 : 8|10@1+ (1,0) [0|0] "" X
+ SG_ Reach m2 : 16|8@1+ (1,0) [0|0] "" X
+BO_ 2415919122 Mast: 2 YARD
+ SG_ Sway : 7|20@0- (1,0) [0|0] "" X
 """
 
+#: The identifier of each type of event; 'error' has one that the database doesn't have.
+IDS = {"click": 289, "purchase": 1042, "view": 77, "signup": 180149761}
+UNKNOWN = 1999
+#: The zones that climate frames name in turn; the third and fourth have no page.
+ZONES = (2, 9, 5, 0)
+
 
 def catalog() -> Catalog:
     return parse(DBC, "demo")
 
 
-
-
 def frames(events: DataFrame) -> DataFrame:
-    """A frame for each event: its type picks the identifier, its numbers the payload, some cut short.
-
-    Types are the five of the table; 'error' has an identifier that the database doesn't have.
-    """
+    """A frame for each event: its type picks the identifier, its numbers the payload, some cut short."""
     v = F.round(F.col("value") * 100).cast("long")
     two = lambda x: F.lpad(F.hex(x % 256), 2, "0")
     four = lambda x: F.lpad(F.hex(x % 65536), 4, "0")
     rest = F.concat(four(F.col("user_id") * 7919), four(F.col("event_id")), four(v + F.col("user_id")))
-    plain, paged = F.concat(four(v), rest), F.concat(two(F.col("event_id") % 4), four(v), F.substring(rest, 1, 10))
-    digits = F.when(F.col("event_type") == "view", paged).otherwise(plain)
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("event_id") % len(ZONES) + 1).cast("int"))
+    head = F.when(F.col("event_type") == "view", F.concat(two(v), two(zone * 16 + F.col("user_id") % 16))).otherwise(four(v))
     size = F.when(F.col("event_id") % 89 == 0, 0).when(F.col("event_id") % 97 == 0, 3).otherwise(8)
-    ids = {"click": 256, "purchase": 512, "view": 768, "signup": 0x18FEEE00}
-    can_id = F.lit(2047)
-    for name, number in ids.items():
+    can_id = F.lit(UNKNOWN)
+    for name, number in IDS.items():
         can_id = F.when(F.col("event_type") == name, number).otherwise(can_id)
     return events.select(
         F.col("event_id").alias("seq"),
@@ -83,26 +85,26 @@ def frames(events: DataFrame) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         can_id.cast("long").alias("can_id"),
         (F.col("event_type") == "signup").alias("is_extended"),
-        F.unhex(F.substring(digits, F.lit(1), size * 2)).alias("payload"),
+        F.unhex(F.substring(F.concat(head, rest), F.lit(1), size * 2)).alias("payload"),
         size.cast("int").alias("len"),
         F.lit(None).cast("int").alias("len8_dlc"),
     )
 
 
 #: DuckDB's form of :func:`frames`, with the payload as hex digits ``h``.
-FRAMES_SQL = """
+FRAMES_SQL = f"""
 f0 AS (
   SELECT event_id, ts, event_type, user_id, CAST(round(value * 100) AS BIGINT) AS v,
          CASE WHEN event_id % 89 = 0 THEN 0 WHEN event_id % 97 = 0 THEN 3 ELSE 8 END AS len
   FROM events
 ), f1 AS (
-  SELECT *, printf('%04X', (user_id * 7919) % 65536) || printf('%04X', event_id % 65536) || printf('%04X', (v + user_id) % 65536) AS rest FROM f0
+  SELECT *, printf('%04X', (user_id * 7919) % 65536) || printf('%04X', event_id % 65536) || printf('%04X', (v + user_id) % 65536) AS rest,
+         CASE WHEN event_type = 'view' THEN printf('%02X', v % 256) || printf('%02X', {list(ZONES)}[event_id % {len(ZONES)} + 1] * 16 + user_id % 16) ELSE printf('%04X', v % 65536) END AS head
+  FROM f0
 ), frames AS (
   SELECT event_id AS seq, epoch_us(ts) AS ts_us,
-         CAST(CASE event_type WHEN 'click' THEN 256 WHEN 'purchase' THEN 512 WHEN 'view' THEN 768 WHEN 'signup' THEN 419360256 ELSE 2047 END AS BIGINT) AS can_id,
-         event_type = 'signup' AS is_extended,
-         substr(CASE WHEN event_type = 'view' THEN printf('%02X', event_id % 4) || printf('%04X', v % 65536) || substr(rest, 1, 10)
-                     ELSE printf('%04X', v % 65536) || rest END, 1, 2 * len) AS h, len
+         CAST(CASE event_type {" ".join(f"WHEN '{k}' THEN {n}" for k, n in IDS.items())} ELSE {UNKNOWN} END AS BIGINT) AS can_id,
+         event_type = 'signup' AS is_extended, substr(head || rest, 1, 2 * len) AS h, len
   FROM f1
 )
 """

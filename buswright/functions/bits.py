@@ -73,10 +73,21 @@ class _Window:
         self.ninth = F.conv(F.substring(self.digits, 17, 2), 16, 10).cast("long")
 
     def big(self) -> Column:
-        return F.conv(F.substring(self.digits, 1, 16), 16, -10).cast("long")
+        return word(F.substring(self.digits, 1, 16))
 
     def little(self) -> Column:
-        return F.conv(reversed_bytes(F.substring(self.digits, 1, 16)), 16, -10).cast("long")
+        return little_word(F.substring(self.digits, 1, 16))
+
+
+def word(digits: Column) -> Column:
+    """The 64 bits that sixteen hex digits spell."""
+    return F.conv(digits, 16, -10).cast("long")
+
+
+def little_word(digits: Column) -> Column:
+    """:func:`word` with the bytes in the opposite order: the digits reversed and then each byte's two swapped."""
+    back, low = word(F.reverse(digits)), F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(back.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(back, 4).bitwiseAND(low))
 
 
 def reversed_bytes(digits: Column) -> Column:
@@ -84,6 +95,44 @@ def reversed_bytes(digits: Column) -> Column:
     return F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])
 
 
+def payload_words(payload: Column) -> Column:
+    """A payload as words of eight bytes, each in either byte order: big, little, big, little and so on.
+
+    The last is filled up with zeros and an empty payload is one word. Payloads of
+    eight bytes, which most are, take two conversions.
+    """
+
+    def both(digits: Column) -> Column:
+        digits = F.rpad(digits, 16, "0")
+        return F.array(word(digits), little_word(digits))
+
+    each = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(payload) - 1, 3)), lambda k: both(F.hex(F.substring(payload, 8 * k + 1, F.lit(8)))))
+    return F.when(F.length(payload) <= 8, both(F.hex(payload))).otherwise(F.flatten(each))
+
+
+def placement(start: Value, length: Value, motorola: Value) -> Column:
+    """Where a field lies in :func:`payload_words`: struct(at, r, l, a, b, c, mask).
+
+    The field is ``(words[at] >>> r << l | words[at + 2] >>> a << b << c) & mask``. A
+    shift by 64 is one by 1 and one by 63, which is how a word drops out.
+    """
+    start, length = _col(start).cast("int"), _col(length).cast("int")
+    first = _choose(motorola, F.shiftleft(F.shiftright(start, 3), 3) + 7 - start.bitwiseAND(F.lit(7)), start)
+    offset = first.bitwiseAND(F.lit(63))
+    over = F.greatest(offset + length - 64, F.lit(0))
+    at = 2 * F.shiftright(first, 6)
+    big = F.struct(at.alias("at"), F.greatest(64 - offset - length, F.lit(0)).alias("r"), over.alias("l"), F.when(over > 0, 64 - over).otherwise(0).alias("a"), (over == 0).cast("int").alias("b"), F.when(over > 0, 0).otherwise(63).alias("c"), mask(length).alias("mask"))
+    little = F.struct((at + 1).alias("at"), offset.alias("r"), F.lit(0).alias("l"), F.lit(0).alias("a"), F.lit(1).alias("b"), (63 - offset).alias("c"), mask(length).alias("mask"))
+    return _choose(motorola, big, little)
+
+
+def placed_raw(words: Column, place: Column) -> Column:
+    """The bits of a field by its :func:`placement`."""
+    one, two = F.get(words, place["at"]), F.coalesce(F.get(words, place["at"] + 2), F.lit(0).cast("long"))
+    upper = _left(_left(_right(two, place["a"]), place["b"]), place["c"])
+    return _left(_right(one, place["r"]), place["l"]).bitwiseOR(upper).bitwiseAND(place["mask"])
+
+
 def _nine(start: Value, length: Value, motorola: Value) -> bool:
     """Whether a field may need the ninth byte; known only for layouts given as numbers."""
     if isinstance(start, Column) or isinstance(length, Column) or isinstance(motorola, Column):
@@ -94,21 +143,23 @@ def _nine(start: Value, length: Value, motorola: Value) -> bool:
 def extract_raw(payload: Column, start: Value, length: Value, motorola: Value, fits: Column | None = None) -> Column:
     """The field's bits as an unsigned pattern; null where the payload is too short.
 
-    ``fits`` replaces the length check by one that the caller has at hand.
+    ``fits`` replaces the length check by one that the caller has at hand. Both byte
+    orders are the same shifts of a word and the byte after it with other counts,
+    so each is read once.
     """
     if fits is None:
         fits = required_bytes(start, length, motorola) <= F.length(payload)
-    w, size, low = _Window(payload, start), _col(length), mask(length)
-    nine = _nine(start, length, motorola)
-
-    little = _right(w.little(), w.bit)
-    if nine:
-        little = F.when(w.bit == 0, w.little()).otherwise(little.bitwiseOR(_left(w.ninth, F.lit(64) - w.bit)))
-    end = F.lit(7) - w.bit + size
-    big = _right(w.big(), F.lit(64) - end)
-    if nine:
-        big = F.when(end <= 64, big).otherwise(_left(w.big(), end - 64).bitwiseOR(_right(w.ninth, F.lit(72) - end)))
-    return F.when(fits, _choose(motorola, big, little).bitwiseAND(low))
+    w, size = _Window(payload, start), _col(length)
+    first = F.substring(w.digits, 1, 16)
+    held = word(_choose(motorola, first, reversed_bytes(first)))
+    # bits below the field in the nine bytes, of a Motorola field
+    below = F.lit(65) + w.bit - size
+    out = _left(_right(held, _choose(motorola, F.greatest(below - 8, F.lit(0)), w.bit)), _choose(motorola, F.greatest(8 - below, F.lit(0)), F.lit(0)))
+    if _nine(start, length, motorola):
+        # shifted by 64 where no bit of the byte belongs to the field
+        down, up, far = _choose(motorola, F.least(below, F.lit(63)), F.lit(0)), _choose(motorola, F.lit(0), F.lit(1)), _choose(motorola, F.lit(0), F.lit(63) - w.bit)
+        out = out.bitwiseOR(_left(_left(_right(w.ninth, down), up), far))
+    return F.when(fits, out.bitwiseAND(mask(length)))
 
 
 def insert_status(payload: Column, start: Value, length: Value, motorola: Value, raw: Column) -> Column:

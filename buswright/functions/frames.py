@@ -66,7 +66,12 @@ def id_text(can_id: Column, is_extended: Column) -> Column:
     return F.when(is_extended, F.lpad(F.hex(can_id), 8, "0")).otherwise(F.lpad(F.hex(can_id), 3, "0"))
 
 
+def whole_seconds(micros: Column) -> Column:
+    """Microseconds in whole seconds, exact over the range of BIGINT."""
+    return F.call_function("div", micros - F.pmod(micros, F.lit(1_000_000)), F.lit(1_000_000))
+
+
 def timestamp_text(ts_us: Column) -> Column:
     """Seconds with six digits of microseconds."""
-    seconds, micros = F.floor(ts_us / F.lit(1_000_000)), F.pmod(ts_us, F.lit(1_000_000))
-    return F.concat(seconds.cast("long").cast("string"), F.lit("."), F.lpad(micros.cast("string"), 6, "0"))
+    micros = F.pmod(ts_us, F.lit(1_000_000))
+    return F.concat(whole_seconds(ts_us).cast("string"), F.lit("."), F.lpad(micros.cast("string"), 6, "0"))

@@ -23,9 +23,9 @@ def unsigned_text(raw: Column) -> Column:
 
 
 def unsigned_double(raw: Column) -> Column:
-    """The double next to an unsigned pattern."""
-    wide = (raw.cast("decimal(20,0)") + F.lit(_TWO_64).cast("decimal(20,0)")).cast("double")
-    return F.when(raw >= 0, raw.cast("double")).otherwise(wide)
+    """The double next to an unsigned pattern: its upper 63 bits, the last of which remembers the one that goes, doubled."""
+    halved = F.shiftrightunsigned(raw, 1).bitwiseOR(raw.bitwiseAND(F.lit(1)))
+    return F.when(raw >= 0, raw.cast("double")).otherwise(halved.cast("double") * 2)
 
 
 def scale(raw: Column, length: Value, signed: Value, factor: Value, offset: Value) -> Column:

@@ -1,8 +1,10 @@
 """Frames to physical values.
 
 The join with the catalog is one hash lookup a frame, the rest of the plan is a
-projection: nothing is shuffled. The catalog's rows carry the layout of their
-message's multiplexor, so a frame's selector is read in the same row.
+projection: nothing is shuffled. A frame's payload becomes words once, before the
+join; where a field lies in them is worked out once for each row of the catalog, so a
+signal is a few shifts. The catalog's rows carry the layout of their message's
+multiplexor, so a frame's selector is read in the same row.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buswright.functions.bits import extract_raw
+from buswright.functions.bits import payload_words, placed_raw, placement
 from buswright.functions.values import label, scale
 from buswright.sources.dbc import Catalog
 
@@ -33,26 +35,39 @@ def decode_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
     are dropped. Frames may be a stream.
     """
     signals = catalog.signals(frames.sparkSession)
-    return decode_with(frames, small(signals, catalog.signal_count))
-
-
-def decode_with(frames: DataFrame, signals: DataFrame) -> DataFrame:
-    """:func:`decode_frames` with a table of signals, such as one of many databases."""
-    at = frames.select("seq", "ts_us", *_KEY, "payload").join(signals, _KEY)
-    size = F.length("payload")
-    selector = F.when(F.col("mux_kind") == "m", extract_raw(F.col("payload"), F.col("mux_start"), F.col("mux_length"), F.col("mux_motorola"), F.col("mux_required") <= size))
-    on_page = ~F.col("has_mux") | ~F.coalesce(F.col("mux_kind") == "m", F.lit(False)) | F.coalesce(selector == F.col("mux_page"), F.lit(False))
-    at = at.where(on_page)
-    raw = extract_raw(F.col("payload"), F.col("start_bit"), F.col("length"), F.col("is_motorola"), F.col("required") <= size)
-    at = at.withColumn("raw", raw)
+    return decode_with(frames, signals, catalog.signal_count)
+
+
+def _laid_out(signals: DataFrame) -> DataFrame:
+    """What decoding needs of a table of signals, with the places of each and of its page's selector."""
+    paged = F.col("has_mux") & F.coalesce(F.col("mux_kind") == "m", F.lit(False))
+    return signals.select(
+        *_KEY, "message", "sig_ix", "signal", "length", "is_signed", "factor", "offset", "unit", "labels", "required",
+        placement(F.col("start_bit"), F.col("length"), F.col("is_motorola")).alias("place"),
+        paged.alias("paged"), "mux_page", "mux_required",
+        F.when(paged, placement(F.col("mux_start"), F.col("mux_length"), F.col("mux_motorola"))).alias("mux_place"),
+    )
+
+
+def decode_with(frames: DataFrame, signals: DataFrame, count: int | None = None) -> DataFrame:
+    """:func:`decode_frames` with a table of signals, such as one of many databases.
+
+    Up to :data:`BROADCAST_SIGNALS` of them are sent to all tasks; where ``count``
+    isn't given Spark judges by their size.
+    """
+    at = frames.select("seq", "ts_us", *_KEY, F.length("payload").alias("available"), payload_words(F.col("payload")).alias("words"))
+    laid = _laid_out(signals)
+    at = at.join(laid if count is None else small(laid, count), _KEY)
+    selected = (F.col("mux_required") <= F.col("available")) & (placed_raw(F.col("words"), F.col("mux_place")) == F.col("mux_page"))
+    at = at.where(~F.col("paged") | F.coalesce(selected, F.lit(False)))
+    at = at.withColumn("raw", F.when(F.col("required") <= F.col("available"), placed_raw(F.col("words"), F.col("place"))))
     return at.select(
         "seq", "ts_us", *_KEY, "message", "sig_ix", "signal", "raw",
         scale(F.col("raw"), F.col("length"), F.col("is_signed"), F.col("factor"), F.col("offset")).alias("value"),
         "unit",
         label(F.col("raw"), F.col("length"), F.col("is_signed"), F.col("labels")).alias("label"),
         F.when(F.col("raw").isNull(), "unfit").otherwise("ok").alias("status"),
-        "required",
-        size.alias("available"),
+        "required", "available",
     )
 
 
@@ -73,17 +88,16 @@ def tally(frames: DataFrame, catalog: Catalog) -> DataFrame:
     are counted in place.
     """
     spark = frames.sparkSession
-    layouts = catalog.signals(spark).groupBy(*_KEY).agg(F.collect_list(F.struct("mux_kind", "mux_page", "required", "mux_start", "mux_length", "mux_motorola", "mux_required", "has_mux")).alias("signals"))
+    laid = _laid_out(catalog.signals(spark))
+    layouts = laid.groupBy(*_KEY).agg(F.collect_list(F.struct("paged", "mux_page", "required")).alias("signals"), F.max("mux_place").alias("mux"), F.max("mux_required").alias("mux_required"))
     known = catalog.messages(spark).select(*_KEY, F.lit(True).alias("known")).join(layouts, _KEY, "left")
-    at = frames.join(small(known, catalog.signal_count), _KEY, "left")
-    size = F.length("payload")
-    mux = F.filter("signals", lambda s: s["mux_kind"] == "M")[0]
-    selector = extract_raw(F.col("payload"), mux["mux_start"], mux["mux_length"], mux["mux_motorola"], mux["mux_required"] <= size)
-    at = at.withColumn("__selector", F.when(F.size(F.filter("signals", lambda s: s["mux_kind"] == "M")) > 0, selector))
+    at = frames.select(*_KEY, F.length("payload").alias("size"), payload_words(F.col("payload")).alias("words"))
+    at = at.join(small(known, catalog.signal_count), _KEY, "left")
+    size = F.col("size")
+    at = at.withColumn("selector", F.when(F.col("mux_required") <= size, placed_raw(F.col("words"), F.col("mux"))))
 
     def unfit(s: Column) -> Column:
-        here = ~s["has_mux"] | ~F.coalesce(s["mux_kind"] == "m", F.lit(False)) | F.coalesce(F.col("__selector") == s["mux_page"], F.lit(False))
-        return (s["required"] > size) & here
+        return (s["required"] > size) & (~s["paged"] | F.coalesce(F.col("selector") == s["mux_page"], F.lit(False)))
 
     return at.agg(
         F.count_if(F.col("known")).alias("frames"),

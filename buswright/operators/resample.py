@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buswright.operators.decode import decode_frames
+from buswright.operators.decode import decode_frames, small
 from buswright.sources.dbc import Catalog
 
 #: Sample rates in Hz that loggers are set to.
@@ -34,13 +34,18 @@ def span(frames: DataFrame) -> DataFrame:
 def default_rate(frames: DataFrame) -> DataFrame:
     """One row: start_us, end_us, fastest (Hz of the most frequent identifier) and rate, the first of
     :data:`RATES` that isn't slower. Identifiers count by number, whatever their width."""
+    return _about(frames).drop("frames")
+
+
+def _about(frames: DataFrame) -> DataFrame:
+    """:func:`default_rate` with the number of frames."""
     per = frames.groupBy("can_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-    all_ = per.agg(F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.max("n").alias("n"))
+    all_ = per.agg(F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.max("n").alias("n"), F.sum("n").alias("frames"))
     seconds = (F.col("end_us") - F.col("start_us")) / F.lit(float(_SECOND))
     ladder = F.array(*[F.lit(r) for r in RATES])
     fastest = F.when(seconds > 0, (F.col("n") - 1) / seconds)
     step = F.coalesce(F.array_min(F.filter(ladder, lambda r: r >= F.col("fastest"))), F.lit(RATES[-1]))
-    return all_.withColumn("fastest", fastest).select("start_us", "end_us", "fastest", F.when(F.col("fastest").isNull(), F.lit(RATES[0])).otherwise(step).cast("int").alias("rate"))
+    return all_.withColumn("fastest", fastest).select("start_us", "end_us", "fastest", F.when(F.col("fastest").isNull(), F.lit(RATES[0])).otherwise(step).cast("int").alias("rate"), "frames")
 
 
 def grid_points(start_us: int, end_us: int, rate: int) -> int:
@@ -71,7 +76,10 @@ def hold(updates: DataFrame, keys: list[str], first_index: Column, points: Colum
 
 def index_at_rate(ts_us: Column, start_us: int, rate: int) -> Column:
     """The first k whose grid time start + k * 1e6 div rate is at or after ``ts_us``."""
-    return F.floor(((ts_us - F.lit(start_us)) * F.lit(rate) + F.lit(_SECOND - 1)) / F.lit(_SECOND)).cast("long")
+    past = ts_us - F.lit(start_us)
+    div = lambda x, y: F.call_function("div", x, F.lit(y))
+    # whole seconds and the rest apart: no product leaves the range of a BIGINT, no quotient goes through a double
+    return div(past, _SECOND) * F.lit(rate) + div((past % F.lit(_SECOND)) * F.lit(rate) + F.lit(_SECOND - 1), _SECOND)
 
 
 @dataclass
@@ -107,26 +115,27 @@ def sample(frames: DataFrame, catalog: Catalog, rate: int | None = None) -> Samp
     any signal of the catalog and more than 512 MiB of samples, in that order.
     """
     spark = frames.sparkSession
-    about = default_rate(frames).first()
+    about = _about(frames).first()
     if about.start_us is None:
-        raise ExportError("the log holds no frames")
+        raise ExportError("a log without frames has nothing to sample")
     if rate == 0:
-        raise ExportError("a sample rate of 0 Hz describes no grid")
+        raise ExportError("0 Hz is not a rate to sample at")
     rate = about.rate if rate is None else rate
     points = grid_points(about.start_us, about.end_us, rate)
 
     decoded = decode_frames(frames, catalog)
     places = layout(catalog)
     slots = spark.createDataFrame([p[:4] for p in places], "channel_ix INT, can_id BIGINT, is_extended BOOLEAN, signal STRING")
-    updates = decoded.join(F.broadcast(slots), ["can_id", "is_extended", "signal"])
-    carried = {r.channel_ix: r.n for r in updates.groupBy("channel_ix").agg(F.count_if(F.col("status") == "ok").alias("n")).collect()}
-    skipped = decoded.where("status = 'unfit'").count()
+    updates = decoded.join(small(slots, len(places)), ["can_id", "is_extended", "signal"])
+    # one row a channel: values that fit and values that don't
+    found = updates.groupBy("channel_ix").agg(F.count_if(F.col("status") == "ok").alias("n"), F.count_if(F.col("status") == "unfit").alias("unfit")).collect()
+    carried, skipped = {r.channel_ix: r.n for r in found}, sum(r.unfit for r in found)
     channels = [(ix, name, unit) for ix, _, _, name, unit in places if carried.get(ix)]
     if not channels:
-        raise ExportError("no signal in the database was decoded from this log")
+        raise ExportError("the log carries none of the database's signals")
     size = len(channels) * points * 4
     if size > MAX_SAMPLE_BYTES:
-        raise ExportError(f"{len(channels)} channels at {rate} Hz over this log need {size} bytes of samples; pass a lower rate")
+        raise ExportError(f"sampling {len(channels)} channels at {rate} Hz takes {size} bytes, more than {MAX_SAMPLE_BYTES}; a lower rate takes less")
     values = updates.where("status = 'ok'").select("channel_ix", "ts_us", "seq", F.col("value").cast("float").alias("sample"))
     held = hold(values, ["channel_ix"], index_at_rate(F.col("ts_us"), about.start_us, rate), points, "sample")
-    return Sampled(held, channels, about.start_us, rate, points, frames.count(), skipped)
+    return Sampled(held, channels, about.start_us, rate, points, about.frames, skipped)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buswright import demo
@@ -52,34 +52,37 @@ def _signed(x: str, length: int) -> str:
     return f"(CASE WHEN {x} >= {1 << (length - 1)} THEN {x} - {1 << length} ELSE {x} END)"
 
 
-# message, identifier, signal index, signal, bytes needed, raw, number, factor, offset, unit, label, page
+# message, identifier, signal index, signal, bytes needed, raw, bits if signed, factor, offset, unit, decimals, label, page
+_ZONE = f"({_byte(1)} // 16)"
 _LAYOUT = [
-    ("Engine", 256, 0, "Speed", 2, f"({_byte(0)} * 256 + {_byte(1)})", None, 0.25, 0, "rpm", None, None),
-    ("Engine", 256, 1, "Temp", 3, _byte(2), None, 0.5, -40, "degC", None, None),
-    ("Engine", 256, 2, "Load", 4, _byte(3), None, 0.4, 0, "%", None, None),
-    ("Engine", 256, 3, "Odo", 8, _little(4, 4), 32, 1, 0, "m", None, None),
-    ("Wheels", 512, 0, "Left", 2, f"({_byte(0)} * 256 + {_byte(1)})", 16, 0.01, 0, "km/h", None, None),
-    ("Wheels", 512, 1, "Right", 4, _little(2, 2), None, 0.01, 0, "km/h", None, None),
-    ("Wheels", 512, 2, "Tail", 6, f"({_byte(4)} * 16 + {_byte(5)} // 16)", None, 1, 100, "", None, None),
-    ("Wheels", 512, 3, "Mode", 7, f"({_byte(6)} % 16)", 4, 1, 0, "", {-1: "Fault", 0: "Off", 1: "On", 2: ""}, None),
-    ("Damper", 768, 0, "Always", 5, _little(3, 2), None, 1, 0, "N", None, None),
-    ("Damper", 768, 1, "Page", 1, _byte(0), None, 1, 0, "", {0: "Front axle", 1: "Rear axle"}, None),
-    ("Damper", 768, 2, "Front", 3, _little(1, 2), 16, 0.1, 0, "mm", None, 0),
-    ("Damper", 768, 3, "Rear", 3, _little(1, 2), 16, 0.1, 0, "mm", None, 1),
-    ("Diag", 419360256, 0, "Code", 1, _byte(0), None, 1, 0, "", {0: "OK", 1: "Overheat, engine", 255: "Not available"}, None),
-    ("Diag", 419360256, 1, "Wide", 8, _little(1, 7), None, 1, 0, "", None, None),
+    ("Drive", 289, 0, "Torque", 2, _little(0, 2), 16, 0.5, 0, "Nm", 1, None, None),
+    ("Drive", 289, 1, "Current", 4, f"({_byte(2)} * 16 + {_byte(3)} // 16)", None, 0.1, -50, "A", 1, None, None),
+    ("Drive", 289, 2, "Notch", 4, f"({_byte(3)} % 8)", None, 1, 0, "", 0, None, None),
+    ("Drive", 289, 3, "Distance", 8, _little(4, 4), None, 0.125, 0, "km", 3, None, None),
+    ("Doors", 1042, 0, "Boarded", 2, f"({_byte(0)} * 4 + {_byte(1)} // 64)", None, 1, 0, "", 0, None, None),
+    ("Doors", 1042, 1, "Play", 2, f"({_byte(1)} % 64)", 6, 0.25, 1, "mm", 2, None, None),
+    ("Doors", 1042, 2, "State", 3, f"({_byte(2)} % 16)", 4, 1, 0, "", 0, {-2: "Jammed", 0: "Closed", 3: "Open", 5: ""}, None),
+    ("Doors", 1042, 3, "Cycles", 7, f"({_byte(4)} * 4096 + {_byte(5)} * 16 + {_byte(6)} // 16)", None, 1, 0, "", 0, None, None),
+    ("Climate", 77, 0, "Power", 2, f"({_byte(0)} + ({_byte(1)} % 16) * 256)", None, 0.05, 0, "kW", 2, None, None),
+    ("Climate", 77, 1, "CabinAir", 4, f"({_byte(2)} + ({_byte(3)} % 16) * 256)", 12, 0.1, 0, "degC", 1, None, 2),
+    ("Climate", 77, 2, "Zone", 2, _ZONE, None, 1, 0, "", 0, {2: "Cabin", 9: "Cold store"}, None),
+    ("Climate", 77, 3, "StoreAir", 4, f"({_byte(2)} + ({_byte(3)} % 16) * 256)", 12, 0.1, -20, "degC", 1, None, 9),
+    ("Climate", 77, 4, "Humidity", 5, f"({_byte(3)} // 16 + ({_byte(4)} % 16) * 16)", None, 0.5, 0, "%", 1, None, 9),
+    ("Faults", 180149761, 0, "Severity", 1, f"(({_byte(0)} // 16) % 8)", None, 1, 0, "", 0, {1: "Minor", 4: "Stop, now", 7: "Unknown"}, None),
+    ("Faults", 180149761, 1, "Counter", 8, "(" + " + ".join(f"{_byte(1 + i)} * {256 ** (6 - i)}" for i in range(7)) + ")", None, 1, 0, "", 0, None, None),
 ]
+_KNOWN = "(289, 1042, 77, 180149761, 1500)"
 
 
 def _decoded_sql() -> str:
     parts = []
-    for message, can_id, ix, name, need, raw, signed, factor, offset, unit, labels, page in _LAYOUT:
+    for message, can_id, ix, name, need, raw, signed, factor, offset, unit, _, labels, page in _LAYOUT:
         number = _signed(raw, signed) if signed else raw
         label = "CAST(NULL AS VARCHAR)"
         if labels:
             label = f"CASE {number} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.items()) + " END"
         fits = f"len >= {need}"
-        on_page = "" if page is None else f" AND len >= 1 AND {_byte(0)} = {page}"
+        on_page = "" if page is None else f" AND len >= 2 AND {_ZONE} = {page}"
         parts.append(
             f"SELECT seq, ts_us, can_id, is_extended, '{message}' AS message, {ix} AS sig_ix, '{name}' AS signal, CASE WHEN {fits} THEN {raw} END AS raw, "
             f"CASE WHEN {fits} THEN CAST({number} AS DOUBLE) * {float(factor)}::DOUBLE + {float(offset)}::DOUBLE END AS value, '{unit}' AS unit, "
@@ -180,64 +183,66 @@ def candump_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candump.parse_lines(at).select("event_id", "kind", "ts_us", F.hex("payload").alias("payload_hex"))
 
 
-@query(f"WITH {_F} SELECT seq, {_little(0, 2)} AS a, CAST(({_little(1, 7)} >> 3) & 8191 AS BIGINT) AS b FROM frames WHERE len = 8")
+@query(f"WITH {_F} SELECT seq, {_little(0, 2)} AS a, CAST(({_little(1, 2)} >> 3) & 8191 AS BIGINT) AS b FROM frames")
 def extract_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("payload")
-    return _frames(spark, sf_dir).where("len = 8").select("seq", bits.extract_raw(p, 0, 16, False).alias("a"), bits.extract_raw(p, F.lit(11), F.lit(13), F.lit(False)).alias("b"))
+    return _frames(spark, sf_dir).select("seq", bits.extract_raw(p, 0, 16, False).alias("a"), bits.extract_raw(p, F.lit(11), F.lit(13), F.lit(False)).alias("b"))
 
 
-@query(f"WITH {_F} SELECT seq, {_byte(0)} * 256 + {_byte(1)} AS a, (({_byte(2)} * 65536 + {_byte(3)} * 256 + {_byte(4)}) >> 5) & 32767 AS b FROM frames WHERE len = 8")
+@query(f"WITH {_F} SELECT seq, {_byte(0)} * 256 + {_byte(1)} AS a, (({_byte(2)} * 65536 + {_byte(3)} * 256 + {_byte(4)}) >> 5) & 32767 AS b FROM frames")
 def extract_motorola(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field b starts at bit 3 of byte 2 and has 15 bits down to bit 5 of byte 4."""
     p = F.col("payload")
-    return _frames(spark, sf_dir).where("len = 8").select("seq", bits.extract_raw(p, 7, 16, True).alias("a"), bits.extract_raw(p, F.lit(19), F.lit(15), F.lit(True)).alias("b"))
+    return _frames(spark, sf_dir).select("seq", bits.extract_raw(p, 7, 16, True).alias("a"), bits.extract_raw(p, F.lit(19), F.lit(15), F.lit(True)).alias("b"))
 
 
 _REV9 = " || ".join(f"substr(h2, {2 * i + 1}, 2)" for i in range(8, -1, -1))
 
 
-@query(f"""WITH {_F}, two AS (SELECT seq, h || reverse(h) AS h2 FROM frames WHERE len = 8)
+@query(f"""WITH {_F}, two AS (SELECT seq, CASE WHEN len = 8 THEN h || reverse(h) END AS h2 FROM frames)
 SELECT seq, CAST((('0x' || {_REV9})::UHUGEINT >> 4) & 18446744073709551615::UHUGEINT AS VARCHAR) AS intel,
        CAST((('0x' || substr(h2, 1, 18))::UHUGEINT >> 4) & 18446744073709551615::UHUGEINT AS VARCHAR) AS motorola FROM two""")
 def extract_nine_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir).where("len = 8").withColumn("p", F.unhex(F.concat(F.hex("payload"), F.reverse(F.hex("payload")))))
+    f = _frames(spark, sf_dir).withColumn("p", F.unhex(F.concat(F.hex("payload"), F.reverse(F.hex("payload")))))
     raw = [bits.extract_raw(F.col("p"), F.lit(s), F.lit(64), F.lit(m)) for s, m in ((4, False), (3, True))]
     return f.select("seq", values.unsigned_text(raw[0]).alias("intel"), values.unsigned_text(raw[1]).alias("motorola"))
 
 
-@query(f"WITH {_F} SELECT seq, {_signed('x', 16)} AS a, {_signed('(x % 4096)', 12)} AS b FROM (SELECT seq, {_little(0, 2)} AS x FROM frames WHERE len = 8)")
+@query(f"WITH {_F} SELECT seq, {_signed('x', 16)} AS a, {_signed('(x % 4096)', 12)} AS b FROM (SELECT seq, {_little(0, 2)} AS x FROM frames)")
 def sign_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bits.extract_raw(F.col("payload"), 0, 16, False)
-    return _frames(spark, sf_dir).where("len = 8").select("seq", values.sign_extend(x, 16).alias("a"), values.sign_extend(x, F.lit(12)).alias("b"))
+    return _frames(spark, sf_dir).select("seq", values.sign_extend(x, 16).alias("a"), values.sign_extend(x, F.lit(12)).alias("b"))
 
 
-@query(f"WITH {_F} SELECT seq, CAST(x AS DOUBLE) * 0.1::DOUBLE - 40::DOUBLE AS a, CAST({_signed('x', 16)} AS DOUBLE) * 0.25::DOUBLE + 3::DOUBLE AS b FROM (SELECT seq, {_little(0, 2)} AS x FROM frames WHERE len = 8)")
+@query(f"WITH {_F} SELECT seq, CAST(x AS DOUBLE) * 0.1::DOUBLE - 40::DOUBLE AS a, CAST({_signed('x', 16)} AS DOUBLE) * 0.25::DOUBLE + 3::DOUBLE AS b FROM (SELECT seq, {_little(0, 2)} AS x FROM frames)")
 def scale_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bits.extract_raw(F.col("payload"), 0, 16, False)
-    return _frames(spark, sf_dir).where("len = 8").select("seq", values.scale(x, 16, False, 0.1, -40.0).alias("a"), values.scale(x, F.lit(16), F.lit(True), F.lit(0.25), F.lit(3.0)).alias("b"))
+    return _frames(spark, sf_dir).select("seq", values.scale(x, 16, False, 0.1, -40.0).alias("a"), values.scale(x, F.lit(16), F.lit(True), F.lit(0.25), F.lit(3.0)).alias("b"))
 
 
-@query(f"WITH {_F}, {_D} SELECT seq, signal, raw, label FROM decoded WHERE signal IN ('Mode', 'Code', 'Page') AND status = 'ok'")
+@query(f"WITH {_F}, {_D} SELECT seq, signal, raw, label FROM decoded WHERE signal IN ('State', 'Severity', 'Zone') AND status = 'ok'")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.decode_frames(_frames(spark, sf_dir), demo.catalog().select(["Mode", "Code", "Page"])).where("status = 'ok'").select("seq", "signal", "raw", "label")
+    return decode.decode_frames(_frames(spark, sf_dir), demo.catalog().select(["State", "Severity", "Zone"])).where("status = 'ok'").select("seq", "signal", "raw", "label")
 
 
-@query(f"WITH {_F}, {_D} SELECT seq, signal, raw, value FROM decoded WHERE message = 'Damper' AND available = 8 AND seq % 4 < 2")
+@query(f"WITH {_F}, {_D} SELECT seq, signal, raw, value, status FROM decoded WHERE message = 'Climate'")
 def mux_page_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode.decode_frames(_frames(spark, sf_dir), demo.catalog())
-    return d.where("message = 'Damper' AND available = 8 AND seq % 4 < 2").select("seq", "signal", "raw", "value")
+    """All rows of multiplexed frames, whichever page they select or don't."""
+    return decode.decode_frames(_frames(spark, sf_dir), demo.catalog()).where("message = 'Climate'").select("seq", "signal", "raw", "value", "status")
 
 
-@query(f"WITH {_F}, {_D} SELECT seq, signal, raw FROM decoded WHERE message = 'Damper' AND available = 8 AND seq % 4 >= 2")
+@query(f"WITH {_F}, {_D} SELECT seq, min(raw) FILTER (signal = 'Zone') AS selector, count(*) AS signals FROM decoded WHERE message = 'Climate' GROUP BY seq HAVING min(raw) FILTER (signal = 'Zone') NOT IN (2, 9)")
 def mux_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode.decode_frames(_frames(spark, sf_dir), demo.catalog())
-    return d.where("message = 'Damper' AND available = 8 AND seq % 4 >= 2").select("seq", "signal", "raw")
+    """Frames whose selector names a page that no signal has: only what is on all pages is decoded."""
+    d = decode.decode_frames(_frames(spark, sf_dir), demo.catalog()).where("message = 'Climate'")
+    per = d.groupBy("seq").agg(F.min(F.when(F.col("signal") == "Zone", F.col("raw"))).alias("selector"), F.count(F.lit(1)).alias("signals"))
+    return per.where("selector NOT IN (2, 9)")
 
 
-@query(f"WITH {_F}, {_D} SELECT seq, signal, status, required, available FROM decoded WHERE message = 'Damper' AND available = 0")
+@query(f"WITH {_F}, {_D} SELECT seq, signal, status, required, available FROM decoded WHERE message = 'Climate' AND status = 'unfit'")
 def mux_unfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decode.decode_frames(_frames(spark, sf_dir), demo.catalog())
-    return d.where("message = 'Damper' AND available = 0").select("seq", "signal", "status", "required", "available")
+    return d.where("message = 'Climate' AND status = 'unfit'").select("seq", "signal", "status", "required", "available")
 
 
 @query(f"WITH {_F}, {_D} SELECT seq, message, signal, raw, status, required, available FROM decoded WHERE available < 8")
@@ -245,12 +250,12 @@ def short_frame_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode_frames(_frames(spark, sf_dir), demo.catalog()).where("available < 8").select("seq", "message", "signal", "raw", "status", "required", "available")
 
 
-@query(f"WITH {_F} SELECT seq, can_id FROM frames WHERE can_id NOT IN (256, 512, 768, 419360256, 1024)")
+@query(f"WITH {_F} SELECT seq, can_id FROM frames WHERE can_id NOT IN {_KNOWN}")
 def unknown_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.unknown_frames(_frames(spark, sf_dir), demo.catalog()).select("seq", "can_id")
 
 
-@query(f"WITH {_F}, {_D} SELECT count(*) FILTER (can_id <> 2047) AS frames, count(*) FILTER (can_id = 2047) AS unknown, (SELECT count(*) FROM decoded WHERE status = 'unfit') AS unfit FROM frames")
+@query(f"WITH {_F}, {_D} SELECT count(*) FILTER (can_id IN {_KNOWN}) AS frames, count(*) FILTER (can_id NOT IN {_KNOWN}) AS unknown, (SELECT count(*) FROM decoded WHERE status = 'unfit') AS unfit FROM frames")
 def decode_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.tally(_frames(spark, sf_dir), demo.catalog())
 
@@ -265,43 +270,79 @@ def decode_compiled_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiled.long(_frames(spark, sf_dir), demo.catalog())
 
 
-@query(f"""WITH {_F}, {_D} SELECT seq, ts_us, max(value) FILTER (signal = 'Always') AS "Always", max(value) FILTER (signal = 'Page') AS "Page",
-       max(value) FILTER (signal = 'Front') AS "Front", max(value) FILTER (signal = 'Rear') AS "Rear" FROM decoded WHERE message = 'Damper' GROUP BY seq, ts_us""")
+@query(f"WITH {_F}, {_D} SELECT seq, ts_us, " + ", ".join(f"max(value) FILTER (signal = '{x[3]}') AS \"{x[3]}\"" for x in _LAYOUT if x[0] == "Climate") + " FROM decoded WHERE message = 'Climate' GROUP BY seq, ts_us")
 def decode_compiled_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled.wide(_frames(spark, sf_dir), demo.catalog().message(768))
+    return compiled.wide(_frames(spark, sf_dir), demo.catalog().message(77))
 
 
 _TIME = "CAST(ts_us // 1000000 AS VARCHAR) || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0')"
 
 
-@query(f"""WITH {_F}, {_D} SELECT seq, sig_ix, {_TIME} || ',' || CASE WHEN is_extended THEN printf('%08X', can_id) ELSE printf('%03X', can_id) END || ',' || message || ',' || signal
-       || ',' || CAST(raw AS VARCHAR) || ',' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ',' || unit || ',' || CASE WHEN contains(coalesce(label, ''), ',') THEN '"' || label || '"' ELSE coalesce(label, '') END AS row
-       FROM decoded WHERE status = 'ok' AND signal IN ('Always', 'Code', 'Mode', 'Odo', 'Page')""")
+_ID = "CASE WHEN is_extended THEN printf('%08X', can_id) ELSE printf('%03X', can_id) END"
+# the value with its signal's decimals, without trailing zeros
+_DECIMALS = "CASE signal " + " ".join(f"WHEN '{x[3]}' THEN {x[10]}" for x in _LAYOUT) + " END"
+_SHOWN = f"regexp_replace(CASE {_DECIMALS} WHEN 0 THEN printf('%.0f', value) WHEN 1 THEN rtrim(rtrim(printf('%.1f', value), '0'), '.') WHEN 2 THEN rtrim(rtrim(printf('%.2f', value), '0'), '.') ELSE rtrim(rtrim(printf('%.3f', value), '0'), '.') END, '^-0$', '0')"
+
+
+@query(f"""WITH {_F}, {_D} SELECT seq, sig_ix, {_TIME} || ',' || {_ID} || ',' || message || ',' || signal || ',' || CAST(raw AS VARCHAR) || ',' || {_SHOWN} || ',' || unit
+       || ',' || CASE WHEN contains(coalesce(label, ''), ',') THEN '"' || label || '"' ELSE coalesce(label, '') END AS row FROM decoded WHERE status = 'ok'""")
 def render_csv_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # multiplexors come with the pages that are asked for, and Page is asked for itself
-    return text.csv_rows(_frames(spark, sf_dir), demo.catalog().select(["Always", "Code", "Mode", "Odo", "Page"])).select("seq", _own_index("sig_ix", "row"), "row")
+    return text.csv_rows(_frames(spark, sf_dir), demo.catalog())
 
 
-def _own_index(name: str, row: str) -> Column:
-    """The signal's place in the whole database, as the selection numbers its own."""
-    place = F.create_map(*[x for _, _, ix, signal, *_ in _LAYOUT for x in (F.lit(signal), F.lit(ix))])
-    return F.element_at(place, F.split(row, ",")[3]).alias(name)
+@query(f"""WITH {_F}, {_D}, rows AS (
+  SELECT seq, -1 AS sig_ix, {_TIME} || ' ' || {_ID} || ' ' || CASE can_id WHEN 289 THEN 'Drive' WHEN 1042 THEN 'Doors' WHEN 77 THEN 'Climate' ELSE 'Faults' END
+         || CASE WHEN len = 8 AND seq % 7 = 0 THEN ' [dlc ' || CAST(9 + seq % 6 AS VARCHAR) || ']' ELSE '' END AS row FROM frames WHERE can_id IN {_KNOWN}
+  UNION ALL
+  SELECT seq, sig_ix, '  ' || signal || ': ' || CASE WHEN label IS NULL THEN v ELSE label || ' (' || v || ')' END
+  FROM (SELECT *, {_SHOWN} || CASE WHEN unit = '' THEN '' ELSE ' ' || unit END AS v FROM decoded WHERE status = 'ok')
+) SELECT * FROM rows""")
+def render_text_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their signals as the decode command prints them; every seventh frame of eight bytes declares another code."""
+    code = F.when((F.col("len") == 8) & (F.col("seq") % 7 == 0), (9 + F.col("seq") % 6).cast("int"))
+    return text.text_rows(_frames(spark, sf_dir).withColumn("len8_dlc", code), demo.catalog())
 
 
-@query(f"WITH {_F} SELECT seq, {_TIME} || ' ' || CASE WHEN is_extended THEN printf('%08X', can_id) ELSE printf('%03X', can_id) END || ' ' || CASE can_id WHEN 256 THEN 'Engine' WHEN 512 THEN 'Wheels' WHEN 768 THEN 'Damper' ELSE 'Diag' END AS row FROM frames WHERE can_id <> 2047")
-def render_text_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.text_rows(_frames(spark, sf_dir), demo.catalog()).where("sig_ix = -1").select("seq", "row")
+_BAD_LINES = ["(1.0) can0 123#R", "(1.0) can0 800#", "no frame here", ""]
 
 
-@query(f"""WITH {_F} SELECT seq, (seq * 31) % 4096 AS raw, 'ok' AS status, substr(h, 1, 2) || printf('%02X', ((seq * 31) % 4096) & 255) || printf('%02X', ({_byte(2)} & 240) | (((seq * 31) % 4096) >> 8)) || substr(h, 7) AS little,
-       substr(h, 1, 2) || printf('%02X', ({_byte(1)} & 240) | (((seq * 31) % 4096) >> 8)) || printf('%02X', ((seq * 31) % 4096) & 255) || substr(h, 7) AS big FROM frames WHERE len = 8""")
+@query(f"""WITH {_F}, x AS (SELECT row_number() OVER (ORDER BY seq) AS line, *,
+       CASE WHEN seq % 10 <> 0 THEN 'frame' WHEN (seq // 10) % 4 IN (1, 2) THEN 'error' ELSE 'skip' END AS kind FROM frames)
+SELECT line AS seq, kind, CASE WHEN kind = 'frame' THEN ts_us END AS ts_us, CASE WHEN kind = 'frame' THEN can_id END AS can_id,
+       CASE WHEN kind = 'frame' THEN is_extended END AS is_extended, CASE WHEN kind = 'frame' THEN h END AS payload_hex FROM x WHERE kind <> 'skip'""")
+def log_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files written from all events, with other lines in place of every tenth, and read again with numbered lines."""
+    f = _frames(spark, sf_dir)
+    line = candump.log_line(F.col("ts_us"), F.col("can_id"), F.col("is_extended"), F.col("payload"), F.col("len8_dlc"))
+    bad = F.element_at(F.array(*[F.lit(x) for x in _BAD_LINES]), F.expr("CAST(seq div 10 % 4 + 1 AS INT)"))
+    path = scratch(spark, "log-files")
+    f.orderBy("seq").select(F.when(F.col("seq") % 10 == 0, bad).otherwise(line).alias("line")).write.text(path)
+    frames, errors = candump.read_log(spark, path)
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("ts_us", "long"), ("can_id", "long"), ("is_extended", "boolean"), ("payload_hex", "string"))]
+    good = frames.select("seq", F.lit("frame").alias("kind"), "ts_us", "can_id", "is_extended", F.hex("payload").alias("payload_hex"))
+    return good.unionByName(errors.select("seq", F.lit("error").alias("kind"), *none))
+
+
+@query(f"SELECT ts_us, CAST(ts_us // 1000000 AS VARCHAR) || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') AS text FROM (SELECT 9223372036854775807 - event_id * 7919 * 1000003 AS ts_us FROM events UNION ALL SELECT event_id * 999999 FROM events)")
+def timestamp_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps up to the largest, past the numbers that doubles hold."""
+    e = _events(spark, sf_dir)
+    ts = e.select((F.lit((1 << 63) - 1) - F.col("event_id") * 7919 * 1000003).alias("ts_us")).union(e.select(F.col("event_id") * 999999))
+    return ts.select("ts_us", fr.timestamp_text(F.col("ts_us")).alias("text"))
+
+
+@query(f"""WITH {_F}, x AS (SELECT seq, h, len >= 3 AS fits, (seq * 31) % 4096 AS new FROM frames)
+SELECT seq, CASE WHEN fits THEN new END AS raw, CASE WHEN fits THEN 'ok' ELSE 'out_of_bounds' END AS status,
+       CASE WHEN fits THEN substr(h, 1, 2) || printf('%02X', new & 255) || printf('%02X', ({_byte(2)} & 240) | (new >> 8)) || substr(h, 7) ELSE h END AS little,
+       CASE WHEN fits THEN substr(h, 1, 2) || printf('%02X', ({_byte(1)} & 240) | (new >> 8)) || printf('%02X', new & 255) || substr(h, 7) ELSE h END AS big FROM x""")
 def insert_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 12-bit field of either byte order written over a payload; what is read back is what was written."""
-    f = _frames(spark, sf_dir).where("len = 8").withColumn("new", F.col("seq") * 31 % 4096)
     p, new = F.col("payload"), F.col("new")
-    f = f.withColumn("l", bits.insert_raw(p, F.lit(8), F.lit(12), F.lit(False), new)).withColumn("b", bits.insert_raw(p, 11, 12, True, new))
-    back = bits.extract_raw(F.col("l"), 8, 12, False)
-    return f.select("seq", back.alias("raw"), F.when(bits.extract_raw(F.col("b"), 11, 12, True) == new, "ok").otherwise("differs").alias("status"), F.hex("l").alias("little"), F.hex("b").alias("big"))
+    f = _frames(spark, sf_dir).select("seq", "payload", (F.col("seq") * 31 % 4096).alias("new"))
+    f = f.withColumn("l", bits.insert_raw(p, 8, 12, False, new)).withColumn("b", bits.insert_raw(p, 11, 12, True, new))
+    f = f.withColumn("raw", bits.extract_raw(F.col("l"), 8, 12, False)).withColumn("other", bits.extract_raw(F.col("b"), 11, 12, True))
+    status = F.when(F.col("raw").isNull(), bits.insert_status(p, 8, 12, False, new)).when((F.col("raw") == new) & (F.col("other") == new), "ok").otherwise("differs")
+    return f.select("seq", "raw", status.alias("status"), F.hex("l").alias("little"), F.hex("b").alias("big"))
 
 
 @query("""SELECT c_custkey, CASE WHEN abs(round(c_acctbal * 2)) < 32768 THEN CAST(round(c_acctbal * 2) AS BIGINT) & 65535 END AS raw FROM (SELECT c_custkey, c_acctbal FROM customer)""")
@@ -320,22 +361,28 @@ def encode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).withColumn("e", e).select("seq", "e.status", F.hex("e.payload").alias("payload_hex"))
 
 
-@query("SELECT * FROM (VALUES ('Short', 'Spills', 3, 2, 'Short: signal `Spills` needs 3 byte(s) but the message declares 2'), ('Wide', 'W', 5, 4, 'Wide: signal `W` needs 5 byte(s) but the message declares 4')) AS t(message, first, required, dlc, text)")
-def check_past_dlc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.check(spark, parse(demo.BROKEN_DBC)).where("kind = 'past_dlc'").select("message", "first", "required", "dlc", "text")
+# layouts of the faulty database: message, bytes, signal, place, first bit, bits, Motorola, page
+_BITS = [
+    ("Pump", 3, "Flow", 0, 12, 16, 0, None), ("Pump", 3, "Valve", 1, 0, 8, 0, None),
+    ("Winch", 8, "Rope", 0, 4, 12, 0, None), ("Winch", 8, "Pull", 1, 14, 6, 0, None), ("Winch", 8, "Angle", 2, 31, 12, 1, None), ("Winch", 8, "Tilt", 3, 36, 8, 0, None),
+    ("Crane", 8, "Axis", 0, 0, 4, 0, None), ("Crane", 8, "Hook", 1, 8, 10, 0, 1), ("Crane", 8, "Boom", 2, 8, 10, 0, 2), ("Crane", 8, "Reach", 3, 16, 8, 0, 2),
+    ("Mast", 2, "Sway", 0, 7, 20, 1, None),
+]
+_BITS_SQL = (
+    "s(message, dlc, name, ix, start, n, motorola, page) AS (VALUES "
+    + ", ".join(f"('{m}', {d}, '{s}', {i}, {a}, {n}, {o}, {'NULL' if p is None else p})" for m, d, s, i, a, n, o, p in _BITS)
+    + """), b AS (SELECT *, [CASE WHEN motorola = 0 THEN start + i ELSE ((start // 8 * 8 + 7 - start % 8 + i) // 8) * 8 + 7 - (start // 8 * 8 + 7 - start % 8 + i) % 8 END FOR i IN range(n)] AS bits FROM s)"""
+)
 
 
-# bits of the signals of a message by (name, first bit, count, Motorola), as positions
-_BITS = [("Tangled", "A", 0, 0, 16, 0, None), ("Tangled", "B", 1, 15, 8, 0, None), ("Tangled", "C", 2, 39, 16, 1, None), ("Paged", "Sel", 0, 0, 8, 0, None), ("Paged", "P0", 1, 8, 16, 0, 0), ("Paged", "P1", 2, 8, 16, 0, 1), ("Paged", "Q1", 3, 20, 8, 0, 1)]
+@query(f"""WITH {_BITS_SQL} SELECT message, name AS first, CAST(list_max(bits) // 8 + 1 AS INTEGER) AS required, dlc,
+       message || ': signal `' || name || '` needs ' || CAST(list_max(bits) // 8 + 1 AS VARCHAR) || ' byte(s) but the message declares ' || CAST(dlc AS VARCHAR) AS text FROM b WHERE list_max(bits) // 8 + 1 > dlc""")
+def check_past_dlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.check(spark, parse(demo.BROKEN_DBC)).where("kind = 'past_dlc'").select("message", "first", "required", "dlc", "text")
 
 
-@query(
-    "WITH s(message, name, ix, start, n, motorola, page) AS (VALUES "
-    + ", ".join(f"('{m}', '{s}', {i}, {a}, {n}, {o}, {'NULL' if p is None else p})" for m, s, i, a, n, o, p in _BITS)
-    + """), b AS (SELECT *, [CASE WHEN motorola = 0 THEN start + i ELSE ((start // 8 * 8 + 7 - start % 8 + i) // 8) * 8 + 7 - (start // 8 * 8 + 7 - start % 8 + i) % 8 END FOR i IN range(n)] AS bits FROM s)
-SELECT x.message, x.name AS first, y.name AS second, x.message || ': signals `' || x.name || '` and `' || y.name || '` overlap' AS text
-FROM b x JOIN b y ON x.message = y.message AND x.ix < y.ix WHERE list_has_any(x.bits, y.bits) AND (x.page IS NULL OR y.page IS NULL OR x.page = y.page)"""
-)
+@query(f"""WITH {_BITS_SQL} SELECT x.message, x.name AS first, y.name AS second, x.message || ': signals `' || x.name || '` and `' || y.name || '` overlap' AS text
+FROM b x JOIN b y ON x.message = y.message AND x.ix < y.ix WHERE list_has_any(x.bits, y.bits) AND (x.page IS NULL OR y.page IS NULL OR x.page = y.page)""")
 def check_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.check(spark, parse(demo.BROKEN_DBC)).where("kind = 'overlap'").select("message", "first", "second", "text")
 
@@ -403,7 +450,20 @@ def carried_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.carried_signals(decode.decode_frames(_frames(spark, sf_dir), demo.catalog()))
 
 
-@query("SELECT * FROM (VALUES ('demo', 5, 1, 14, 3, 5, 2, 6), ('broken', 4, 1, 10, 2, 0, 3, 3)) AS t(db, messages, extended, signals, motorola, signed, paged, widths)")
+def _features_sql() -> str:
+    """The figures counted from the layouts that the other queries are checked with."""
+    broken = [(m, s, o, n, p) for m, _, s, _, _, n, o, p in _BITS]
+    rows = [("broken", m, s, o, n, int(s in ("Pull", "Sway")), p) for m, s, o, n, p in broken]
+    width = {"Torque": 16, "Current": 12, "Notch": 3, "Distance": 32, "Boarded": 10, "Play": 6, "State": 4, "Cycles": 20, "Power": 12, "CabinAir": 12, "Zone": 4, "StoreAir": 12, "Humidity": 8, "Severity": 3, "Counter": 56}
+    rows += [("demo", x[0], x[3], int(x[3] in ("Current", "Boarded", "Cycles", "Counter")), width[x[3]], int(x[6] is not None), x[12]) for x in _LAYOUT]
+    listed = ", ".join(f"('{d}', '{m}', '{s}', {o}, {n}, {g}, {'NULL' if p is None else p})" for d, m, s, o, n, g, p in rows)
+    # the demo database has one message without signals
+    return f"""WITH s(db, message, name, motorola, n, signed, page) AS (VALUES {listed})
+SELECT db, count(DISTINCT message) + CASE WHEN db = 'demo' THEN 1 ELSE 0 END AS messages, count(DISTINCT message) FILTER (message IN ('Faults', 'Mast')) AS extended, count(*) AS signals,
+       CAST(sum(motorola) AS BIGINT) AS motorola, CAST(sum(signed) AS BIGINT) AS signed, count(page) AS paged, count(DISTINCT n) AS widths FROM s GROUP BY db"""
+
+
+@query(_features_sql())
 def catalog_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = [demo.catalog(), parse(demo.BROKEN_DBC, "broken")]
     messages, signals = ([f(c) for c in both] for f in (lambda c: c.messages(spark), lambda c: c.signals(spark)))
@@ -416,12 +476,12 @@ def ld_header_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", ld.date_column(F.col("t")).alias("date"), ld.time_column(F.col("t")).alias("time"))
 
 
-@query(f"WITH {_F}, {_D} SELECT message, signal, status, count(*) AS n, sum(raw) AS raws FROM decoded GROUP BY message, signal, status")
+@query(f"WITH {_F}, {_D} SELECT message, signal, status, count(*) AS n, CAST(sum(CAST(raw AS HUGEINT)) AS VARCHAR) AS raws FROM decoded GROUP BY message, signal, status")
 def stream_decode_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, a file or a folder of part files, as a stream, decoded by the same function as a batch."""
     schema = _events(spark, sf_dir).schema
-    # a stream takes a single file only by a pattern
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    # a stream takes a single file only by a pattern; a folder of part files comes in several batches
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{sf_dir}/events.parque[t]")
     decoded = decode.decode_frames(demo.frames(stream), demo.catalog()).select("message", "signal", "status", "raw")
     path = scratch(spark, "stream-decoded")
     q = decoded.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream-checkpoint")).outputMode("append").start()
@@ -429,4 +489,4 @@ def stream_decode_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.read.schema(decoded.schema).parquet(path).groupBy("message", "signal", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raws"))
+    return spark.read.schema(decoded.schema).parquet(path).groupBy("message", "signal", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("raw").cast("decimal(20,0)")).cast("string").alias("raws"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from buswright.functions.frames import declared_dlc, id_text, timestamp_text
 from buswright.functions.values import unsigned_text
 from buswright.operators.decode import decode_frames, known_frames, small
-from buswright.sources.dbc import Catalog
+from buswright.sources.dbc import Catalog, Signal
 
 HEADER = "timestamp,id,message,signal,raw,value,unit,label"
 
@@ -26,13 +26,28 @@ def _plain(value: float, precision: int) -> str:
 
 
 @F.pandas_udf(StringType())
-def value_text(value: pd.Series, precision: pd.Series) -> pd.Series:
-    """Physical values at the precision that their signals can express.
+def any_value_text(value: pd.Series, precision: pd.Series) -> pd.Series:
+    """Physical values of any size at the precision that their signals can express, a batch at a time."""
+    return pd.Series([_plain(v, int(p)) for v, p in zip(value, precision, strict=True)])
+
 
-    Spark's own number formats round the decimal text of a double, not the double,
-    so this is formatted in Python, a batch at a time.
+def value_text(value: Column, precision: int) -> Column:
+    """:func:`any_value_text` of finite values under 2**53 and a precision under 15, without Python.
+
+    A cast rounds the shortest decimal text of a double. That is how the double
+    itself rounds as long as doubles lie far closer to each other than half a unit of
+    the last decimal; where they don't, few bits are left behind the point and
+    their product with a power of ten is exact.
     """
-    return pd.Series([_plain(v, int(p)) for v, p in zip(value, precision, strict=True)])
+    if precision == 0:
+        return value.cast("decimal(17,0)").cast("string")
+    scale = 10**precision
+    close = F.abs(value) * scale < F.lit(float(1 << 50))
+    whole = F.floor(F.abs(value))
+    coarse = whole.cast(f"decimal({17 + precision},{precision})") + (F.rint((F.abs(value) - whole) * scale).cast("long").cast("decimal(18,0)") / F.lit(scale)).cast(f"decimal({17 + precision},{precision})")
+    coarse = F.when(value < 0, -coarse).otherwise(coarse)
+    text = F.when(close, value.cast(f"decimal({17 + precision},{precision})").cast("string")).otherwise(coarse.cast("string"))
+    return F.regexp_replace(F.regexp_replace(text, r"\.?0+$", ""), "^-0$", "0")
 
 
 def csv_field(text: Column) -> Column:
@@ -42,11 +57,27 @@ def csv_field(text: Column) -> Column:
     return F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text)
 
 
+def _simple(s: Signal) -> bool:
+    """Whether all values of a signal are of a size and precision that :func:`value_text` takes."""
+    return s.precision < 15 and (1 << s.length) * abs(s.factor) + abs(s.offset) < 1 << 53
+
+
 def _shown(frames: DataFrame, catalog: Catalog) -> DataFrame:
-    """Values of all signals that fit, with what their rows need of the catalog."""
-    about = catalog.signals(frames.sparkSession).select("can_id", "is_extended", "sig_ix", "precision")
-    out = decode_frames(frames, catalog).where("status = 'ok'").join(small(about, catalog.signal_count), ["can_id", "is_extended", "sig_ix"])
-    return out.withColumn("shown", value_text("value", "precision"))
+    """Values of all signals that fit, as text.
+
+    Signals are told apart by whether their values can be formatted without
+    Python, and only where some can't are the frames decoded a second time for these.
+    """
+    places = [(m.can_id, m.is_extended, i, s) for m in catalog for i, s in enumerate(m.signals)]
+    out = decode_frames(frames, catalog).where("status = 'ok'")
+    about = frames.sparkSession.createDataFrame([(c, e, i, s.precision, _simple(s)) for c, e, i, s in places], "can_id long, is_extended boolean, sig_ix int, precision int, simple boolean")
+    out = out.join(small(about, catalog.signal_count), ["can_id", "is_extended", "sig_ix"])
+    shown = F.lit(None).cast("string")
+    for p in sorted({s.precision for *_, s in places if _simple(s)}):
+        shown = F.when(F.col("precision") == p, value_text(F.col("value"), p)).otherwise(shown)
+    simple = out.where("simple").withColumn("shown", shown) if any(_simple(s) for *_, s in places) else None
+    other = out.where("NOT simple").withColumn("shown", any_value_text("value", "precision")) if not all(_simple(s) for *_, s in places) else None
+    return simple if other is None and simple is not None else other if simple is None and other is not None else simple.unionByName(other) if simple is not None else out.withColumn("shown", F.lit(""))
 
 
 def csv_rows(frames: DataFrame, catalog: Catalog) -> DataFrame:
