@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +43,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where tables that materialise() wrote are, for release().
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(columns: DataFrame | list[str], name: str) -> str:
@@ -76,9 +93,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed: workers are kept, and so would be their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds at most ``rows`` rows and about ``most``
     bytes of ``column``, or a single row where that row alone is longer."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

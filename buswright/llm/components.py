@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buswright.llm.common import looked_up, materialise
+from buswright.llm.common import looked_up, materialise, release
 
 #: Names of up to this many nodes are sent to all tasks (some 40 MB); more are joined by a shuffle.
 _BROADCAST_ROWS = 1_000_000
@@ -43,8 +43,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             lower = materialise(lower, "near")
             sizes = lower.groupBy("near").agg(F.count(F.lit(1)).alias("named"))
             new = looked_up(lower, jump.join(sizes, "near"), ["near"], "named", nodes)
+        before = names
         new = materialise(new.select("node", F.least("near", "far").alias("component"), "before", "degree").coalesce(parts), "names")
-        names = new.select("node", "component", "degree")
+        names = new
+        release(before)
         if not new.agg(F.count_if(F.col("component") != F.col("before"))).first()[0]:
             break
+    release(pairs)
     return names.select("node", "component")

@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import SPACE_CLASS, looked_up, materialise, table, text_or_empty
+from buswright.llm.common import SPACE_CLASS, looked_up, materialise, release, table, text_or_empty
 
 #: Bytes of a page, by which texts are counted besides their number.
 PAGE = 4096
@@ -62,28 +62,36 @@ def directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tupl
     return sorted(done)
 
 
-def placed(texts: DataFrame, capacity: int | None = None, depth: int | None = None) -> tuple[DataFrame, int]:
-    """The table of rows (row, doc_id, text) with n_chars, norm, key, bucket and overfull, and its number of rows.
+def numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The table (row, doc, n_chars, key, pages), in the shared folder: ``columns`` of ``docs`` as one structure
+    beside a number for each row."""
+    norm = normalised(text_or_empty())
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")
+    rows = docs.select(whole, F.length(text_or_empty()).cast("long").alias("n_chars"), norm.alias("norm"))
+    pages = (F.lit(1) + F.expr(f"octet_length(norm) div {PAGE}")).alias("pages")
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc", "n_chars", F.xxhash64("norm").alias("key"), pages), "dedup-rows")
+
+
+def placed(rows: DataFrame, capacity: int | None = None, depth: int | None = None) -> tuple[DataFrame, int]:
+    """A table of :func:`numbered` as row, doc_id, n_chars, norm, key, bucket and overfull, and its number of rows.
 
     The directory is made from a histogram of at most ``2**depth`` rows, whatever
     the input's size, and is sent to all tasks.
     """
-    norm = normalised(text_or_empty())
-    rows = texts.select("row", "doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), norm.alias("norm"))
-    rows = materialise(rows.withColumn("key", F.xxhash64("norm")), "dedup-rows")
-    pages = F.lit(1) + F.expr(f"octet_length(norm) div {PAGE}")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(pages), F.lit(0)).alias("pages")).first()
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages")).first()
     if depth is None:
         depth = min(MOST_DEPTH, max(1, (total.pages // 64).bit_length()))
     if capacity is None:
         capacity = max(LEAST_CAPACITY, 4 * total.pages >> depth)
-    counts = {r.p: r.n for r in rows.groupBy(_prefix(F.col("key"), depth).alias("p")).agg(F.sum(pages).alias("n")).collect()}
+    counts = {r.p: r.n for r in rows.groupBy(_prefix(F.col("key"), depth).alias("p")).agg(F.sum("pages").alias("n")).collect()}
     cells = [{"low": low, "high": high, "overfull": sum(counts.get(p, 0) for p in range(low, high + 1)) > capacity} for low, high, _ in directory(counts, depth, capacity)]
     held = F.from_json(F.lit(json.dumps(cells)), "array<struct<low:bigint,high:bigint,overfull:boolean>>")
-    buckets = texts.sparkSession.range(1).select(F.posexplode(held).alias("bucket", "cell"))
+    buckets = rows.sparkSession.range(1).select(F.posexplode(held).alias("bucket", "cell"))
     # at most 2**depth rows of two numbers
     owner = buckets.select("bucket", "cell.overfull", F.explode(F.sequence("cell.low", "cell.high")).alias("p"))
-    return rows.withColumn("p", _prefix(F.col("key"), depth)).join(F.broadcast(owner), "p").drop("p"), total.n
+    out = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "n_chars", "key", _prefix(F.col("key"), depth).alias("p"))
+    out = out.join(F.broadcast(owner), "p")
+    return out.select("row", "doc_id", "n_chars", normalised(text_or_empty()).alias("norm"), "key", "bucket", "overfull"), total.n
 
 
 _RESULT = ["row", "doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "chain"]
@@ -116,11 +124,11 @@ def _combined(rows: DataFrame, total: int) -> DataFrame:
     return found.select("row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "bucket", "chain")
 
 
-def index(texts: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
-    """The index of a table (row, doc_id, text), in the shared folder: a row for each of its rows, which
-    ``row`` tells apart: doc_id, keep_id, group_size, kept, text_sha256, and where it stands: bucket and chain."""
-    rows, total = placed(texts, capacity, depth)
-    out = _owned(rows.where("NOT overfull")).unionByName(_combined(rows.where("overfull"), total))
+def index(rows: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
+    """The index of a table of :func:`numbered`, in the shared folder: a row for each of its rows: row, doc_id,
+    keep_id, group_size, kept, text_sha256, and where it stands: bucket and chain."""
+    texts, total = placed(rows, capacity, depth)
+    out = _owned(texts.where("NOT overfull")).unionByName(_combined(texts.where("overfull"), total))
     return materialise(out, "dedup-index")
 
 
@@ -135,8 +143,10 @@ def exact_duplicates(docs: DataFrame, capacity: int | None = None, depth: int |
     their names; very long texts count as many pages; an empty table gives an empty
     result.
     """
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return index(numbered, capacity, depth).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = numbered(docs, ["doc_id", "text"])
+    found = index(rows, capacity, depth)
+    release(rows)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicated(docs: DataFrame, capacity: int | None = None, depth: int | None = None) -> DataFrame:
@@ -144,12 +154,10 @@ def deduplicated(docs: DataFrame, capacity: int | None = None, depth: int | None
 
     Columns of any name stay as they are: rows travel as one structure.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole), "dedup-docs")
-    found = index(numbered.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), capacity, depth)
-    gone = found.where("NOT kept").select("row")
+    rows = numbered(docs, docs.columns)
+    gone = index(rows, capacity, depth).where("NOT kept").select("row")
     few = gone.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

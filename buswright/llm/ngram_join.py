@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buswright.llm.common import looked_up, materialise, mixed, slices, table
+from buswright.llm.common import looked_up, materialise, mixed, release, slices, table
 from buswright.llm.components import components
 from buswright.llm.minhash import shingles
 
@@ -243,11 +243,13 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule, seeds: tuple[int
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
 
-    return materialise(chosen.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in names)), "ngram-sets")
+    out = materialise(chosen.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in names)), "ngram-sets")
+    release(wanted)
+    return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of both under either hash."""
+    """The table of pairs (a, b) that link, by the whole sets of both under either hash."""
     sets = _whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), rule, (0, 1))
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"), F.col("tokens1").alias("x1"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"), F.col("tokens1").alias("y1"))
@@ -255,7 +257,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     for x, y in (("x", "y"), ("x1", "y1")):
         common = F.size(F.array_intersect(x, y))
         both = both.where(common * 100 >= (F.size(x) + F.size(y) - common) * rule.percent)
-    return both.select("a", "b")
+    links = materialise(both.select("a", "b"), "ngram-links")
+    release(sets, pairs)
+    return links
 
 
 def _may_link(n: Column, m: Column, reach: Column, other: Column, rule: Rule) -> Column:
@@ -289,9 +293,11 @@ def _rest(docs: DataFrame, shared: DataFrame, named: DataFrame, rule: Rule) -> D
     able = _may_link(F.col("n"), F.greatest("least", F.ceil(F.col("n") * rule.percent / 100)), F.col("reach"), F.col("most"), rule)
     able = looked_up(entries, lists.where("size > 1"), ["sig"], "size", total).where(able).select(*entries.columns)
     able = materialise(able, "ngram-able")
+    release(lists)
     lists = materialise(_open_lists(able), "ngram-lists")
     open_ = looked_up(able, lists, ["sig"], "size", total).select("doc", "component", "hub", "n", "reach")
     open_ = materialise(open_.groupBy("doc", "component", "hub").agg(F.max("n").alias("n"), F.max("reach").alias("reach")), "ngram-open")
+    release(able, lists)
     if not open_.limit(1).count():
         return None
     groups = components(open_.where("doc != hub"), "doc", "hub").toDF("doc", "g")
@@ -314,8 +320,10 @@ def _rest(docs: DataFrame, shared: DataFrame, named: DataFrame, rule: Rule) -> D
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     many = members.where(F.col("all") > _SMALL_GROUP)
     if many.limit(1).count():
-        pairs = pairs.union(materialise(_blocks(docs, many, rule), "ngram-blocks"))
-    return materialise(_verified(docs, materialise(pairs.distinct(), "ngram-rest"), rule), "ngram-links")
+        pairs = pairs.union(_blocks(docs, many, rule))
+    links = _verified(docs, materialise(pairs.distinct(), "ngram-rest"), rule)
+    release(entries, members)
+    return links
 
 
 def _blocks(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -332,7 +340,9 @@ def _blocks(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     as_column = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.struct(i.alias("i"), at.alias("j"), F.lit(False).alias("row")))
     placed = members.select("g", "doc", "component", F.explode(F.when(F.col("odd"), F.concat(as_row, as_column)).otherwise(as_column)).alias("p"))
     placed = placed.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("g", "p.i", "p.j", "p.row", "doc", "component", "tokens")
-    return placed.groupBy("g", "i", "j").applyInArrow(lambda t: block_links(t, rule), "a long, b long")
+    found = materialise(placed.groupBy("g", "i", "j").applyInArrow(lambda t: block_links(t, rule), "a long, b long"), "ngram-blocks")
+    release(sets)
+    return found
 
 
 def block_links(block: pa.Table, rule: Rule) -> pa.Table:
@@ -368,10 +378,11 @@ def components_of(docs: DataFrame, index: DataFrame, rule: Rule) -> DataFrame:
     shared = materialise(looked_up(index, materialise(lists, "ngram-lists"), ["sig"], "size", index.count()), "ngram-shared")
     spokes = shared.where((F.col("doc") != F.col("hub.doc")) & _may_link(F.col("n"), F.col("hub.n"), F.col("reach"), F.col("hub.reach"), rule))
     pairs = materialise(spokes.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), "ngram-pairs")
-    links = materialise(_verified(docs, pairs, rule), "ngram-links")
+    links = _verified(docs, pairs, rule)
     named = components(links)
 
     rest = _rest(docs, shared, named, rule)
+    release(shared)
     if rest is not None:
         named = components(links.union(rest))
     return named
@@ -393,12 +404,15 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     index = materialise(_index(docs, known, rule), "ngram-index")
 
     named = components_of(docs, index, rule)
+    release(index)
     classes = _classes(known).join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", "low", F.coalesce("component", "doc_id").alias("name"))
     lowest = classes.groupBy("name").agg(F.min("low").alias("component"))
     classes = classes.join(lowest, "name").select("sig_a", "sig_b", "component")
     out = sets.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")), "ngram-result")
+    release(sets)
+    return out
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

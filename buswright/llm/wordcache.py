@@ -60,7 +60,7 @@ class WordCache:
     kept.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, longest: int = 256):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, longest: int = 256):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.clear()
 
