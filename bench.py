@@ -19,7 +19,7 @@ from buswright import demo
 from buswright import queries as q
 from buswright.operators.decode import decode_frames
 from buswright.plans import compiled
-from buswright.session import session
+from buswright.session import scratch, session
 from buswright.sources.candump import log_line, parse_lines
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -40,7 +40,8 @@ def bulk_frames(spark: SparkSession) -> DataFrame:
     types = F.array(*[F.lit(t) for t in ("click", "purchase", "view", "signup", "error")])
     rows = lines.select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("n"), F.col("l_extendedprice").alias("value"), F.col("l_shipdate").alias("ts"), "l_partkey").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(5))))
     events = rows.select((F.col("n") * 6 + F.col("copy")).alias("event_id"), "ts", F.col("l_partkey").alias("user_id"), F.element_at(types, (F.pmod("n", F.lit(5)) + 1).cast("int")).alias("event_type"), "value")
-    return demo.frames(events)
+    # the table is one row group, which one task reads
+    return demo.frames(events.repartition(CPUS))
 
 
 def main() -> None:
@@ -51,7 +52,9 @@ def main() -> None:
         timed(q.QUERIES[name](spark, SF_DIR))
         seconds[name] = round(timed(q.QUERIES[name](spark, SF_DIR)), 3)
 
-    frames = bulk_frames(spark)
+    path = scratch(spark, "bench-frames")
+    bulk_frames(spark).write.parquet(path)
+    frames = spark.read.parquet(path)
     count = frames.count()
     base = timed(frames)
     rates = {}
@@ -65,7 +68,7 @@ def main() -> None:
     rates["log_lines_written_and_parsed_per_s"] = round(count / took)
     points = q.QUERIES["resample_hold"](spark, SF_DIR).count()
     rates["grid_points_per_s"] = round(points / seconds["resample_hold"])
-    rates["frames"], rates["making_frames_s"] = count, round(base, 3)
+    rates["frames"], rates["reading_frames_s"] = count, round(base, 3)
     print(json.dumps({"metric": "seconds for all headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rates": rates, "cpus": CPUS, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import math
 import os
+import shutil
 import sys
 import tempfile
 from collections.abc import Iterable
@@ -72,7 +73,8 @@ def decode(args: argparse.Namespace) -> int:
     catalog, path, spooled = load_catalog(args.dbc), args.log, None
     if path == "-":
         with tempfile.NamedTemporaryFile("wb", suffix=".log", delete=False) as spool:
-            spool.write(sys.stdin.buffer.read())
+            # a piece at a time, so that any length passes
+            shutil.copyfileobj(sys.stdin.buffer, spool, 1 << 20)
         path = spooled = spool.name
     elif not os.path.exists(path):
         raise CouldNotRun(f"cannot read {path}: no such file")

@@ -80,3 +80,12 @@ def catalog_features(messages: DataFrame, signals: DataFrame) -> DataFrame:
         F.count_distinct("length").alias("widths"),
     )
     return a.join(b, "db", "left").fillna(0)
+
+
+def corpus_report(messages: DataFrame, signals: DataFrame, errors: DataFrame) -> DataFrame:
+    """A row a database file by name: db, messages, signals, paged (signals of a page) and error, null where it could be read."""
+    m = messages.groupBy("db").agg(F.count(F.lit(1)).alias("messages"))
+    s = signals.groupBy("db").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col("mux_kind") == "m").alias("paged"))
+    read = m.join(s, "db", "left").fillna(0).withColumn("error", F.lit(None).cast("string"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("messages", "signals", "paged")]
+    return read.unionByName(errors.select("db", *none, "error")).orderBy("db")

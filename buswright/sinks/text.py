@@ -34,10 +34,11 @@ def any_value_text(value: pd.Series, precision: pd.Series) -> pd.Series:
 def value_text(value: Column, precision: int) -> Column:
     """:func:`any_value_text` of finite values under 2**53 and a precision under 15, without Python.
 
-    A cast rounds the shortest decimal text of a double. That is how the double
-    itself rounds as long as doubles lie far closer to each other than half a unit of
-    the last decimal; where they don't, few bits are left behind the point and
-    their product with a power of ten is exact.
+    A signal's values are multiples of its last decimal but for the error of a
+    double, so as long as doubles lie far closer together than half of that, the
+    shortest decimal text of one, which a cast rounds, is nowhere near a tie. Past
+    that few bits are left behind the point and their product with a power of ten is
+    exact.
     """
     if precision == 0:
         return value.cast("decimal(17,0)").cast("string")

@@ -61,22 +61,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     # the first rule that holds decides
     rules: list[tuple[Column, str, Column | None]] = [
         (F.size("__t") == 0, "skip", None),
-        (F.col("__bad_stamp"), "error", _say("`(", F.col("__stamp"), ")` is not a timestamp")),
-        (F.col("__ts").isNull(), "error", _say("timestamp ", F.col("__stamp"), " overflows")),
-        (~F.contains("__last", F.lit("#")), "error", _say("expected `<id>#<data>`, found `", F.col("__last"), "`")),
-        (raw.isNull(), "error", _say("`", F.col("__id"), "` is not a hexadecimal identifier")),
-        (short & (raw > STANDARD_MAX), "error", _say("invalid CAN identifier ", said, ": exceeds the 11-bit standard identifier range")),
+        (F.col("__bad_stamp"), "error", _say("no timestamp can be read from `(", F.col("__stamp"), ")`")),
+        (F.col("__ts").isNull(), "error", _say("timestamp ", F.col("__stamp"), " is past the last that can be held")),
+        (~F.contains("__last", F.lit("#")), "error", _say("`", F.col("__last"), "` has no `#` between identifier and data")),
+        (raw.isNull(), "error", _say("`", F.col("__id"), "` is no identifier in hexadecimal digits")),
+        (short & (raw > STANDARD_MAX), "error", _say("identifier ", said, " is wider than 11 bits")),
         (flagged, "skip", None),
-        (~short & (raw > EXTENDED_MAX), "error", _say("invalid CAN identifier ", said, ": exceeds the 29-bit extended identifier range")),
-        (fd & ~F.col("__rest").rlike("^#[0-9A-Fa-f]"), "error", F.lit("CAN FD frame has no flags digit after `##`")),
+        (~short & (raw > EXTENDED_MAX), "error", _say("identifier ", said, " is wider than 29 bits")),
+        (fd & ~F.col("__rest").rlike("^#[0-9A-Fa-f]"), "error", F.lit("`##` is not followed by a digit of flags")),
         (~fd & F.startswith("__rest", F.lit("R")), "skip", None),
-        (~F.col("__hex").rlike("^[0-9A-Fa-f]*$"), "error", _say("data `", F.col("__hex"), "` is not hexadecimal")),
-        (F.length("__hex") % 2 != 0, "error", _say("data `", F.col("__hex"), "` has an odd number of hex digits")),
-        (n > FD_BYTES, "error", _say("data of ", n, f" bytes exceeds the CAN FD maximum of {FD_BYTES}")),
-        (fd & len_to_dlc(n).isNull(), "error", _say("no CAN FD frame carries ", n, " byte(s)")),
-        (~fd & (n > CLASSIC_BYTES), "error", _say(f"a classic frame carries {CLASSIC_BYTES} byte(s) at most, not ", n, "; CAN FD records are written with `##`")),
-        (F.col("__code").isNotNull() & F.col("__dlc").isNull(), "error", _say("`_", F.col("__code"), "` is not a data length code")),
-        (F.col("__code").isNotNull() & ~agrees, "error", _say("data length code ", F.col("__dlc"), " does not describe a payload of ", n, " byte(s)")),
+        (~F.col("__hex").rlike("^[0-9A-Fa-f]*$"), "error", _say("`", F.col("__hex"), "` is no data in hexadecimal digits")),
+        (F.length("__hex") % 2 != 0, "error", _say("`", F.col("__hex"), "` ends in half a byte")),
+        (n > FD_BYTES, "error", _say(n, f" bytes of data are more than the {FD_BYTES} of any frame")),
+        (fd & len_to_dlc(n).isNull(), "error", _say("frames of ", n, " byte(s) don't exist")),
+        (~fd & (n > CLASSIC_BYTES), "error", _say(n, f" byte(s) are more than the {CLASSIC_BYTES} of a frame written with one `#`")),
+        (F.col("__code").isNotNull() & F.col("__dlc").isNull(), "error", _say("`_", F.col("__code"), "` is no length code")),
+        (F.col("__code").isNotNull() & ~agrees, "error", _say("length code ", F.col("__dlc"), " and ", n, " byte(s) of data disagree")),
     ]
     kind = message = None
     for when, what, text in rules:
@@ -125,7 +125,7 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     rows = parse_lines(numbered_lines(spark, path))
     frames = rows.where("kind = 'frame'").select("seq", "line_no", "ts_us", "can_id", "is_extended", "payload", "len", "len8_dlc")
-    errors = rows.where("kind = 'error'").select("seq", "line_no", F.concat(F.lit("candump log parse error on line "), F.col("line_no").cast("string"), F.lit(": "), F.col("message")).alias("message"))
+    errors = rows.where("kind = 'error'").select("seq", "line_no", F.concat(F.lit("log line "), F.col("line_no").cast("string"), F.lit(": "), F.col("message")).alias("message"))
     return frames, errors
 
 
