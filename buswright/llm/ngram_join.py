@@ -417,3 +417,26 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] FOR i IN range(1, len(words) - 2)]) END AS grams FROM w
+), n AS (
+  SELECT doc_id, CAST(len(grams) AS BIGINT) AS n FROM s
+), g AS (
+  SELECT doc_id, md5_number(unnest(grams)) AS gram FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON r.other = e.a
+)
+SELECT n.doc_id, n.n AS n_shingles, r.component_id FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op2_source_mix": mixing.OP2_SQL,
     "op6_warc_chunks": warc.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
