@@ -171,27 +171,27 @@ def insert_status(payload: Column, start: Value, length: Value, motorola: Value,
 
 def insert_raw(payload: Column, start: Value, length: Value, motorola: Value, raw: Column) -> Column:
     """``payload`` with the field set to ``raw`` and all other bits kept; unchanged where
-    :func:`insert_status` isn't ok."""
+    :func:`insert_status` isn't ok.
+
+    As in :func:`extract_raw` both byte orders are the same shifts with other counts.
+    """
     w, size, low = _Window(payload, start), _col(length), mask(length)
-    clear = lambda word, bits: word.bitwiseAND(F.bitwise_not(bits))
-
-    little = clear(w.little(), _left(low, w.bit)).bitwiseOR(_left(raw, w.bit))
-    over = w.bit + size > 64
-    little_ninth = F.when(over, clear(w.ninth, _right(low, F.lit(64) - w.bit)).bitwiseOR(_right(raw, F.lit(64) - w.bit))).otherwise(w.ninth)
-    little_digits = reversed_bytes(F.lpad(F.hex(little), 16, "0"))
-
-    end = F.lit(7) - w.bit + size
-    past = end - 64
-    within = clear(w.big(), _left(low, F.lit(64) - end)).bitwiseOR(_left(raw, F.lit(64) - end))
-    straddling = clear(w.big(), _right(low, past)).bitwiseOR(_right(raw, past))
-    top = lambda x: _left(x, F.lit(8) - past).bitwiseAND(F.lit(255))
-    big = F.when(past <= 0, within).otherwise(straddling)
-    big_ninth = F.when(past <= 0, w.ninth).otherwise(clear(w.ninth, top(low)).bitwiseOR(top(raw)))
-    big_digits = F.lpad(F.hex(big), 16, "0")
-
-    digits = F.concat(_choose(motorola, big_digits, little_digits), F.lpad(F.hex(_choose(motorola, big_ninth, little_ninth)), 2, "0"))
-    held = F.least(F.length(payload) - w.first, F.lit(9))
-    middle = F.unhex(F.substring(digits, F.lit(1), held * 2))
+    first = F.substring(w.digits, 1, 16)
+    held = word(_choose(motorola, first, reversed_bytes(first)))
+    below = F.lit(65) + w.bit - size
+    down, up = _choose(motorola, F.greatest(8 - below, F.lit(0)), F.lit(0)), _choose(motorola, F.greatest(below - 8, F.lit(0)), w.bit)
+    inner = lambda x: _left(_right(x, down), up)
+    new = held.bitwiseAND(F.bitwise_not(inner(low))).bitwiseOR(inner(raw))
+    digits = F.lpad(F.hex(new), 16, "0")
+    digits = _choose(motorola, digits, reversed_bytes(digits))
+    if _nine(start, length, motorola):
+        a, b, c = _choose(motorola, F.least(below, F.lit(63)), F.lit(0)), _choose(motorola, F.lit(0), F.lit(1)), _choose(motorola, F.lit(0), F.lit(63) - w.bit)
+        outer = lambda x: _right(_right(_left(x, a), b), c).bitwiseAND(F.lit(255))
+        ninth = F.lpad(F.hex(w.ninth.bitwiseAND(F.bitwise_not(outer(low))).bitwiseOR(outer(raw))), 2, "0")
+    else:
+        ninth = F.substring(w.digits, 17, 2)
+    held_bytes = F.least(F.length(payload) - w.first, F.lit(9))
+    middle = F.unhex(F.substring(F.concat(digits, ninth), F.lit(1), held_bytes * 2))
     rest = F.substring(payload, w.first + 10, F.greatest(F.length(payload) - w.first - 9, F.lit(0)))
     out = F.concat(F.substring(payload, F.lit(1), w.first), middle, rest)
     return F.when(insert_status(payload, start, length, motorola, raw) == "ok", out).otherwise(payload)

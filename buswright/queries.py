@@ -204,7 +204,7 @@ SELECT seq, CAST((('0x' || {_REV9})::UHUGEINT >> 4) & 18446744073709551615::UHUG
        CAST((('0x' || substr(h2, 1, 18))::UHUGEINT >> 4) & 18446744073709551615::UHUGEINT AS VARCHAR) AS motorola FROM two""")
 def extract_nine_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir).withColumn("p", F.unhex(F.concat(F.hex("payload"), F.reverse(F.hex("payload")))))
-    raw = [bits.extract_raw(F.col("p"), F.lit(s), F.lit(64), F.lit(m)) for s, m in ((4, False), (3, True))]
+    raw = [bits.extract_raw(F.col("p"), s, 64, m) for s, m in ((4, False), (3, True))]
     return f.select("seq", values.unsigned_text(raw[0]).alias("intel"), values.unsigned_text(raw[1]).alias("motorola"))
 
 

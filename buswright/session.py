@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "buswright", master: str | None = None, **settings: str) -> SparkSession:
-    """A session in UTC with ANSI checks and adaptive execution; settings use __ for a dot."""
+    """A session in UTC with ANSI checks and adaptive execution; settings use __ for a dot.
+
+    A stage whose generated method the JVM would leave to its interpreter, one of over
+    8,000 bytes, is run from smaller methods instead.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.codegen.hugeMethodLimit": "8000"}
     for key, value in (base | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

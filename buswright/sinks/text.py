@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from buswright.functions.values import unsigned_text
 from buswright.operators.decode import decode_frames, known_frames, small
 from buswright.sources.dbc import Catalog, Signal
 
+#: Decimals of values that are formatted without Python.
+MOST_DECIMALS = 6
 HEADER = "timestamp,id,message,signal,raw,value,unit,label"
 
 
@@ -31,60 +34,56 @@ def any_value_text(value: pd.Series, precision: pd.Series) -> pd.Series:
     return pd.Series([_plain(v, int(p)) for v, p in zip(value, precision, strict=True)])
 
 
-def value_text(value: Column, precision: int) -> Column:
-    """:func:`any_value_text` of finite values under 2**53 and a precision under 15, without Python.
+def value_text(value: Column, precision: Column, most: int) -> Column:
+    """:func:`any_value_text` of values that :func:`_simple` allows, without Python; ``most`` is the largest precision.
 
     A signal's values are multiples of its last decimal but for the error of a
-    double, so as long as doubles lie far closer together than half of that, the
-    shortest decimal text of one, which a cast rounds, is nowhere near a tie. Past
-    that few bits are left behind the point and their product with a power of ten is
-    exact.
+    double. Where that is far less than half of 10**-most, rounding to ``most``
+    decimals gives the multiple, whose text ends in zeros that go.
     """
-    if precision == 0:
-        return value.cast("decimal(17,0)").cast("string")
-    scale = 10**precision
-    close = F.abs(value) * scale < F.lit(float(1 << 50))
-    whole = F.floor(F.abs(value))
-    coarse = whole.cast(f"decimal({17 + precision},{precision})") + (F.rint((F.abs(value) - whole) * scale).cast("long").cast("decimal(18,0)") / F.lit(scale)).cast(f"decimal({17 + precision},{precision})")
-    coarse = F.when(value < 0, -coarse).otherwise(coarse)
-    text = F.when(close, value.cast(f"decimal({17 + precision},{precision})").cast("string")).otherwise(coarse.cast("string"))
-    return F.regexp_replace(F.regexp_replace(text, r"\.?0+$", ""), "^-0$", "0")
-
-
-def csv_field(text: Column) -> Column:
+    fraction = value.cast(f"decimal({19 + most},{most})").cast("string")
+    # a value of a precision of 0 is a whole number
+    return F.when(precision == 0, value.cast("long").cast("string")).otherwise(F.rtrim(F.rtrim(fraction, F.lit("0")), F.lit(".")))
+
+
+def csv_field(text: str) -> str:
     """A field in quotes where it holds a comma, a quote or a line end."""
-    text = F.coalesce(text, F.lit(""))
-    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text)
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\r\n') else text
+
+
+def _quoted(catalog: Catalog) -> Catalog:
+    """The catalog with its names, units and labels as fields of a CSV row, so that no row has to look at them."""
+    signals = lambda m: tuple(replace(s, name=csv_field(s.name), unit=csv_field(s.unit), labels={k: csv_field(v) for k, v in s.labels.items()}) for s in m.signals)
+    return Catalog([replace(m, name=csv_field(m.name), signals=signals(m)) for m in catalog], catalog.name)
 
 
-def _simple(s: Signal) -> bool:
-    """Whether all values of a signal are of a size and precision that :func:`value_text` takes."""
-    return s.precision < 15 and (1 << s.length) * abs(s.factor) + abs(s.offset) < 1 << 53
+def _simple(s: Signal, most: int) -> bool:
+    """Whether :func:`value_text` may take a signal's values: whole ones under 2**63, others that doubles hold to ``most`` decimals."""
+    largest = (1 << s.length) * abs(s.factor) + abs(s.offset)
+    return largest < 1 << 62 if s.precision == 0 else s.precision <= most and largest * 10**most < 1 << 50
 
 
 def _shown(frames: DataFrame, catalog: Catalog) -> DataFrame:
     """Values of all signals that fit, as text.
 
-    Signals are told apart by whether their values can be formatted without
-    Python, and only where some can't are the frames decoded a second time for these.
+    Only where a catalog has signals whose values can't be formatted without Python
+    are the frames decoded a second time, for these.
     """
     places = [(m.can_id, m.is_extended, i, s) for m in catalog for i, s in enumerate(m.signals)]
+    most = max((s.precision for *_, s in places if s.precision <= MOST_DECIMALS), default=0)
     out = decode_frames(frames, catalog).where("status = 'ok'")
-    about = frames.sparkSession.createDataFrame([(c, e, i, s.precision, _simple(s)) for c, e, i, s in places], "can_id long, is_extended boolean, sig_ix int, precision int, simple boolean")
+    about = frames.sparkSession.createDataFrame([(c, e, i, s.precision, _simple(s, most)) for c, e, i, s in places], "can_id long, is_extended boolean, sig_ix int, precision int, simple boolean")
     out = out.join(small(about, catalog.signal_count), ["can_id", "is_extended", "sig_ix"])
-    shown = F.lit(None).cast("string")
-    for p in sorted({s.precision for *_, s in places if _simple(s)}):
-        shown = F.when(F.col("precision") == p, value_text(F.col("value"), p)).otherwise(shown)
-    simple = out.where("simple").withColumn("shown", shown) if any(_simple(s) for *_, s in places) else None
-    other = out.where("NOT simple").withColumn("shown", any_value_text("value", "precision")) if not all(_simple(s) for *_, s in places) else None
-    return simple if other is None and simple is not None else other if simple is None and other is not None else simple.unionByName(other) if simple is not None else out.withColumn("shown", F.lit(""))
+    simple = out.where("simple").withColumn("shown", value_text(F.col("value"), F.col("precision"), most))
+    if all(_simple(s, most) for *_, s in places):
+        return simple
+    return simple.unionByName(out.where("NOT simple").withColumn("shown", any_value_text("value", "precision")))
 
 
 def csv_rows(frames: DataFrame, catalog: Catalog) -> DataFrame:
     """seq, sig_ix and row: a CSV row for each decoded signal."""
-    fields = [timestamp_text(F.col("ts_us")), id_text(F.col("can_id"), F.col("is_extended")), csv_field(F.col("message")), csv_field(F.col("signal")), unsigned_text(F.col("raw")), F.col("shown"), csv_field(F.col("unit")), csv_field(F.col("label"))]
-    return _shown(frames, catalog).select("seq", "sig_ix", F.concat_ws(",", *fields).alias("row"))
+    fields = [timestamp_text(F.col("ts_us")), id_text(F.col("can_id"), F.col("is_extended")), F.col("message"), F.col("signal"), unsigned_text(F.col("raw")), F.col("shown"), F.col("unit"), F.coalesce("label", F.lit(""))]
+    return _shown(frames, _quoted(catalog)).select("seq", "sig_ix", F.concat_ws(",", *fields).alias("row"))
 
 
 def text_rows(frames: DataFrame, catalog: Catalog) -> DataFrame:

@@ -19,10 +19,6 @@ _MAX_TS = (1 << 63) - 1
 BROADCAST_BLOCKS = 200_000
 
 
-def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``lines`` (line and any other columns) with kind, message and, for kind 'frame', the frame's columns.
 
@@ -58,32 +54,36 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     raw, short, fd = F.col("__raw"), F.col("__short"), F.col("__fd")
     flagged = ~short & (raw.bitwiseAND(F.lit(ERROR_FLAG)) != 0)
     said = F.concat(F.lit("0x"), F.lower(F.hex(raw)))
-    # the first rule that holds decides
-    rules: list[tuple[Column, str, Column | None]] = [
-        (F.size("__t") == 0, "skip", None),
-        (F.col("__bad_stamp"), "error", _say("no timestamp can be read from `(", F.col("__stamp"), ")`")),
-        (F.col("__ts").isNull(), "error", _say("timestamp ", F.col("__stamp"), " is past the last that can be held")),
-        (~F.contains("__last", F.lit("#")), "error", _say("`", F.col("__last"), "` has no `#` between identifier and data")),
-        (raw.isNull(), "error", _say("`", F.col("__id"), "` is no identifier in hexadecimal digits")),
-        (short & (raw > STANDARD_MAX), "error", _say("identifier ", said, " is wider than 11 bits")),
-        (flagged, "skip", None),
-        (~short & (raw > EXTENDED_MAX), "error", _say("identifier ", said, " is wider than 29 bits")),
-        (fd & ~F.col("__rest").rlike("^#[0-9A-Fa-f]"), "error", F.lit("`##` is not followed by a digit of flags")),
-        (~fd & F.startswith("__rest", F.lit("R")), "skip", None),
-        (~F.col("__hex").rlike("^[0-9A-Fa-f]*$"), "error", _say("`", F.col("__hex"), "` is no data in hexadecimal digits")),
-        (F.length("__hex") % 2 != 0, "error", _say("`", F.col("__hex"), "` ends in half a byte")),
-        (n > FD_BYTES, "error", _say(n, f" bytes of data are more than the {FD_BYTES} of any frame")),
-        (fd & len_to_dlc(n).isNull(), "error", _say("frames of ", n, " byte(s) don't exist")),
-        (~fd & (n > CLASSIC_BYTES), "error", _say(n, f" byte(s) are more than the {CLASSIC_BYTES} of a frame written with one `#`")),
-        (F.col("__code").isNotNull() & F.col("__dlc").isNull(), "error", _say("`_", F.col("__code"), "` is no length code")),
-        (F.col("__code").isNotNull() & ~agrees, "error", _say("length code ", F.col("__dlc"), " and ", n, " byte(s) of data disagree")),
+    # the first rule that holds decides: (when, kind, text before and after what it is about, and that)
+    stamp, last, id_, data, bytes_ = F.col("__stamp"), F.col("__last"), F.col("__id"), F.col("__hex"), n.cast("string")
+    about = [F.lit(""), stamp, last, id_, said, data, bytes_, F.col("__code"), F.concat(F.col("__dlc").cast("string"), F.lit(" and "), bytes_)]
+    rules: list[tuple[Column, str, str, int, str]] = [
+        (F.size("__t") == 0, "skip", "", 0, ""),
+        (F.col("__bad_stamp"), "error", "no timestamp can be read from `(", 1, ")`"),
+        (F.col("__ts").isNull(), "error", "timestamp ", 1, " is past the last that can be held"),
+        (~F.contains("__last", F.lit("#")), "error", "`", 2, "` has no `#` between identifier and data"),
+        (raw.isNull(), "error", "`", 3, "` is no identifier in hexadecimal digits"),
+        (short & (raw > STANDARD_MAX), "error", "identifier ", 4, " is wider than 11 bits"),
+        (flagged, "skip", "", 0, ""),
+        (~short & (raw > EXTENDED_MAX), "error", "identifier ", 4, " is wider than 29 bits"),
+        (fd & ~F.col("__rest").rlike("^#[0-9A-Fa-f]"), "error", "`##` is not followed by a digit of flags", 0, ""),
+        (~fd & F.startswith("__rest", F.lit("R")), "skip", "", 0, ""),
+        (~F.col("__hex").rlike("^[0-9A-Fa-f]*$"), "error", "`", 5, "` is no data in hexadecimal digits"),
+        (F.length("__hex") % 2 != 0, "error", "`", 5, "` ends in half a byte"),
+        (n > FD_BYTES, "error", "", 6, f" bytes of data are more than the {FD_BYTES} of any frame"),
+        (fd & len_to_dlc(n).isNull(), "error", "frames of ", 6, " byte(s) don't exist"),
+        (~fd & (n > CLASSIC_BYTES), "error", "", 6, f" byte(s) are more than the {CLASSIC_BYTES} of a frame written with one `#`"),
+        (F.col("__code").isNotNull() & F.col("__dlc").isNull(), "error", "`_", 7, "` is no length code"),
+        (F.col("__code").isNotNull() & ~agrees, "error", "length code ", 8, " byte(s) of data disagree"),
     ]
-    kind = message = None
-    for when, what, text in rules:
-        text = F.lit(None).cast("string") if text is None else text
-        kind = F.when(when, what) if kind is None else kind.when(when, what)
-        message = F.when(when, text) if message is None else message.when(when, text)
-    d = d.withColumn("kind", kind.otherwise("frame")).withColumn("message", message)
+    rule = None
+    for i, (when, *_) in enumerate(rules):
+        rule = F.when(when, i) if rule is None else rule.when(when, i)
+    d = d.withColumn("__rule", rule.otherwise(len(rules)))
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("__rule"))
+    d = d.withColumn("kind", of([kind for _, kind, *_ in rules] + ["frame"]))
+    said_of = F.concat(of([x[2] for x in rules]), F.get(F.array(*about), of([x[3] for x in rules])), of([x[4] for x in rules]))
+    d = d.withColumn("message", F.when(F.col("kind") == "error", said_of))
     good = F.col("kind") == "frame"
     return d.select(
         *kept, "kind", "message",
