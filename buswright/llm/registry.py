@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from buswright.llm import exact_dedup, language, minhash, mixing, ngram_join, piece_bpe, quality, token_store, toxicity, warc
+from buswright.llm import exact_dedup, hard_negatives, importance, language, licenses, minhash, mixing, ngram_join, piece_bpe, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_language_codes": language.op1_language_codes,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxic_spans": toxicity.op8_toxic_spans,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_bit_sliced_negatives": hard_negatives.op11_bit_sliced_negatives,
+    "op12_crc_resampling": importance.op12_crc_resampling,
+    "op13_diagonal_licenses": licenses.op13_diagonal_licenses,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op6_warc_chunks": warc.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
+    "op11_bit_sliced_negatives": hard_negatives.OP11_SQL,
+    "op13_diagonal_licenses": licenses.OP13_SQL,
 }
