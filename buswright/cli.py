@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from buswright.operators.check import check
 from buswright.operators.decode import tally
 from buswright.operators.resample import ExportError, sample
-from buswright.session import session
+from buswright.session import scratch, session
 from buswright.sinks.ld import Metadata, write_ld
 from buswright.sinks.text import HEADER, csv_rows, in_order, tally_text, text_rows
 from buswright.sources.candump import read_log
@@ -134,7 +134,8 @@ def live(args: argparse.Namespace) -> int:
 
     catalog, spark = load_catalog(args.dbc), session()
     spark.dataSource.register(SocketCan)
-    frames = spark.readStream.format("socketcan").option("interface", args.interface).load()
+    # all that arrives is in a log before it is shown, so a batch that is lost is read again
+    frames = spark.readStream.format("socketcan").option("interface", args.interface).option("log", scratch(spark, "live-frames")).load()
     if args.format == "csv":
         print(HEADER, flush=True)
 
@@ -142,7 +143,7 @@ def live(args: argparse.Namespace) -> int:
         show(in_order(_rows(rows, catalog, args.format)))
         sys.stdout.flush()
 
-    query, counts = run_stream(frames, catalog, batch)
+    query, counts = run_stream(frames, catalog, batch, scratch(spark, "live-checkpoint"))
     try:
         until_quiet(query, counts, args.timeout)
     except Exception as e:

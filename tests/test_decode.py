@@ -14,61 +14,67 @@ from buswright.sources import candump, socketcan
 from buswright.sources.dbc import Catalog, Message, Signal, parse
 from buswright.streaming import live
 
-# A glasshouse, a log of it and the text that decoding it must give, worked out by hand.
-DBC = """BO_ 52 Boiler: 6 CTRL
- SG_ Supply : 0|12@1+ (0.1,-20) [-20|389.5] "degC" LOG
- SG_ Return : 19|12@0+ (0.1,-20) [-20|389.5] "degC" LOG
- SG_ Burner : 12|4@1+ (1,0) [0|15] "" LOG
- SG_ Pressure : 32|16@1- (0.004,1.5) [0|0] "bar" LOG
-BO_ 611 Vents: 4 CTRL
- SG_ East : 7|9@0- (0.5,0) [0|0] "%" LOG
- SG_ West : 8|7@1- (2,3) [0|0] "%" LOG
-BO_ 905 Probe: 5 CTRL
- SG_ Moist m1 : 8|10@1+ (0.25,0) [0|0] "%" LOG
- SG_ Slot M : 4|3@1+ (1,0) [0|7] "" LOG
- SG_ Glow m5 : 15|14@0+ (3,-6) [0|0] "lx" LOG
-BO_ 2174923716 Alarms: 8 CTRL
- SG_ Alarm : 3|5@1+ (1,0) [0|31] "" LOG
-VAL_ 52 Burner 0 "Idle" 6 "Firing" ;
-VAL_ 905 Slot 1 "Soil" 5 "Leaf" ;
-VAL_ 2174923716 Alarm 17 "Frost" ;
+# A ferry: a message of CAN FD, one of three pages of which a fourth has no signal, and an extended one.
+DBC = """BO_ 1301 Hull: 12 BRIDGE
+ SG_ Draft : 0|20@1+ (0.001,0) [0|0] "m" LOG
+ SG_ Trim : 39|12@0- (0.05,1) [0|0] "deg" LOG
+ SG_ Fuel : 64|24@1+ (1,0) [0|0] "l" LOG
+BO_ 640 Galley: 8 BRIDGE
+ SG_ Cold m0 : 8|16@1+ (1,0) [0|0] "ml" LOG
+ SG_ Warm m2 : 12|9@1- (0.5,30) [0|0] "degC" LOG
+ SG_ Jet m3 : 20|4@1+ (1,0) [0|0] "" LOG
+ SG_ Tap M : 6|2@1+ (1,0) [0|3] "" LOG
+BO_ 2148274174 Ramp: 3 BRIDGE
+ SG_ Angle : 0|10@1- (0.2,0) [-40|40] "deg" LOG
+ SG_ Locked : 10|1@1+ (1,0) [0|1] "" LOG
+ SG_ Load : 23|8@0+ (2.5,10) [0|0] "t" LOG
+VAL_ 2148274174 Locked 1 "Yes" 0 "No" ;
+VAL_ 640 Tap 2 "Warm water" 0 "Off" ;
 """
-LOG = """(1650000000.125000) can1 034#E861032038FF
-(1650000000.127000) can1 263#FEC60000
-(1650000000.129000) can1 389#5A018C0000
-(1650000000.131000) can1 389#1010030000
-(1650000000.133000) can1 01A2B3C4#88
-(1650000000.135000) can1 034#R
-(1650000000.137000) can1 20000001#00
-(1650000000.139000) can1 1F4##00102030405060708090A0B0C
-(1650000000.141000) can1 034#E861
+# What decoding this log must give, worked out by hand.
+LOG = """(1912345678.000000) vcan3 515##3B20C0000FF80000070110100
+(1912345678.020000) vcan3 280#80B01E0000000000_C
+
+(1912345678.020500) vcan3 000C0FFE#DD0720
+(1912345678.030000) vcan3 123#AB
+(1912345678.031000) vcan3 000C0FFF#R4
+(1912345678.040000) vcan3 00000515#00
+(1912345678.050000) vcan3 280#40
+(1912345678.060000) vcan3 000C0FFE#2A00
+(1912345678.070000) vcan3 515##0A00F00000000000000000000
+(1912345678.070000) vcan3 000C0FFE#2A00FF
 """
-TEXT = """1650000000.125000 034 Boiler
-  Supply: 28.8 degC
-  Return: 60 degC
-  Burner: Firing (6)
-  Pressure: 0.7 bar
-1650000000.127000 263 Vents
-  East: -1.5 %
-  West: -113 %
-1650000000.129000 389 Probe
-  Slot: Leaf (5)
-  Glow: 291 lx
-1650000000.131000 389 Probe
-  Moist: 196 %
-  Slot: Soil (1)
-1650000000.133000 01A2B3C4 Alarms
-  Alarm: Frost (17)
-1650000000.141000 034 Boiler
-  Supply: 28.8 degC
-  Burner: Firing (6)
+TEXT = """1912345678.000000 515 Hull
+  Draft: 3.25 m
+  Trim: 0.6 deg
+  Fuel: 70000 l
+1912345678.020000 280 Galley [dlc 12]
+  Warm: 19.5 degC
+  Tap: Warm water (2)
+1912345678.020500 000C0FFE Ramp
+  Angle: -7 deg
+  Locked: Yes (1)
+  Load: 90 t
+1912345678.050000 280 Galley
+  Tap: 1
+1912345678.060000 000C0FFE Ramp
+  Angle: 8.4 deg
+  Locked: No (0)
+1912345678.070000 515 Hull
+  Draft: 4 m
+  Trim: 1 deg
+  Fuel: 0 l
+1912345678.070000 000C0FFE Ramp
+  Angle: 8.4 deg
+  Locked: No (0)
+  Load: 647.5 t
 """
 
 
 @pytest.fixture
 def files(tmp_path):
-    (tmp_path / "house.dbc").write_text(DBC)
-    (tmp_path / "house.log").write_text(LOG)
+    (tmp_path / "ferry.dbc").write_text(DBC)
+    (tmp_path / "ferry.log").write_text(LOG)
     return tmp_path
 
 
@@ -81,41 +87,41 @@ def decoded(spark, dbc, rows):
 
 
 def test_decode_prints_frames_with_signals_and_a_tally(spark, files, capsys):
-    assert cli.main(["decode", str(files / "house.dbc"), str(files / "house.log")]) == 0
+    assert cli.main(["decode", str(files / "ferry.dbc"), str(files / "ferry.log")]) == 0
     out, err = capsys.readouterr()
     assert out == TEXT
-    assert err.strip() == "buswright: decoded 6 frame(s), 1 not in the DBC, 2 signal(s) did not fit their frame"
+    assert err.strip() == "buswright: decoded 7 frame(s), 2 not in the DBC, 1 signal(s) did not fit their frame"
 
 
 def test_decode_reads_standard_input(spark, files, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(LOG.encode())))
-    assert cli.main(["decode", str(files / "house.dbc"), "-"]) == 0
+    assert cli.main(["decode", str(files / "ferry.dbc"), "-"]) == 0
     assert capsys.readouterr().out == TEXT
 
 
 def test_csv_rows_and_lines_that_cannot_be_read(spark, files, capsys):
-    (files / "odd.log").write_text("(4.0) can1 034#E861032038FF0000_9\nnoise\n(5.0) can1 034#0G\n(6.5) can1 01A2B3C4#88\n")
-    words = [str(files / "house.dbc"), str(files / "odd.log")]
+    (files / "odd.log").write_text("noise\n(4.0) vcan3 280#00F4010000000000_9\n(6.5) vcan3 000C0FFE#DD0720\n(7.0) vcan3 280#0G\n")
+    words = [str(files / "ferry.dbc"), str(files / "odd.log")]
     assert cli.main(["decode", *words, "--format", "csv"]) == 1
     out, err = capsys.readouterr()
     lines = out.splitlines()
-    assert lines[:2] == [text.HEADER, "4.000000,034,Boiler,Supply,488,28.8,degC,"]
-    assert lines[4:] == ["4.000000,034,Boiler,Pressure,65336,0.7,bar,", "6.500000,01A2B3C4,Alarms,Alarm,17,17,,Frost"]
-    assert "log line 2: " in err and "log line 3: " in err and "2 line(s) could not be read" in err
+    assert lines[:3] == [text.HEADER, "4.000000,280,Galley,Cold,500,500,ml,", "4.000000,280,Galley,Tap,0,0,,Off"]
+    assert lines[3:5] == ["6.500000,000C0FFE,Ramp,Angle,989,-7,deg,", "6.500000,000C0FFE,Ramp,Locked,1,1,,Yes"]
+    assert "log line 1: " in err and "log line 4: " in err and "2 line(s) could not be read" in err
     (files / "rows.csv").write_text(out)
     back = text.read_decoded_csv(spark, str(files / "rows.csv")).collect()
-    assert [(r.signal, float(r.timestamp), int(r.raw), r.value, r.label or None) for r in back][-1] == ("Alarm", 6.5, 17, 17.0, "Frost")
+    assert [(r.signal, float(r.timestamp), int(r.raw), r.value, r.label or None) for r in back][-2] == ("Locked", 6.5, 1, 1.0, "Yes")
     assert cli.main(["decode", *words]) == 1
-    assert capsys.readouterr().out.splitlines()[0] == "4.000000 034 Boiler [dlc 9]"
+    assert capsys.readouterr().out.splitlines()[0] == "4.000000 280 Galley [dlc 9]"
 
 
 def test_commands_that_cannot_run(spark, files, capsys):
-    assert cli.main(["decode", str(files / "no.dbc"), str(files / "house.log")]) == 2
+    assert cli.main(["decode", str(files / "no.dbc"), str(files / "ferry.log")]) == 2
     assert "cannot read" in capsys.readouterr().err
     (files / "bad.dbc").write_text("BO_ 9 Pipe: 2 N\n SG_ Flow\n")
     assert cli.main(["check", str(files / "bad.dbc")]) == 2
     assert "line 2 of the database" in capsys.readouterr().err
-    assert cli.main(["export", str(files / "house.dbc"), str(files / "house.log"), "-o", str(files / "x.ld"), "--rate", "0"]) == 2
+    assert cli.main(["export", str(files / "ferry.dbc"), str(files / "ferry.log"), "-o", str(files / "x.ld"), "--rate", "0"]) == 2
     assert capsys.readouterr().err.startswith("buswright: cannot export: 0 Hz")
     for bad in ("-3", "0", "", "later", "nan", "-inf"):
         with pytest.raises(SystemExit):
@@ -123,8 +129,8 @@ def test_commands_that_cannot_run(spark, files, capsys):
 
 
 def test_check_lists_problems(spark, files, capsys):
-    assert cli.main(["check", str(files / "house.dbc")]) == 0
-    assert capsys.readouterr().out.strip().endswith("4 message(s), 10 signal(s), 0 problem(s)")
+    assert cli.main(["check", str(files / "ferry.dbc")]) == 0
+    assert capsys.readouterr().out.strip().endswith("3 message(s), 10 signal(s), 0 problem(s)")
     (files / "yard.dbc").write_text(demo.BROKEN_DBC)
     assert cli.main(["check", str(files / "yard.dbc")]) == 1
     assert capsys.readouterr().out.splitlines()[:-1] == [
@@ -145,20 +151,23 @@ def test_bits_past_the_longest_payload_are_not_compared(spark):
 
 
 def test_export_writes_the_format(spark, files, capsys):
-    out = files / "house.ld"
-    assert cli.main(["export", str(files / "house.dbc"), str(files / "house.log"), "-o", str(out), "--rate", "500", "--driver", "Mira", "--venue", "South bay"]) == 1
+    out = files / "ferry.ld"
+    assert cli.main(["export", str(files / "ferry.dbc"), str(files / "ferry.log"), "-o", str(out), "--rate", "500", "--driver", "Mira", "--venue", "South bay"]) == 1
     err = capsys.readouterr().err.splitlines()
-    assert err[0].endswith("10 channels at 500 Hz, 9 samples each, from 7 frames") and err[1].startswith("buswright: 2 signal value(s) dropped")
+    assert err[0].endswith("8 channels at 500 Hz, 36 samples each, from 9 frames") and err[1].startswith("buswright: 1 signal value(s) dropped")
     content = out.read_bytes()
-    assert len(content) == 1762 + 1154 + 124 * 10 + 4 * 10 * 9
-    assert content[94:104] == b"15/04/2022" and content[126:134] == b"05:20:00" and content[158:162] == b"Mira" and content[350:359] == b"South bay"
-    assert struct.unpack_from("<I", content, 86) == (10,)
+    assert len(content) == 1762 + 1154 + 124 * 8 + 4 * 8 * 36
+    assert content[94:104] == b"07/08/2030" and content[126:134] == b"15:07:58" and content[158:162] == b"Mira" and content[350:359] == b"South bay"
+    assert struct.unpack_from("<I", content, 86) == (8,)
     samples = ld.read_samples(content)
-    assert samples["Supply"].tolist() == pytest.approx([28.8] * 9) and samples["Glow"].tolist() == [291.0] * 9 and samples["West"].tolist() == [-113.0] * 9
+    assert list(samples) == ["Warm", "Tap", "Draft", "Trim", "Fuel", "Angle", "Locked", "Load"]
+    # Tap is 2 until 50 ms, Fuel drops at the last point, Warm holds throughout
+    assert samples["Warm"].tolist() == [19.5] * 36 and samples["Tap"].tolist() == [2.0] * 25 + [1.0] * 11
+    assert samples["Fuel"].tolist() == [70000.0] * 35 + [0.0] and samples["Locked"].tolist() == [1.0] * 30 + [0.0] * 6
 
 
 def test_exports_past_the_format_are_refused(spark, monkeypatch):
-    f = frames_of(spark, [(0, 611, False, "00000000"), (10_000_000, 611, False, "00000000")])
+    f = frames_of(spark, [(0, 0xC0FFE, True, "0000"), (10_000_000, 0xC0FFE, True, "0000")])
     monkeypatch.setattr(resample, "MAX_SAMPLE_BYTES", 2 * 101 * 4)
     assert resample.sample(f, parse(DBC), 10).points == 101
     monkeypatch.setattr(resample, "MAX_SAMPLE_BYTES", 2 * 101 * 4 - 1)
@@ -174,8 +183,8 @@ def test_a_page_without_a_multiplexor_is_on_every_frame(spark):
 
 
 def test_a_multiplexor_that_does_not_fit_selects_no_page(spark):
-    got = decoded(spark, DBC, [(0, 905, False, "")])
-    assert [(r.signal, r.status, r.required, r.available) for r in got] == [("Slot", "unfit", 1, 0)]
+    got = decoded(spark, DBC, [(0, 640, False, "")])
+    assert [(r.signal, r.status, r.required, r.available) for r in got] == [("Tap", "unfit", 1, 0)]
 
 
 def test_pages_go_by_the_bits_of_the_selector_not_its_value(spark):
@@ -217,7 +226,7 @@ def test_empty_tables_give_empty_results(spark):
 
 
 def test_generated_methods_are_small_enough_for_the_jvm_to_compile(spark):
-    f = frames_of(spark, [(0, 52, False, "00")])
+    f = frames_of(spark, [(0, 640, False, "00")])
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         for df in (decode.decode_frames(f, demo.catalog()), compiled.long(f, demo.catalog()), decode.tally(f, demo.catalog())):
@@ -304,12 +313,12 @@ def test_names_are_cut_and_numbered():
 
 
 def test_encoding_is_the_inverse_of_decoding(spark):
-    m = parse(DBC).message(52)
-    rows = spark.createDataFrame([(1, 63.2, 41.0, 6.0, 1.22), (2, 900.0, None, 15.0, -100.0)], "seq long, Supply double, Return double, Burner double, Pressure double")
-    out = encode.encode_message(rows, m).select("seq", F.lit(0).cast("long").alias("ts_us"), F.lit(52).cast("long").alias("can_id"), F.lit(False).alias("is_extended"), "payload", "errors").persist()
-    assert {r.seq: [(e.signal, e.status) for e in r.errors] for r in out.collect()} == {1: [], 2: [("Supply", "value_out_of_range")]}
+    m = parse(DBC).message(0xC0FFE, True)
+    rows = spark.createDataFrame([(1, 17.4, 0.0, 60.0), (2, None, 1.0, 20.0), (3, 250.0, 1.0, 1000.0)], "seq long, Angle double, Locked double, Load double")
+    out = encode.encode_message(rows, m).select("seq", F.lit(0).cast("long").alias("ts_us"), F.lit(0xC0FFE).cast("long").alias("can_id"), F.lit(True).alias("is_extended"), "payload", "errors").persist()
+    assert {r.seq: sorted((e.signal, e.status) for e in r.errors) for r in out.collect()} == {1: [], 2: [], 3: [("Angle", "value_out_of_range"), ("Load", "value_out_of_range")]}
     got = decode.decode_frames(out, parse(DBC)).orderBy("seq", "sig_ix").collect()
-    assert [round(r.value, 6) for r in got] == [63.2, 41.0, 6.0, 1.22, -20.0, -20.0, 15.0, -100.0]
+    assert [round(r.value, 6) for r in got] == [17.4, 0.0, 60.0, 0.0, 1.0, 20.0, 0.0, 1.0, 10.0]
 
 
 def test_pages_may_share_bits(spark):
@@ -336,7 +345,7 @@ def test_a_stream_of_logs_is_decoded_and_counted(spark, tmp_path):
     stream = candump.stream_log(spark, str(tmp_path / "in")).where("kind = 'frame'")
     query, counts = live.run_stream(stream, parse(DBC), lambda rows: shown.extend(decode.decode_frames(rows, parse(DBC)).where("status = 'ok'").collect()), str(tmp_path / "check"))
     live.until_quiet(query, counts, 4)
-    assert (counts.frames, counts.unknown, counts.unfit, counts.arrived) == (6, 1, 2, 7) and len(shown) == 13
+    assert (counts.frames, counts.unknown, counts.unfit, counts.arrived) == (7, 2, 1, 9) and len(shown) == 17
 
 
 def test_received_frames_are_unpacked():
