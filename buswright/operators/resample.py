@@ -2,7 +2,9 @@
 
 No grid is joined: the grid index from which an update holds is arithmetic on its
 timestamp, so updates become runs of grid points, which are as many as the
-updates, and only the runs are expanded.
+updates, and only the runs are expanded. A channel's grid is cut into tiles of a
+bounded number of points: tasks work on tiles, and what the last update of a tile
+says is carried over those after it that have none.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from buswright.sources.dbc import Catalog
 RATES = (1, 2, 5, 10, 20, 25, 50, 100, 200, 500, 1000)
 MAX_SAMPLE_BYTES = 512 * 1024 * 1024
 _SECOND = 1_000_000
+#: Grid points of a tile: the most that one array of indexes or one piece of a file holds.
+TILE = 1 << 16
 
 
 class ExportError(ValueError):
@@ -52,26 +56,55 @@ def grid_points(start_us: int, end_us: int, rate: int) -> int:
     return (end_us - start_us) * rate // _SECOND + 1
 
 
-def hold(updates: DataFrame, keys: list[str], first_index: Column, points: Column | int, value: str = "value", order: tuple[str, ...] = ("ts_us", "seq")) -> DataFrame:
-    """keys, k and value at grid points 0 to ``points`` - 1 of each channel.
+def runs(updates: DataFrame, keys: list[str], first_index: Column, points: Column | int, value: str = "value", order: tuple[str, ...] = ("ts_us", "seq")) -> DataFrame:
+    """keys, tile, lo, hi and value: grid points lo to hi of a channel hold the value.
 
     ``first_index`` is the first grid index at or after an update. A point takes
     the last update up to it; points before a channel's first update take that
-    update. Equal timestamps go by the log's order. Two aggregates and a window
-    over a channel's distinct grid indexes: a channel's updates are reduced to one
-    per grid point before they meet.
+    update. Equal timestamps go by the log's order. Runs cover points 0 to
+    ``points`` - 1 of each channel once, and none leaves its tile of :data:`TILE`
+    points, so any grid is expanded in bounded steps and by many tasks.
+
+    Updates are reduced to one per grid point before they meet, then sorted within
+    a tile. Tiles are shuffled once: the runs within them and the values that they
+    carry on are made from the same exchange.
     """
+    spark = updates.sparkSession
+    many = not isinstance(points, int) or points > TILE
     points = F.lit(points) if isinstance(points, int) else points
-    at = F.struct(*[F.col(c) for c in order])
-    marked = updates.withColumn("__k", first_index)
-    steps = marked.groupBy(*keys, "__k").agg(F.max_by(value, at).alias("__v"), F.min(at).alias("__at"), F.min_by(value, at).alias("__w"))
-    channel = Window.partitionBy(*keys).orderBy("__k")
-    # of the steps the earliest update of all is in the first
-    steps = steps.withColumn("__next", F.lead("__k").over(channel)).withColumn("__first", F.row_number().over(channel) == 1)
-    own = F.struct(F.greatest(F.col("__k"), F.lit(0)).alias("lo"), (F.least(F.coalesce("__next", points), points) - 1).alias("hi"), F.col("__v").alias("v"))
-    lead_in = F.struct(F.lit(0).cast("long").alias("lo"), (F.least(F.col("__k"), points) - 1).cast("long").alias("hi"), F.col("__w").alias("v"))
-    runs = steps.withColumn("__run", F.explode(F.when(F.col("__first"), F.array(lead_in, own)).otherwise(F.array(own)))).where("__run.lo <= __run.hi")
-    return runs.select(*keys, F.explode(F.sequence("__run.lo", "__run.hi")).alias("k"), F.col("__run.v").alias(value))
+    at = F.struct(*[F.col(c) for c in order], F.col(value).alias("v"))
+    # all points before the first have one update that matters, and all past the end none but the first
+    k = F.greatest(F.least(first_index, points), F.lit(0)).cast("long")
+    steps = updates.withColumn("__k", k).groupBy(*keys, "__k").agg(F.max(at).alias("__last"), F.min(at).alias("__first"))
+    tile_of = lambda k: F.call_function("div", k, F.lit(TILE))
+    # a number of tasks of its own: few updates can have very many points
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.withColumn("tile", tile_of(F.col("__k"))).repartition(spread, *keys, "tile")
+    begins, ends = F.col("tile") * TILE, F.least((F.col("tile") + 1) * TILE, points) - 1
+
+    inside = Window.partitionBy(*keys, "tile").orderBy("__k")
+    stop = F.least(F.coalesce(F.lead("__k").over(inside) - 1, ends), points - 1)
+    # both halves name all columns of the exchange, so that they share it
+    own = steps.where("__first IS NOT NULL").select(*keys, "tile", F.col("__k").alias("lo"), stop.alias("hi"), F.col("__last.v").alias(value))
+
+    # a row a tile that has updates
+    tiles = steps.groupBy(*keys, "tile").agg(F.min("__k").alias("__k"), F.min("__first").alias("__first"), F.max(F.struct("__k", "__last")).alias("__end"))
+    channel = Window.partitionBy(*keys).orderBy("tile")
+    before = F.struct(F.lit(0).cast("long").alias("lo"), (F.col("__k") - 1).alias("hi"), F.col("__first.v").alias("v"))
+    after = F.struct((ends + 1).cast("long").alias("lo"), (F.col("__next") - 1).cast("long").alias("hi"), F.col("__end.__last.v").alias("v"))
+    tiles = tiles.withColumn("__next", F.coalesce(F.lead("__k").over(channel), points)).withColumn("__begins", F.row_number().over(channel) == 1)
+    carried = tiles.select(*keys, F.explode(F.when(F.col("__begins"), F.array(before, after)).otherwise(F.array(after))).alias("__run"))
+    carried = carried.where("__run.lo <= __run.hi").withColumn("tile", F.explode(F.sequence(tile_of(F.col("__run.lo")), tile_of(F.col("__run.hi")))))
+    if many:
+        carried = carried.repartition(spread, *keys, "tile")
+    carried = carried.select(*keys, "tile", F.greatest(F.col("__run.lo"), begins).alias("lo"), F.least(F.col("__run.hi"), ends).alias("hi"), F.col("__run.v").alias(value))
+    return own.where("lo <= hi").unionByName(carried)
+
+
+def hold(updates: DataFrame, keys: list[str], first_index: Column, points: Column | int, value: str = "value", order: tuple[str, ...] = ("ts_us", "seq")) -> DataFrame:
+    """keys, k and value at grid points 0 to ``points`` - 1 of each channel, the points of :func:`runs`."""
+    held = runs(updates, keys, first_index, points, value, order)
+    return held.select(*keys, F.explode(F.sequence("lo", "hi")).alias("k"), value)
 
 
 def index_at_rate(ts_us: Column, start_us: int, rate: int) -> Column:
@@ -84,9 +117,9 @@ def index_at_rate(ts_us: Column, start_us: int, rate: int) -> Column:
 
 @dataclass
 class Sampled:
-    """A resampled log: samples (channel_ix, k, sample), channels in order, and what was left out."""
+    """A resampled log: runs (channel_ix, tile, lo, hi, sample), channels in order, and what was left out."""
 
-    samples: DataFrame
+    runs: DataFrame
     channels: list[tuple[int, str, str]]
     start_us: int
     rate: int
@@ -94,6 +127,11 @@ class Sampled:
     frames: int
     skipped: int
 
+    @property
+    def samples(self) -> DataFrame:
+        """channel_ix, k and sample: a row for each channel and grid point."""
+        return self.runs.select("channel_ix", F.explode(F.sequence("lo", "hi")).alias("k"), "sample")
+
 
 def layout(catalog: Catalog) -> list[tuple[int, int, bool, str, str]]:
     """(channel_ix, can_id, is_extended, signal, unit) of each channel: by number, then width, then the
@@ -137,5 +175,5 @@ def sample(frames: DataFrame, catalog: Catalog, rate: int | None = None) -> Samp
     if size > MAX_SAMPLE_BYTES:
         raise ExportError(f"sampling {len(channels)} channels at {rate} Hz takes {size} bytes, more than {MAX_SAMPLE_BYTES}; a lower rate takes less")
     values = updates.where("status = 'ok'").select("channel_ix", "ts_us", "seq", F.col("value").cast("float").alias("sample"))
-    held = hold(values, ["channel_ix"], index_at_rate(F.col("ts_us"), about.start_us, rate), points, "sample")
+    held = runs(values, ["channel_ix"], index_at_rate(F.col("ts_us"), about.start_us, rate), points, "sample")
     return Sampled(held, channels, about.start_us, rate, points, about.frames, skipped)

@@ -2,66 +2,162 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values in a range of time, about, and in a piece of a series, at the most.
+from buswright.operators.decode import small
+from buswright.session import scratch
+
+#: Values of a range, about (none has twice as many), and of a piece of a series, at the most.
 RANGE_ROWS, PIECE_ROWS = 100_000, 100_000
+#: Values that a channel may have at the most to be drawn in steps.
+STEPS = 12
+_ORDER = ["message", "signal", "ts_us", "seq"]
 
 
-def _in_ranges(decoded: DataFrame) -> DataFrame:
-    """Values with the number of their range of time, ``range``: each signal's time is cut evenly into as many as its values need."""
-    ok = decoded.where("status = 'ok'").select("message", "signal", "ts_us", "seq", "value")
-    spans = ok.groupBy("message", "signal").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.count(F.lit(1)).alias("n"))
-    spans = spans.select("message", "signal", "lo", F.expr(f"(hi - lo) div (n div {RANGE_ROWS} + 1) + 1").alias("width"))
-    left, right = ok.alias("a"), F.broadcast(spans).alias("s")
-    return left.join(right, ["message", "signal"]).select("message", "signal", "ts_us", "seq", "value", F.expr("(ts_us - lo) div width").alias("range"))
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the folder that executors share, so that what made it runs once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def frame_count(decoded: DataFrame) -> DataFrame:
-    """One row: distinct frames, by timestamp and identifier, that gave a value."""
-    return decoded.where("status = 'ok'").agg(F.count_distinct("ts_us", "can_id", "is_extended").alias("frames"))
+def _in_order(decoded: DataFrame) -> DataFrame:
+    """Values by signal and time, sorted within ranges of about :data:`RANGE_ROWS` values, a task each.
+
+    Edges of the ranges come from a sample of the values themselves, so a burst is
+    as many ranges as its values need, and a signal without values takes none.
+    """
+    ok = _written(decoded.where("status = 'ok'").select(*_ORDER, "value"), "ordered-values")
+    ranges = max(1, -(-ok.count() // RANGE_ROWS))
+    return ok.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER)
+
+
+def _same_signal(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row but the first of a batch whether it is of the signal of the row before."""
+    same = np.ones(max(batch.num_rows - 1, 0), bool)
+    for name in ("message", "signal"):
+        column = batch.column(name)
+        same &= np.asarray(pc.equal(column[1:], column[:-1]).fill_null(False))
+    return same
+
+
+def _signal_of(batch: pa.RecordBatch, row: int) -> tuple[str, str]:
+    return batch.column("message")[row].as_py(), batch.column("signal")[row].as_py()
 
 
 def series(decoded: DataFrame) -> DataFrame:
     """Each signal's values in time order, a row for each piece: message, signal, piece, ts_us array, value array.
 
-    Pieces are numbered from 0 and have ``PIECE_ROWS`` values but for the last.
+    Pieces are numbered from 0 and have ``PIECE_ROWS`` values at the most.
     """
-    values = _in_ranges(decoded)
+    schema = pa.schema([("message", pa.string()), ("signal", pa.string()), ("range", pa.int64()), ("own", pa.int64()), ("ts_us", pa.list_(pa.int64())), ("value", pa.list_(pa.float64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, own, number = TaskContext.get().partitionId(), [], 0, None
+
+        def piece() -> pa.RecordBatch:
+            columns = [pa.array([np.concatenate(c)]) for c in zip(*held, strict=True)]
+            return pa.record_batch([[number[0]], [number[1]], [at], [own], *columns], schema=schema)
+
+        for batch in batches:
+            ts, value = batch.column("ts_us").to_numpy(), batch.column("value").to_numpy()
+            edges = [0, *(np.flatnonzero(~_same_signal(batch)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b and _signal_of(batch, a) != number:
+                    if held:
+                        yield piece()
+                    held, own, number = [], 0, _signal_of(batch, a)
+                while a < b:
+                    stop = min(b, a + PIECE_ROWS - sum(len(t) for t, _ in held))
+                    held.append((ts[a:stop], value[a:stop]))
+                    a = stop
+                    if sum(len(t) for t, _ in held) == PIECE_ROWS:
+                        yield piece()
+                        held, own = [], own + 1
+        if held:
+            yield piece()
+
+    pieces = _written(_in_order(decoded).mapInArrow(cut, "message string, signal string, range long, own long, ts_us array<bigint>, value array<double>"), "series-pieces")
+    counts = pieces.groupBy("message", "signal", "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("message", "signal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = values.groupBy("message", "signal", "range").agg(F.count(F.lit(1)).alias("size"))
-    offsets = sizes.select("message", "signal", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("message", "signal", "range").orderBy("ts_us", "seq")) - 1
-    placed = values.withColumn("at", inside).join(offsets, ["message", "signal", "range"])
-    placed = placed.withColumn("piece", F.expr(f"(offset + at) div {PIECE_ROWS}"))
-    points = F.sort_array(F.collect_list(F.struct("ts_us", "seq", "value")))
-    out = placed.groupBy("message", "signal", "piece").agg(points.alias("p"))
-    return out.select("message", "signal", "piece", F.col("p.ts_us").alias("ts_us"), F.col("p.value").alias("value"))
+    # a row for each signal of a range
+    offsets = _written(counts.select("message", "signal", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "series-offsets")
+    placed = pieces.join(small(offsets, offsets.count()), ["message", "signal", "range"])
+    return placed.select("message", "signal", (F.col("before") + F.col("own")).alias("piece"), "ts_us", "value")
+
+
+def frame_count(decoded: DataFrame) -> DataFrame:
+    """One row: distinct frames, by timestamp and identifier, that gave a value."""
+    return decoded.where("status = 'ok'").agg(F.count_distinct("ts_us", "can_id", "is_extended").alias("frames"))
 
 
 def channel_summary(decoded: DataFrame) -> DataFrame:
     """A row a signal: n, minimum, maximum, peak (the value of largest magnitude, the first of equals) and stepped
-    (all values whole, twelve of them distinct at most)."""
+    (all values whole, :data:`STEPS` of them distinct at most).
+
+    Distinct values are counted up to one more than that: a histogram of so many
+    bins keeps each distinct value in bins of its own while there are no more, and
+    merges bins of equal values before any others. So a signal takes one small
+    buffer a task, and no value is shuffled.
+    """
     ok = decoded.where("status = 'ok'")
-    return ok.groupBy("message", "signal").agg(
+    # whole values that a merge has averaged are rounded back to what they were
+    distinct = F.size(F.array_distinct(F.transform("bins", lambda b: F.rint(b["x"]))))
+    out = ok.groupBy("message", "signal").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
         F.max_by("value", F.struct(F.abs("value").alias("a"), (-F.col("seq")).alias("b"))).alias("peak"),
-        (F.bool_and(F.col("value") == F.floor("value")) & (F.count_distinct("value") <= 12)).alias("stepped"),
+        F.bool_and(F.col("value") == F.floor("value")).alias("whole"),
+        F.histogram_numeric("value", F.lit(STEPS + 1)).alias("bins"),
     )
+    return out.select("message", "signal", "n", "minimum", "maximum", "peak", (F.col("whole") & (distinct <= STEPS)).alias("stepped"))
 
 
 def monotonic_violations(decoded: DataFrame) -> DataFrame:
     """A row for each value of a signal that is less than the one before it."""
-    values = _in_ranges(decoded)
-    last = values.groupBy("message", "signal", "range").agg(F.max_by("value", F.struct("ts_us", "seq")).alias("last"))
-    carried = last.select("message", "signal", "range", F.lag("last").over(Window.partitionBy("message", "signal").orderBy("range")).alias("carried"))
-    order = Window.partitionBy("message", "signal", "range").orderBy("ts_us", "seq")
-    out = values.withColumn("before", F.lag("value").over(order)).join(carried, ["message", "signal", "range"])
-    out = out.withColumn("before", F.coalesce("before", "carried"))
-    return out.where("value < before").select("message", "signal", "seq", "ts_us", "before", "value")
+    names = ["message", "signal", "seq", "ts_us", "before", "value"]
+    schema = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("message", pa.string()), ("signal", pa.string()), ("seq", pa.int64()), ("ts_us", pa.int64()), ("before", pa.float64()), ("value", pa.float64())])
+
+    def rows(batch: pa.RecordBatch, at: np.ndarray, kind: int, before: np.ndarray | None = None) -> pa.RecordBatch:
+        part = batch.take(pa.array(at))
+        held = {**{c: part.column(c) for c in ("message", "signal", "seq", "ts_us", "value")}, "kind": pa.array(np.full(len(at), kind, np.int32)), "range": pa.array(np.full(len(at), TaskContext.get().partitionId()))}
+        held["before"] = pa.nulls(len(at), pa.float64()) if before is None else pa.array(before)
+        return pa.record_batch([held[f.name] for f in schema], schema=schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            value = batch.column("value").to_numpy()
+            same = _same_signal(batch)
+            lower = np.flatnonzero(same & (value[1:] < value[:-1]))
+            yield rows(batch, lower + 1, 0, value[lower])
+            # the first and last value of each signal of the range, which the ranges beside it need
+            if last is None:
+                yield rows(batch, np.zeros(1, np.int64), 1)
+            edges = np.flatnonzero(~same)
+            yield rows(batch, edges, 2)
+            yield rows(batch, edges + 1, 1)
+            last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield rows(last, np.zeros(1, np.int64), 2)
+
+    found = _in_order(decoded).mapInArrow(walk, "kind int, range long, message string, signal string, seq long, ts_us long, before double, value double")
+    found = _written(found, "violations")
+    order = Window.partitionBy("message", "signal").orderBy("range", "kind")
+    edges = found.where("kind > 0").withColumn("before", F.lag("value").over(order)).where("kind = 1 AND value < before")
+    return found.where("kind = 0").select(*names).unionByName(edges.select(*names))
 
 
 def carried_signals(decoded: DataFrame) -> DataFrame:

@@ -404,7 +404,7 @@ def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each type at every hour, the first one's before that."""
     f = _frames(spark, sf_dir).withColumn("sample", F.col("seq"))
     about = resample.span(f).first()
-    k = F.floor((F.col("ts_us") - about.start_us + (_HOUR - 1)) / _HOUR).cast("long")
+    k = F.call_function("div", F.col("ts_us") - F.lit(about.start_us - _HOUR + 1), F.lit(_HOUR))
     points = (about.end_us - about.start_us) // _HOUR + 1
     return resample.hold(f, ["can_id"], k, points, "sample").select("can_id", "k", "sample")
 
@@ -416,7 +416,7 @@ SELECT gc.signal, CAST(gc.k AS BIGINT) AS k, coalesce(o.value, gc.v) AS value FR
 def resample_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)
     about, day = resample.span(f).first(), 86_400_000_000
-    k = F.floor((F.col("ts_us") - about.start_us + (day - 1)) / day).cast("long")
+    k = F.call_function("div", F.col("ts_us") - F.lit(about.start_us - day + 1), F.lit(day))
     d = decode.decode_frames(f, demo.catalog()).where("status = 'ok'")
     return resample.hold(d, ["signal"], k, (about.end_us - about.start_us) // day + 1, "value").select("signal", "k", "value")
 

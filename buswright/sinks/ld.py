@@ -1,20 +1,20 @@
 """The motorsport log format .ld, written from resampled channels.
 
 A file is a header, an event block, a header for each channel and then each
-channel's samples as 32-bit floats. Each channel's samples are packed by one task;
-the driver writes the headers and then streams the packed channels in order.
+channel's samples as 32-bit floats. Tasks pack tiles of a channel, straight from
+the runs that resampling gives, to pieces whose place in the file is known; the
+driver writes the headers and then the pieces as they come in order.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,25 +96,38 @@ def headers(names: list[tuple[int, str, str, str]], start_us: int, rate: int, po
     return b"".join(out)
 
 
-def packed_channels(samples: DataFrame) -> DataFrame:
-    """channel_ix, points and the channel's samples as bytes; a channel is bounded by the format's size limit."""
+def packed_tiles(runs: DataFrame) -> DataFrame:
+    """channel_ix, tile, first (its first point), points and body, the samples of the tile as bytes: a quarter of a megabyte at the most."""
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        return pd.DataFrame({"channel_ix": [rows["channel_ix"].iloc[0]], "points": [len(rows)], "body": [rows["sample"].to_numpy("<f4").tobytes()]})
+    def pack(rows: pa.Table) -> pa.Table:
+        lo, hi, sample = (rows[c].to_numpy() for c in ("lo", "hi", "sample"))
+        order = np.argsort(lo)
+        lo, hi, sample = lo[order], hi[order], sample[order]
+        if (lo[1:] != hi[:-1] + 1).any():
+            raise ValueError("the runs of a tile leave points out or overlap")
+        body = np.repeat(sample.astype("<f4"), hi - lo + 1).tobytes()
+        one = {"channel_ix": rows["channel_ix"][:1], "tile": rows["tile"][:1], "first": [int(lo[0])], "points": [int(hi[-1] - lo[0] + 1)], "body": [body]}
+        return pa.table(one, schema=pa.schema([("channel_ix", pa.int32()), ("tile", pa.int64()), ("first", pa.int64()), ("points", pa.int64()), ("body", pa.binary())]))
 
-    return samples.select("channel_ix", "k", "sample").groupBy("channel_ix").applyInPandas(pack, "channel_ix int, points long, body binary")
+    held = runs.select(F.col("channel_ix").cast("int").alias("channel_ix"), F.col("tile").cast("long").alias("tile"), "lo", "hi", F.col("sample").cast("float").alias("sample"))
+    return held.groupBy("channel_ix", "tile").applyInArrow(pack, "channel_ix int, tile long, first long, points long, body binary")
 
 
 def write_ld(sampled: Sampled, out: BinaryIO, about: Metadata | None = None) -> int:
-    """Write a file and return its number of bytes."""
+    """Write a file and return its number of bytes. A piece that isn't where the last one ended is an error."""
     names = channel_names(sampled.channels)
     size = out.write(headers(names, sampled.start_us, sampled.rate, sampled.points, about or Metadata()))
-    bodies: Iterator = packed_channels(sampled.samples).orderBy("channel_ix").toLocalIterator()
-    for (ix, name, _, _), row in zip(names, bodies, strict=True):
-        if row.channel_ix != ix or row.points != sampled.points:
-            raise ValueError(f"cannot export: channel `{name}` carries {row.points} samples but the session has {sampled.points}")
-        size += out.write(bytes(row.body))
+    pieces = packed_tiles(sampled.runs).orderBy("channel_ix", "tile").toLocalIterator(prefetchPartitions=True)
+    at = [(ix, name) for ix, name, _, _ in names]
+    done, place = 0, 0
+    for row in pieces:
+        if place == sampled.points:
+            done, place = done + 1, 0
+        if done == len(at) or (row.channel_ix, row.first) != (at[done][0], place):
+            raise ValueError(f"cannot export: channel `{at[min(done, len(at) - 1)][1]}` carries {place} samples but the session has {sampled.points}")
+        size, place = size + out.write(bytes(row.body)), place + row.points
+    if (done, place) != (len(at) - 1, sampled.points):
+        raise ValueError(f"cannot export: channel `{at[done][1]}` carries {place} samples but the session has {sampled.points}")
     return size
 
 
