@@ -9,11 +9,11 @@ from __future__ import annotations
 import argparse
 import math
 import os
-import shutil
 import sys
-import tempfile
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
+
 from buswright.operators.check import check
 from buswright.operators.decode import tally
 from buswright.operators.resample import ExportError, sample
@@ -22,6 +22,7 @@ from buswright.sinks.ld import Metadata, write_ld
 from buswright.sinks.text import HEADER, csv_rows, in_order, tally_text, text_rows
 from buswright.sources.candump import read_log
 from buswright.sources.dbc import Catalog, DbcError, parse
+from buswright.streaming.piped import read_pipe
 
 FOUND, COULD_NOT_RUN = 1, 2
 
@@ -70,31 +71,30 @@ def _rows(frames, catalog: Catalog, form: str):
 
 
 def decode(args: argparse.Namespace) -> int:
-    catalog, path, spooled = load_catalog(args.dbc), args.log, None
-    if path == "-":
-        with tempfile.NamedTemporaryFile("wb", suffix=".log", delete=False) as spool:
-            # a piece at a time, so that any length passes
-            shutil.copyfileobj(sys.stdin.buffer, spool, 1 << 20)
-        path = spooled = spool.name
-    elif not os.path.exists(path):
-        raise CouldNotRun(f"cannot read {path}: no such file")
-    try:
-        frames, errors = read_log(session(), path)
+    catalog, spark, total = load_catalog(args.dbc), session(), [0, 0, 0, 0]
+    if args.log != "-" and not os.path.exists(args.log):
+        raise CouldNotRun(f"cannot read {args.log}: no such file")
+    if args.format == "csv":
+        print(HEADER)
+
+    def each(frames: DataFrame, errors: DataFrame) -> None:
         frames = frames.persist()
-        bad = 0
         for row in errors.orderBy("seq").toLocalIterator():
-            bad += 1
+            total[3] += 1
             say(row.message)
-        if args.format == "csv":
-            print(HEADER)
         show(in_order(_rows(frames, catalog, args.format)))
         sys.stdout.flush()
         about = tally(frames, catalog).first()
-        say(tally_text(about.frames, about.unknown, about.unfit, bad))
-        return FOUND if bad else 0
-    finally:
-        if spooled:
-            os.unlink(spooled)
+        for i, n in enumerate((about.frames, about.unknown, about.unfit)):
+            total[i] += n
+        frames.unpersist()
+
+    if args.log == "-":
+        read_pipe(spark, sys.stdin.buffer, each)
+    else:
+        each(*read_log(spark, args.log))
+    say(tally_text(*total))
+    return FOUND if total[3] else 0
 
 
 def check_command(args: argparse.Namespace) -> int:
@@ -110,6 +110,9 @@ def export(args: argparse.Namespace) -> int:
     if not os.path.exists(args.log):
         raise CouldNotRun(f"cannot read {args.log}: no such file")
     frames, errors = read_log(session(), args.log)
+    broken = errors.where("line_no IS NULL").orderBy("seq").first()
+    if broken is not None:
+        raise CouldNotRun(f"{args.log}: {broken.message}")
     bad = errors.count()
     try:
         sampled = sample(frames.persist(), catalog, args.rate)

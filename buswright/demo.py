@@ -108,3 +108,52 @@ f0 AS (
   FROM f1
 )
 """
+
+
+#: Parts of one database of :func:`databases`; one of so many databases can't be read.
+PARTS, BAD_ONE = 10, 13
+
+
+def databases(parts: DataFrame) -> DataFrame:
+    """db and content: databases with a message for each part, ten parts each, laid out by the part's numbers.
+
+    Many of their signals overlap or need more bytes than the message has, and some
+    databases have a line that can't be read.
+    """
+    k, z, r = F.col("p_partkey"), F.col("p_size"), F.floor("p_retailprice").cast("long")
+    raw = F.when(k % 7 == 0, F.lit(1 << 31) + k % 536870912).otherwise(k % PARTS + 1)
+    signal = lambda name, mux, start, length, order, sign: F.concat(F.lit(f" SG_ {name}"), mux, F.lit(" : "), start.cast("string"), F.lit(f'|{length}@{order}{sign} (1,0) [0|0] "" X\n'))
+    none = F.lit("")
+    text = F.concat(
+        F.lit("BO_ "), raw.cast("string"), F.lit(" Part"), k.cast("string"), F.lit(": 8 SHOP\n"),
+        signal("Size", none, z % 40, 12, 1, "+"),
+        signal("Price", none, r % 50, 10, 1, "-"),
+        signal("Brand", none, k % 64, 9, 0, "+"),
+        signal("Pick", F.lit(" M"), F.lit(60), 4, 1, "+"),
+        signal("Near", F.lit(" m1"), k % 5 + 40, 16, 1, "+"),
+        signal("Far", F.concat(F.lit(" m"), (k % 2 + 1).cast("string")), k % 3 + 44, 12, 1, "-"),
+    )
+    group = F.call_function("div", k, F.lit(PARTS))
+    rows = parts.select(group.alias("group"), F.struct(k.alias("k"), text.alias("text")).alias("row"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["text"]), "")
+    bad = F.when(F.col("group") % BAD_ONE == 5, "BO_ 2047 Lost: 1 X\n SG_ Lost\n").otherwise("")
+    return rows.groupBy("group").agg(lines.alias("lines")).select(F.concat(F.lit("shop"), F.col("group").cast("string")).alias("db"), F.concat(bad, F.col("lines")).alias("content"))
+
+
+#: DuckDB's form of the signals of :func:`databases` that can be read: ``s`` with a row a signal.
+DATABASES_SQL = f"""
+p AS (
+  SELECT p_partkey AS k, 'shop' || CAST(p_partkey // {PARTS} AS VARCHAR) AS db, p_size AS z, CAST(floor(p_retailprice) AS BIGINT) AS r,
+         p_partkey % 7 = 0 AS is_extended, 'Part' || CAST(p_partkey AS VARCHAR) AS message
+  FROM part WHERE (p_partkey // {PARTS}) % {BAD_ONE} <> 5
+), s AS (
+  SELECT k, db, is_extended, message, 8 AS dlc, unnest([
+    {{'name': 'Size', 'ix': 0, 'start': z % 40, 'n': 12, 'motorola': 0, 'signed': 0, 'page': NULL}},
+    {{'name': 'Price', 'ix': 1, 'start': r % 50, 'n': 10, 'motorola': 0, 'signed': 1, 'page': NULL}},
+    {{'name': 'Brand', 'ix': 2, 'start': k % 64, 'n': 9, 'motorola': 1, 'signed': 0, 'page': NULL}},
+    {{'name': 'Pick', 'ix': 3, 'start': 60, 'n': 4, 'motorola': 0, 'signed': 0, 'page': NULL}},
+    {{'name': 'Near', 'ix': 4, 'start': k % 5 + 40, 'n': 16, 'motorola': 0, 'signed': 0, 'page': 1}},
+    {{'name': 'Far', 'ix': 5, 'start': k % 3 + 44, 'n': 12, 'motorola': 0, 'signed': 1, 'page': k % 2 + 1}}], recursive := true)
+  FROM p
+)
+"""

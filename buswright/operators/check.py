@@ -1,28 +1,59 @@
-"""Layout problems of a database, as a self-join of its signals."""
+"""Layout problems of databases, as joins of their signals byte by byte."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buswright.functions.bits import bit_position
 from buswright.sources.dbc import Catalog
 
-_BITS = 512
+#: Bytes of the longest payload; bits past it are in no frame and aren't compared.
+_BYTES = 64
 
 
-def _bits() -> Column:
-    at = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: bit_position(F.col("start_bit"), i, F.col("is_motorola")))
-    return F.filter(at, lambda p: p < _BITS)
+def _bytes() -> Column:
+    """The bytes that a signal has bits in, with a mask of them. Places count as the byte order goes: from a byte's lowest bit, or its highest."""
+    start, length = F.col("start_bit"), F.col("length")
+    first = F.when(F.col("is_motorola"), start + 7 - 2 * (start % 8)).otherwise(start)
+    last = first + length - 1
+    held = F.sequence(F.least(F.call_function("div", first, F.lit(8)), F.lit(_BYTES)).cast("int"), F.least(F.call_function("div", last, F.lit(8)), F.lit(_BYTES)).cast("int"))
+
+    def mask(byte: Column) -> Column:
+        low, high = F.greatest(first - byte * 8, F.lit(0)), F.least(last - byte * 8, F.lit(7))
+        ones = F.call_function("shiftleft", F.lit(1), high - low + 1) - 1
+        return F.struct(byte.alias("byte"), F.call_function("shiftleft", ones, F.when(F.col("is_motorola"), 7 - high).otherwise(low)).alias("mask"))
+
+    return F.filter(F.transform(held, mask), lambda b: b["byte"] < _BYTES)
+
+
+def overlaps(signals: DataFrame) -> DataFrame:
+    """Pairs of signals of a message that share a bit and can be in one frame: db, is_extended, can_id, i, j, first, second.
+
+    Signals meet only in bytes that both have bits in, those of a page only with
+    their own page and with signals of no page.
+    """
+    key = ["db", "is_extended", "can_id", "byte"]
+    page = F.when(F.col("mux_kind") == "m", F.col("mux_page"))
+    rows = signals.select("db", "is_extended", "can_id", F.col("sig_ix").alias("i"), F.col("signal").alias("first"), page.alias("page"), F.inline(_bytes()))
+    other = rows.select(*key, F.col("i").alias("j"), F.col("first").alias("second"), F.col("page").alias("p2"), F.col("mask").alias("m2"))
+    paged, plain = rows.where("page IS NOT NULL"), rows.where("page IS NULL")
+    pairs = [
+        plain.join(other.where("p2 IS NULL"), key),
+        plain.join(other.where("p2 IS NOT NULL"), key),
+        paged.withColumn("p", F.col("page")).join(other.where("p2 IS NOT NULL").withColumn("p", F.col("p2")), [*key, "p"]).drop("p"),
+    ]
+    met = [p.where(F.col("mask").bitwiseAND(F.col("m2")) != 0).where("i != j").select(*key[:3], "i", "j", "first", "second") for p in pairs]
+    # the pairs of a page and none are met from one side
+    turned = met[1].select(*key[:3], F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") < F.col("j"), F.col("first")).otherwise(F.col("second")).alias("first"), F.when(F.col("i") < F.col("j"), F.col("second")).otherwise(F.col("first")).alias("second"))
+    return met[0].where("i < j").unionByName(turned).unionByName(met[2].where("i < j")).dropDuplicates([*key[:3], "i", "j"])
 
 
 def check_layout(signals: DataFrame) -> DataFrame:
     """Problems of a table of signals: kind, message, first, second, required, dlc, text and the order columns.
 
-    'past_dlc' is a signal that needs more bytes than its message declares,
+    Texts are fixed values of the check command's output. 'past_dlc' is a signal that needs more bytes than its message declares,
     'overlap' two signals of a message that share a bit and can be in one frame:
-    signals of different pages can't. Problems come by identifier, standard ones
-    first, within a message past_dlc first and then in the order of the signals.
+    signals of different pages can't.
     """
     key = ["db", "is_extended", "can_id"]
     past = signals.where("required > dlc").select(
@@ -30,17 +61,16 @@ def check_layout(signals: DataFrame) -> DataFrame:
         F.col("signal").alias("first"), F.lit(None).cast("string").alias("second"), "required", "dlc",
         F.concat(F.col("message"), F.lit(": signal `"), F.col("signal"), F.lit("` needs "), F.col("required").cast("string"), F.lit(" byte(s) but the message declares "), F.col("dlc").cast("string")).alias("text"),
     )
-    one = signals.select(*key, "message", F.col("sig_ix").alias("i"), F.col("signal").alias("first"), F.col("mux_kind").alias("k1"), F.col("mux_page").alias("p1"), _bits().alias("b1"))
-    two = signals.select(*key, F.col("sig_ix").alias("j"), F.col("signal").alias("second"), F.col("mux_kind").alias("k2"), F.col("mux_page").alias("p2"), _bits().alias("b2"))
-    paged = F.coalesce((F.col("k1") == "m") & (F.col("k2") == "m"), F.lit(False))
-    together = ~paged | (F.col("p1") == F.col("p2"))
-    overlap = one.join(two, key).where((F.col("i") < F.col("j")) & together & F.arrays_overlap("b1", "b2")).select(
+    names = signals.select(*key, "message", F.col("sig_ix").alias("i"))
+    overlap = overlaps(signals).join(names, [*key, "i"]).select(
         *key, F.lit(1).alias("rank"), "i", "j", F.lit("overlap").alias("kind"), "message", "first", "second",
         F.lit(None).cast("int").alias("required"), F.lit(None).cast("int").alias("dlc"),
         F.concat(F.col("message"), F.lit(": signals `"), F.col("first"), F.lit("` and `"), F.col("second"), F.lit("` overlap")).alias("text"),
     )
-    return past.unionByName(overlap).orderBy(*key, "rank", "i", "j")
+    return past.unionByName(overlap)
 
 
 def check(spark, catalog: Catalog) -> DataFrame:
-    return check_layout(catalog.signals(spark))
+    """:func:`check_layout` of one database, by identifier, standard ones first, within a message past_dlc
+    first and then in the order of the signals."""
+    return check_layout(catalog.signals(spark)).orderBy("db", "is_extended", "can_id", "rank", "i", "j")

@@ -15,7 +15,7 @@ from buswright.plans import compiled
 from buswright.session import scratch
 from buswright.sinks import ld, text
 from buswright.sources import candump
-from buswright.sources.dbc import Signal, parse
+from buswright.sources.dbc import Signal, parse_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,30 +361,25 @@ def encode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).withColumn("e", e).select("seq", "e.status", F.hex("e.payload").alias("payload_hex"))
 
 
-# layouts of the faulty database: message, bytes, signal, place, first bit, bits, Motorola, page
-_BITS = [
-    ("Pump", 3, "Flow", 0, 12, 16, 0, None), ("Pump", 3, "Valve", 1, 0, 8, 0, None),
-    ("Winch", 8, "Rope", 0, 4, 12, 0, None), ("Winch", 8, "Pull", 1, 14, 6, 0, None), ("Winch", 8, "Angle", 2, 31, 12, 1, None), ("Winch", 8, "Tilt", 3, 36, 8, 0, None),
-    ("Crane", 8, "Axis", 0, 0, 4, 0, None), ("Crane", 8, "Hook", 1, 8, 10, 0, 1), ("Crane", 8, "Boom", 2, 8, 10, 0, 2), ("Crane", 8, "Reach", 3, 16, 8, 0, 2),
-    ("Mast", 2, "Sway", 0, 7, 20, 1, None),
-]
-_BITS_SQL = (
-    "s(message, dlc, name, ix, start, n, motorola, page) AS (VALUES "
-    + ", ".join(f"('{m}', {d}, '{s}', {i}, {a}, {n}, {o}, {'NULL' if p is None else p})" for m, d, s, i, a, n, o, p in _BITS)
-    + """), b AS (SELECT *, [CASE WHEN motorola = 0 THEN start + i ELSE ((start // 8 * 8 + 7 - start % 8 + i) // 8) * 8 + 7 - (start // 8 * 8 + 7 - start % 8 + i) % 8 END FOR i IN range(n)] AS bits FROM s)"""
-)
+_BITS_SQL = f"""WITH {demo.DATABASES_SQL}, b AS (SELECT *, [CASE WHEN motorola = 0 THEN start + i
+       ELSE ((start // 8 * 8 + 7 - start % 8 + i) // 8) * 8 + 7 - (start // 8 * 8 + 7 - start % 8 + i) % 8 END FOR i IN range(n)] AS bits FROM s)"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages, signals and errors of databases written as text from the parts."""
+    return parse_texts(demo.databases(spark.read.parquet(f"{sf_dir}/part.parquet")))
 
 
-@query(f"""WITH {_BITS_SQL} SELECT message, name AS first, CAST(list_max(bits) // 8 + 1 AS INTEGER) AS required, dlc,
+@query(f"""{_BITS_SQL} SELECT db, message, name AS first, CAST(list_max(bits) // 8 + 1 AS INTEGER) AS required, CAST(dlc AS INTEGER) AS dlc,
        message || ': signal `' || name || '` needs ' || CAST(list_max(bits) // 8 + 1 AS VARCHAR) || ' byte(s) but the message declares ' || CAST(dlc AS VARCHAR) AS text FROM b WHERE list_max(bits) // 8 + 1 > dlc""")
 def check_past_dlc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.check(spark, parse(demo.BROKEN_DBC)).where("kind = 'past_dlc'").select("message", "first", "required", "dlc", "text")
+    return check.check_layout(_parsed(spark, sf_dir)[1]).where("kind = 'past_dlc'").select("db", "message", "first", "required", "dlc", "text")
 
 
-@query(f"""WITH {_BITS_SQL} SELECT x.message, x.name AS first, y.name AS second, x.message || ': signals `' || x.name || '` and `' || y.name || '` overlap' AS text
-FROM b x JOIN b y ON x.message = y.message AND x.ix < y.ix WHERE list_has_any(x.bits, y.bits) AND (x.page IS NULL OR y.page IS NULL OR x.page = y.page)""")
+@query(f"""{_BITS_SQL} SELECT x.db, x.message, x.name AS first, y.name AS second, x.message || ': signals `' || x.name || '` and `' || y.name || '` overlap' AS text
+FROM b x JOIN b y ON x.k = y.k AND x.ix < y.ix WHERE list_has_any(x.bits, y.bits) AND (x.page IS NULL OR y.page IS NULL OR x.page = y.page)""")
 def check_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.check(spark, parse(demo.BROKEN_DBC)).where("kind = 'overlap'").select("message", "first", "second", "text")
+    return check.check_layout(_parsed(spark, sf_dir)[1]).where("kind = 'overlap'").select("db", "message", "first", "second", "text")
 
 
 @query(f"""WITH {_F}, c AS (SELECT can_id, count(*) AS n FROM frames GROUP BY can_id), s AS (SELECT min(ts_us) AS start_us, max(ts_us) AS end_us FROM frames), x AS (SELECT start_us, end_us, (max(n) - 1) / ((end_us - start_us) / 1000000.0::DOUBLE) AS fastest FROM c, s GROUP BY start_us, end_us)
@@ -450,24 +445,18 @@ def carried_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.carried_signals(decode.decode_frames(_frames(spark, sf_dir), demo.catalog()))
 
 
-def _features_sql() -> str:
-    """The figures counted from the layouts that the other queries are checked with."""
-    broken = [(m, s, o, n, p) for m, _, s, _, _, n, o, p in _BITS]
-    rows = [("broken", m, s, o, n, int(s in ("Pull", "Sway")), p) for m, s, o, n, p in broken]
-    width = {"Torque": 16, "Current": 12, "Notch": 3, "Distance": 32, "Boarded": 10, "Play": 6, "State": 4, "Cycles": 20, "Power": 12, "CabinAir": 12, "Zone": 4, "StoreAir": 12, "Humidity": 8, "Severity": 3, "Counter": 56}
-    rows += [("demo", x[0], x[3], int(x[3] in ("Current", "Boarded", "Cycles", "Counter")), width[x[3]], int(x[6] is not None), x[12]) for x in _LAYOUT]
-    listed = ", ".join(f"('{d}', '{m}', '{s}', {o}, {n}, {g}, {'NULL' if p is None else p})" for d, m, s, o, n, g, p in rows)
-    # the demo database has one message without signals
-    return f"""WITH s(db, message, name, motorola, n, signed, page) AS (VALUES {listed})
-SELECT db, count(DISTINCT message) + CASE WHEN db = 'demo' THEN 1 ELSE 0 END AS messages, count(DISTINCT message) FILTER (message IN ('Faults', 'Mast')) AS extended, count(*) AS signals,
-       CAST(sum(motorola) AS BIGINT) AS motorola, CAST(sum(signed) AS BIGINT) AS signed, count(page) AS paged, count(DISTINCT n) AS widths FROM s GROUP BY db"""
+@query(f"""WITH {demo.DATABASES_SQL} SELECT db, count(DISTINCT k) AS messages, count(DISTINCT k) FILTER (is_extended) AS extended, count(*) AS signals,
+       CAST(sum(motorola) AS BIGINT) AS motorola, CAST(sum(signed) AS BIGINT) AS signed, count(page) AS paged, count(DISTINCT n) AS widths FROM s GROUP BY db""")
+def catalog_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, signals, _ = _parsed(spark, sf_dir)
+    return summaries.catalog_features(messages, signals)
 
 
-@query(_features_sql())
-def catalog_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [demo.catalog(), parse(demo.BROKEN_DBC, "broken")]
-    messages, signals = ([f(c) for c in both] for f in (lambda c: c.messages(spark), lambda c: c.signals(spark)))
-    return summaries.catalog_features(messages[0].union(messages[1]), signals[0].union(signals[1]))
+@query(f"""WITH {demo.DATABASES_SQL} SELECT db, count(DISTINCT k) AS messages, count(*) AS signals, count(page) AS paged, NULL AS error FROM s GROUP BY db
+UNION ALL SELECT DISTINCT 'shop' || CAST(p_partkey // {demo.PARTS} AS VARCHAR), 0, 0, 0, 'line 2 of the database: SG_ ends before its `:`' FROM part WHERE (p_partkey // {demo.PARTS}) % {demo.BAD_ONE} = 5""")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases that can be read and those that can't, by name."""
+    return summaries.corpus_report(*_parsed(spark, sf_dir))
 
 
 @query("SELECT event_id, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M:%S') AS time FROM events")

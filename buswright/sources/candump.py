@@ -17,6 +17,8 @@ _MAX_U64 = "18446744073709551615"
 _MAX_TS = (1 << 63) - 1
 #: Blocks of input whose line counts are sent to all tasks, some 30 MB.
 BROADCAST_BLOCKS = 200_000
+#: What is said of a line whose bytes are no UTF-8.
+NOT_TEXT = "a line is not UTF-8 text"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -58,6 +60,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     stamp, last, id_, data, bytes_ = F.col("__stamp"), F.col("__last"), F.col("__id"), F.col("__hex"), n.cast("string")
     about = [F.lit(""), stamp, last, id_, said, data, bytes_, F.col("__code"), F.concat(F.col("__dlc").cast("string"), F.lit(" and "), bytes_)]
     rules: list[tuple[Column, str, str, int, str]] = [
+        (~F.is_valid_utf8(F.coalesce(F.col("line"), F.lit(""))), "error", NOT_TEXT, 0, ""),
         (F.size("__t") == 0, "skip", "", 0, ""),
         (F.col("__bad_stamp"), "error", "no timestamp can be read from `(", 1, ")`"),
         (F.col("__ts").isNull(), "error", "timestamp ", 1, " is past the last that can be held"),
@@ -96,43 +99,67 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, seq and line of text files; seq counts on over files in the order of their paths.
+def _lines(reader, path: str) -> DataFrame:
+    """line, path and block of text files, as a table or a stream. Bytes stay as they are, and only a line feed ends a line."""
+    return reader.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def number(text: DataFrame, first_seq: Column | None = None, first_line: Column | None = None) -> DataFrame:
+    """path, line_no, seq and line for lines of text files; seq counts on over files in the order of their paths.
 
-    A file is read in blocks by many tasks. Lines are counted per block, the counts
-    are summed up in block order (a row a block), and each block numbers its own
-    lines from there, so no line moves unless there are more blocks than
-    :data:`BROADCAST_BLOCKS`.
+    Lines that are no text have no line number and take none from those after
+    them. Lines are counted per block, the counts are summed up in block order (a
+    row a block), and each block numbers its own lines from there, so no line
+    moves unless there are more blocks than :data:`BROADCAST_BLOCKS`; lines of a
+    block that has some without a number are sorted among themselves.
+    ``first_seq`` and ``first_line`` say from ``path`` where a file's numbers begin,
+    where they don't begin anew.
     """
-    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__at"))
-    blocks = text.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    spark = text.sparkSession
+    text = text.select("line", "path", "block", F.monotonically_increasing_id().alias("__at"))
+    blocks = text.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"), F.count_if(~F.is_valid_utf8("line")).alias("__bad"))
     order = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("__first")
-    blocks = blocks.select("path", "block", before(order).alias("__seq"), before(own).alias("__line"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    seq = before(F.col("n"), order) if first_seq is None else before(F.col("n"), own) + first_seq - 1
+    line = before(F.col("n") - F.col("__bad"), own) + (F.lit(0) if first_line is None else first_line - 1)
+    blocks = blocks.select("path", "block", seq.alias("__seq"), line.alias("__line"), "__first", "__bad")
     held = blocks.limit(BROADCAST_BLOCKS + 1).collect()
-    if len(held) <= BROADCAST_BLOCKS:
+    few = len(held) <= BROADCAST_BLOCKS
+    if few:
         blocks = F.broadcast(spark.createDataFrame(held, blocks.schema))
+    at = F.col("__at") - F.col("__first") + 1
     numbered = text.join(blocks, ["path", "block"])
-    return numbered.select("path", (F.col("__line") + F.col("__at") + 1).alias("line_no"), (F.col("__seq") + F.col("__at") + 1).alias("seq"), "line")
+    good = numbered.where("__bad = 0").select("path", (F.col("__line") + at).alias("line_no"), (F.col("__seq") + at).alias("seq"), "line")
+    if few and not any(r["__bad"] for r in held):
+        return good
+    valid = F.is_valid_utf8("line")
+    count = F.sum(valid.cast("int")).over(Window.partitionBy("path", "block").orderBy("__at"))
+    rest = numbered.where("__bad > 0").select("path", F.when(valid, F.col("__line") + count).alias("line_no"), (F.col("__seq") + at).alias("seq"), "line")
+    return good.unionByName(rest)
 
 
-def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Frames and error rows of a log, a folder of logs or a pattern.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`number` for the lines of a log, a folder of logs or a pattern, read in blocks by many tasks."""
+    return number(_lines(spark.read, path))
 
-    Bytes that aren't UTF-8 are replaced when the text is read, so such a line is an
-    error row or a frame by what is left of it.
-    """
-    rows = parse_lines(numbered_lines(spark, path))
+
+def frames_and_errors(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and error rows of numbered lines. The error of a line that is no text has no line number."""
+    rows = parse_lines(numbered)
     frames = rows.where("kind = 'frame'").select("seq", "line_no", "ts_us", "can_id", "is_extended", "payload", "len", "len8_dlc")
-    errors = rows.where("kind = 'error'").select("seq", "line_no", F.concat(F.lit("log line "), F.col("line_no").cast("string"), F.lit(": "), F.col("message")).alias("message"))
-    return frames, errors
+    said = F.when(F.col("line_no").isNull(), F.col("message")).otherwise(F.concat(F.lit("log line "), F.col("line_no").cast("string"), F.lit(": "), F.col("message")))
+    return frames, rows.where("kind = 'error'").select("seq", "line_no", said.alias("message"))
+
+
+def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Frames and error rows of a log, a folder of logs or a pattern."""
+    return frames_and_errors(numbered_lines(spark, path))
 
 
 def stream_log(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """The lines of log files that arrive in a folder, parsed, as a stream; lines have no numbers there."""
-    text = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select(F.col("value").alias("line"))
-    rows = parse_lines(text)
+    rows = parse_lines(_lines(spark.readStream.option("maxFilesPerTrigger", max_files), folder).select("line"))
     return rows.select(F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("line_no"), *[c for c in rows.columns])
 
 
