@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from buswright.llm.common import WORD_PATTERN, materialise, table, text_or_empty, without
 
@@ -41,10 +42,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def _told_apart(column: Column, kind: DataType) -> Column:
+    """A value in a form whose hash depends on all of it: hashes leave nulls and the ends of nested arrays out and don't take maps."""
+    if isinstance(kind, MapType):
+        entry = StructType().add("key", kind.keyType).add("value", kind.valueType)
+        return _told_apart(F.map_entries(column), ArrayType(entry))
+    if isinstance(kind, ArrayType):
+        return F.struct(F.coalesce(F.array_size(column), F.lit(-1)).alias("n"), F.transform(column, lambda x: _told_apart(x, kind.elementType)).alias("x"))
+    if isinstance(kind, StructType):
+        return F.struct(column.isNull().alias("none"), *[_told_apart(column[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])
+    return F.struct(column.isNull().alias("none"), column.alias("x"))
+
+
 def _row_hash(docs: DataFrame) -> Column:
     """Tells rows apart that share a doc_id, by all their columns; equal rows are interchangeable."""
-    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+    return F.xxhash64(*[_told_apart(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields])
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -129,7 +141,9 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     rows that repeat one are documents like any others; equal rows are taken as
     often as the plan has it for all of them, and reruns agree. A column of ``docs``
     named mix_position is replaced, all others stay, whatever their names: rows
-    travel as one structure. The result is range sorted by position, then doc_id;
+    travel as one structure. Columns may be of any type, maps and nested ones too. The
+    words of a very long text are counted by the task that reads it, which holds no more
+    than that row. The result is range sorted by position, then doc_id;
     an empty table gives an empty one.
     """
     plan = mix_plan(docs, **options)
