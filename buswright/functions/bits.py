@@ -11,6 +11,8 @@ that may reach 64 are guarded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,11 +74,10 @@ class _Window:
         self.digits = F.rpad(F.hex(F.substring(payload, self.first + 1, F.lit(9))), 18, "0")
         self.ninth = F.conv(F.substring(self.digits, 17, 2), 16, 10).cast("long")
 
-    def big(self) -> Column:
-        return word(F.substring(self.digits, 1, 16))
-
-    def little(self) -> Column:
-        return little_word(F.substring(self.digits, 1, 16))
+    def held(self, motorola: Value) -> Column:
+        """The first eight bytes as a word in the field's byte order."""
+        first = F.substring(self.digits, 1, 16)
+        return bound(word(_choose(motorola, first, F.reverse(first))), lambda x: _choose(motorola, x, swapped_digits(x)))
 
 
 def word(digits: Column) -> Column:
@@ -84,15 +85,20 @@ def word(digits: Column) -> Column:
     return F.conv(digits, 16, -10).cast("long")
 
 
+def swapped_digits(x: Column) -> Column:
+    """A word with the two hex digits of each byte swapped: what reversing its digits needs to reverse its bytes."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(x.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(low))
+
+
 def little_word(digits: Column) -> Column:
-    """:func:`word` with the bytes in the opposite order: the digits reversed and then each byte's two swapped."""
-    back, low = word(F.reverse(digits)), F.lit(0x0F0F0F0F0F0F0F0F)
-    return F.shiftleft(back.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(back, 4).bitwiseAND(low))
+    """:func:`word` with the bytes in the opposite order."""
+    return swapped_digits(word(F.reverse(digits)))
 
 
-def reversed_bytes(digits: Column) -> Column:
-    """Sixteen hex digits with their eight bytes in the opposite order."""
-    return F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it: branches aren't searched for what they repeat."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def payload_words(payload: Column) -> Column:
@@ -150,8 +156,7 @@ def extract_raw(payload: Column, start: Value, length: Value, motorola: Value, f
     if fits is None:
         fits = required_bytes(start, length, motorola) <= F.length(payload)
     w, size = _Window(payload, start), _col(length)
-    first = F.substring(w.digits, 1, 16)
-    held = word(_choose(motorola, first, reversed_bytes(first)))
+    held = w.held(motorola)
     # bits below the field in the nine bytes, of a Motorola field
     below = F.lit(65) + w.bit - size
     out = _left(_right(held, _choose(motorola, F.greatest(below - 8, F.lit(0)), w.bit)), _choose(motorola, F.greatest(8 - below, F.lit(0)), F.lit(0)))
@@ -176,14 +181,12 @@ def insert_raw(payload: Column, start: Value, length: Value, motorola: Value, ra
     As in :func:`extract_raw` both byte orders are the same shifts with other counts.
     """
     w, size, low = _Window(payload, start), _col(length), mask(length)
-    first = F.substring(w.digits, 1, 16)
-    held = word(_choose(motorola, first, reversed_bytes(first)))
     below = F.lit(65) + w.bit - size
     down, up = _choose(motorola, F.greatest(8 - below, F.lit(0)), F.lit(0)), _choose(motorola, F.greatest(below - 8, F.lit(0)), w.bit)
     inner = lambda x: _left(_right(x, down), up)
-    new = held.bitwiseAND(F.bitwise_not(inner(low))).bitwiseOR(inner(raw))
-    digits = F.lpad(F.hex(new), 16, "0")
-    digits = _choose(motorola, digits, reversed_bytes(digits))
+    new = w.held(motorola).bitwiseAND(F.bitwise_not(inner(low))).bitwiseOR(inner(raw))
+    spelled = lambda x: F.lpad(F.hex(x), 16, "0")
+    digits = bound(new, lambda x: _choose(motorola, spelled(x), F.reverse(spelled(swapped_digits(x)))))
     if _nine(start, length, motorola):
         a, b, c = _choose(motorola, F.least(below, F.lit(63)), F.lit(0)), _choose(motorola, F.lit(0), F.lit(1)), _choose(motorola, F.lit(0), F.lit(63) - w.bit)
         outer = lambda x: _right(_right(_left(x, a), b), c).bitwiseAND(F.lit(255))

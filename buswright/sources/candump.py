@@ -1,8 +1,7 @@
 """Bus logs in the text format of candump, read as frames and error rows.
 
-A line is parsed by one projection: which of the format's rules it breaks first
-decides what it is, so a malformed line becomes a row of its own and the rest of
-the log is read.
+Which of the format's rules a line breaks first decides what it is, so a malformed
+line becomes a row of its own and the rest of the log is read.
 """
 
 from __future__ import annotations
@@ -10,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from buswright.functions.bits import bound
 from buswright.functions.frames import dlc_to_len, len_to_dlc
-from buswright.schemas import CLASSIC_BYTES, ERROR_FLAG, EXTENDED_MAX, FD_BYTES, STANDARD_MAX
+from buswright.schemas import CLASSIC_BYTES, ERROR_FLAG, EXTENDED_MAX, FD_BYTES, LENGTH_OF_DLC, STANDARD_MAX
 
 _MAX_U64 = "18446744073709551615"
 _MAX_TS = (1 << 63) - 1
@@ -21,82 +21,141 @@ BROADCAST_BLOCKS = 200_000
 NOT_TEXT = "a line is not UTF-8 text"
 
 
+_X = "[0-9A-Fa-f]"
+_SIZES = "|".join(["{0,8}", *(f"{{{n}}}" for n in LENGTH_OF_DLC if n > CLASSIC_BYTES)])
+#: Lines as loggers write them, which break no rule: a timestamp to the microsecond, an interface, an identifier in
+#: its range and whole bytes, as many as a frame has. Every character is a byte.
+_PLAIN = (
+    rf"^\([0-9]{{1,12}}\.[0-9]{{6}}\) [!-\"$-~]+ (?:[0-7]{_X}{{2}}|[01]{_X}{{7}})#"
+    rf"(?:(?:{_X}{_X}){{0,{CLASSIC_BYTES}}}|#{_X}(?:" + "|".join(f"(?:{_X}{_X}){n}" for n in _SIZES.split("|")) + r"))$"
+)
+_FIELDS = ("kind", "message", "ts_us", "can_id", "is_extended", "payload", "len", "len8_dlc")
+_TYPES = ("string", "string", "bigint", "bigint", "boolean", "binary", "int", "int")
+
+
+def _fields(**values: Column) -> Column:
+    return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in zip(_FIELDS, _TYPES, strict=True)])
+
+
+def _plain_line(line: Column) -> Column:
+    """The fields of a line that :data:`_PLAIN` matches, cut out by position."""
+    mark = F.instr(line, "#")
+    short = F.substring(line, mark - 4, F.lit(1)) == " "
+    width = F.when(short, 3).otherwise(8)
+    fd = F.substring(line, mark + 1, F.lit(1)) == "#"
+    data = F.substring(line, mark + F.when(fd, 3).otherwise(1), F.lit(2 * FD_BYTES))
+    stamp = F.substring(line, F.lit(2), F.instr(line, ")") - 2)
+    ts = F.replace(stamp, F.lit("."), F.lit("")).cast("bigint")
+    can_id = F.conv(F.substring(line, mark - width, width), 16, 10)
+    return _fields(kind=F.lit("frame"), ts_us=ts, can_id=can_id, is_extended=~short, payload=F.unhex(data), len=F.shiftright(F.length(data), 1))
+
+
+def _steps(known: dict[str, Column], stages: list, last) -> Column:
+    """``last`` of all names, where each stage names columns made from those before it; each is worked out once a line."""
+    if not stages:
+        return last(known)
+    new = stages[0](known)
+    return bound(F.struct(*[c.alias(n) for n, c in new.items()]), lambda s: _steps(known | {n: s[n] for n in new}, stages[1:], last))
+
+
+def _odd_line(line: Column) -> Column:
+    """The fields of any line, by the first rule that holds for it."""
+    number = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\+", ""), "^0+(?=.)", "")
+    hexed = lambda x: x.rlike(r"^\+?[0-9A-Fa-f]+$")
+
+    def tokens(k):
+        return {"t": F.filter(F.split(k["line"], r"\s+"), lambda t: t != "")}
+
+    def ends(k):
+        first = F.get(k["t"], F.lit(0))
+        stamp = F.when(F.startswith(first, F.lit("(")), F.regexp_replace(F.substring(first, 2, 1 << 30), r"\)+$", ""))
+        return {"stamp": stamp, "last": F.get(k["t"], F.size(k["t"]) - 1)}
+
+    def parts(k):
+        micros = F.rpad(F.substring(F.regexp_extract(k["stamp"], r"\.([0-9]*)$", 1), 1, 6), 6, "0").cast("long")
+        return {"seconds": F.regexp_extract(k["stamp"], r"^(\+?[0-9]+)(?:\.[0-9]*)?$", 1), "micros": micros, "id": F.regexp_extract(k["last"], r"^([^#]*)#", 1), "rest": F.regexp_extract(k["last"], r"^[^#]*#(.*)$", 1)}
+
+    def numbers(k):
+        plain, fd = number(k["id"]), F.startswith(k["rest"], F.lit("#"))
+        return {
+            "wide": k["seconds"].try_cast("decimal(38,0)"),
+            "raw": F.when(hexed(k["id"]) & (F.length(plain) <= 8), F.conv(plain, 16, 10).cast("long")),
+            "short": F.length(k["id"]) <= 3,
+            "fd": fd,
+            "hex": F.when(fd, F.substring(k["rest"], 3, 1 << 30)).otherwise(F.regexp_extract(k["rest"], r"^([^_]*)", 1)),
+            "code": F.when(~fd & F.contains(k["rest"], F.lit("_")), F.regexp_extract(k["rest"], r"^[^_]*_(.*)$", 1)),
+        }
+
+    def checked(k):
+        bad = k["stamp"].isNotNull() & ((k["seconds"] == "") | k["wide"].isNull() | (k["wide"] > F.lit(_MAX_U64).cast("decimal(20,0)")))
+        bad = F.coalesce(bad, F.lit(False))
+        late = k["wide"] * F.lit(1_000_000) + k["micros"] > F.lit(_MAX_TS)
+        digits = number(k["code"])
+        return {
+            "bad_stamp": bad,
+            "ts": F.when(k["stamp"].isNull(), F.lit(0)).when(~bad & ~late, k["seconds"].try_cast("bigint") * 1_000_000 + k["micros"]),
+            "dlc": F.when(hexed(k["code"]) & (F.length(digits) == 1), F.conv(digits, 16, 10).cast("int")),
+            "n": F.shiftright(F.length(k["hex"]), 1),
+        }
+
+    def ruled(k):
+        raw, short, fd, n, dlc = k["raw"], k["short"], k["fd"], k["n"], k["dlc"]
+        agrees = ((n == 8) & dlc.between(9, 15)) | dlc_to_len(dlc).eqNullSafe(n)
+        flagged = ~short & (raw.bitwiseAND(F.lit(ERROR_FLAG)) != 0)
+        said, bytes_ = F.concat(F.lit("0x"), F.lower(F.hex(raw))), n.cast("string")
+        say = lambda before, x=None, after="": F.concat(F.lit(before), x, F.lit(after)) if x is not None else F.lit(before)
+        skip = None
+        # the first rule that holds decides; without a text the line is skipped
+        rules = [
+            (~F.is_valid_utf8(k["line"]), say(NOT_TEXT)),
+            (F.size(k["t"]) == 0, skip),
+            (k["bad_stamp"], say("no timestamp can be read from `(", k["stamp"], ")`")),
+            (k["ts"].isNull(), say("timestamp ", k["stamp"], " is past the last that can be held")),
+            (~F.contains(k["last"], F.lit("#")), say("`", k["last"], "` has no `#` between identifier and data")),
+            (raw.isNull(), say("`", k["id"], "` is no identifier in hexadecimal digits")),
+            (short & (raw > STANDARD_MAX), say("identifier ", said, " is wider than 11 bits")),
+            (flagged, skip),
+            (~short & (raw > EXTENDED_MAX), say("identifier ", said, " is wider than 29 bits")),
+            (fd & ~k["rest"].rlike("^#[0-9A-Fa-f]"), say("`##` is not followed by a digit of flags")),
+            (~fd & F.startswith(k["rest"], F.lit("R")), skip),
+            (~k["hex"].rlike("^[0-9A-Fa-f]*$"), say("`", k["hex"], "` is no data in hexadecimal digits")),
+            (F.length(k["hex"]) % 2 != 0, say("`", k["hex"], "` ends in half a byte")),
+            (n > FD_BYTES, say("", bytes_, f" bytes of data are more than the {FD_BYTES} of any frame")),
+            (fd & len_to_dlc(n).isNull(), say("frames of ", bytes_, " byte(s) don't exist")),
+            (~fd & (n > CLASSIC_BYTES), say("", bytes_, f" byte(s) are more than the {CLASSIC_BYTES} of a frame written with one `#`")),
+            (k["code"].isNotNull() & dlc.isNull(), say("`_", k["code"], "` is no length code")),
+            (k["code"].isNotNull() & ~agrees, say("length code ", F.concat(dlc.cast("string"), F.lit(" and "), bytes_), " byte(s) of data disagree")),
+        ]
+        result = None
+        for when, text in rules:
+            one = F.struct(F.lit("skip" if text is None else "error").alias("kind"), (F.lit(None).cast("string") if text is None else text).alias("message"))
+            result = F.when(when, one) if result is None else result.when(when, one)
+        return {"rule": result}
+
+    def fields(k):
+        frame = _fields(
+            kind=F.lit("frame"), ts_us=k["ts"], can_id=k["raw"], is_extended=~k["short"], payload=F.unhex(k["hex"]), len=k["n"],
+            len8_dlc=F.when(k["dlc"].between(9, 15) & (k["n"] == 8), k["dlc"]),
+        )
+        return F.when(k["rule"].isNull(), frame).otherwise(_fields(kind=k["rule"]["kind"], message=k["rule"]["message"]))
+
+    return _steps({"line": line}, [tokens, ends, parts, numbers, checked, ruled], fields)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``lines`` (line and any other columns) with kind, message and, for kind 'frame', the frame's columns.
 
     kind is 'frame', 'skip' (blank lines, remote frames, error frames) or 'error'
     with a message. A timestamp past the range of a BIGINT of microseconds is an
     error. Works on batches and streams.
+
+    Lines as loggers write them are known by one pattern and cut by position; only
+    others go through the rules. A line's fields are made by a generator, so that a
+    filter on them doesn't repeat what they are made from.
     """
-    kept = [F.col(c) for c in lines.columns]
-    d = lines.withColumn("__t", F.filter(F.split(F.coalesce(F.col("line"), F.lit("")), r"\s+"), lambda t: t != ""))
-    d = d.withColumn("__first", F.try_element_at("__t", F.lit(1))).withColumn("__last", F.try_element_at("__t", F.lit(-1)))
-    d = d.withColumn("__stamp", F.when(F.startswith("__first", F.lit("(")), F.regexp_replace(F.substring("__first", 2, 1 << 30), r"\)+$", "")))
-    d = d.withColumn("__seconds", F.regexp_extract("__stamp", r"^(\+?[0-9]+)(?:\.[0-9]*)?$", 1))
-    micros = F.rpad(F.substring(F.regexp_extract("__stamp", r"\.([0-9]*)$", 1), 1, 6), 6, "0").cast("long")
-    wide = F.expr("try_cast(__seconds AS DECIMAL(38,0))")
-    bad_stamp = F.col("__stamp").isNotNull() & ((F.col("__seconds") == "") | wide.isNull() | (wide > F.lit(_MAX_U64).cast("decimal(20,0)")))
-    late = wide * F.lit(1_000_000) + micros > F.lit(_MAX_TS)
-    d = d.withColumn("__bad_stamp", F.coalesce(bad_stamp, F.lit(False)))
-    d = d.withColumn("__ts", F.when(F.col("__stamp").isNull(), F.lit(0)).when(~F.col("__bad_stamp") & ~late, F.expr("try_cast(__seconds AS BIGINT)") * 1_000_000 + micros))
-
-    d = d.withColumn("__id", F.regexp_extract("__last", r"^([^#]*)#", 1)).withColumn("__rest", F.regexp_extract("__last", r"^[^#]*#(.*)$", 1))
-    plain = F.regexp_replace(F.regexp_replace("__id", r"^\+", ""), "^0+(?=.)", "")
-    hexed = F.col("__id").rlike(r"^\+?[0-9A-Fa-f]+$") & (F.length(plain) <= 8)
-    d = d.withColumn("__raw", F.when(hexed, F.conv(plain, 16, 10).cast("long"))).withColumn("__short", F.length("__id") <= 3)
-    d = d.withColumn("__fd", F.startswith("__rest", F.lit("#")))
-    d = d.withColumn("__hex", F.when(F.col("__fd"), F.substring("__rest", 3, 1 << 30)).otherwise(F.regexp_extract("__rest", r"^([^_]*)", 1)))
-    code = F.when(~F.col("__fd") & F.contains("__rest", F.lit("_")), F.regexp_extract("__rest", r"^[^_]*_(.*)$", 1))
-    d = d.withColumn("__code", code)
-    digits = F.regexp_replace(F.regexp_replace("__code", r"^\+", ""), "^0+(?=.)", "")
-    d = d.withColumn("__dlc", F.when(F.col("__code").rlike(r"^\+?[0-9A-Fa-f]+$") & (F.length(digits) == 1), F.conv(digits, 16, 10).cast("int")))
-    n = F.shiftright(F.length("__hex"), 1)
-    agrees = ((n == 8) & F.col("__dlc").between(9, 15)) | dlc_to_len(F.col("__dlc")).eqNullSafe(n)
-
-    raw, short, fd = F.col("__raw"), F.col("__short"), F.col("__fd")
-    flagged = ~short & (raw.bitwiseAND(F.lit(ERROR_FLAG)) != 0)
-    said = F.concat(F.lit("0x"), F.lower(F.hex(raw)))
-    # the first rule that holds decides: (when, kind, text before and after what it is about, and that)
-    stamp, last, id_, data, bytes_ = F.col("__stamp"), F.col("__last"), F.col("__id"), F.col("__hex"), n.cast("string")
-    about = [F.lit(""), stamp, last, id_, said, data, bytes_, F.col("__code"), F.concat(F.col("__dlc").cast("string"), F.lit(" and "), bytes_)]
-    rules: list[tuple[Column, str, str, int, str]] = [
-        (~F.is_valid_utf8(F.coalesce(F.col("line"), F.lit(""))), "error", NOT_TEXT, 0, ""),
-        (F.size("__t") == 0, "skip", "", 0, ""),
-        (F.col("__bad_stamp"), "error", "no timestamp can be read from `(", 1, ")`"),
-        (F.col("__ts").isNull(), "error", "timestamp ", 1, " is past the last that can be held"),
-        (~F.contains("__last", F.lit("#")), "error", "`", 2, "` has no `#` between identifier and data"),
-        (raw.isNull(), "error", "`", 3, "` is no identifier in hexadecimal digits"),
-        (short & (raw > STANDARD_MAX), "error", "identifier ", 4, " is wider than 11 bits"),
-        (flagged, "skip", "", 0, ""),
-        (~short & (raw > EXTENDED_MAX), "error", "identifier ", 4, " is wider than 29 bits"),
-        (fd & ~F.col("__rest").rlike("^#[0-9A-Fa-f]"), "error", "`##` is not followed by a digit of flags", 0, ""),
-        (~fd & F.startswith("__rest", F.lit("R")), "skip", "", 0, ""),
-        (~F.col("__hex").rlike("^[0-9A-Fa-f]*$"), "error", "`", 5, "` is no data in hexadecimal digits"),
-        (F.length("__hex") % 2 != 0, "error", "`", 5, "` ends in half a byte"),
-        (n > FD_BYTES, "error", "", 6, f" bytes of data are more than the {FD_BYTES} of any frame"),
-        (fd & len_to_dlc(n).isNull(), "error", "frames of ", 6, " byte(s) don't exist"),
-        (~fd & (n > CLASSIC_BYTES), "error", "", 6, f" byte(s) are more than the {CLASSIC_BYTES} of a frame written with one `#`"),
-        (F.col("__code").isNotNull() & F.col("__dlc").isNull(), "error", "`_", 7, "` is no length code"),
-        (F.col("__code").isNotNull() & ~agrees, "error", "length code ", 8, " byte(s) of data disagree"),
-    ]
-    rule = None
-    for i, (when, *_) in enumerate(rules):
-        rule = F.when(when, i) if rule is None else rule.when(when, i)
-    d = d.withColumn("__rule", rule.otherwise(len(rules)))
-    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("__rule"))
-    d = d.withColumn("kind", of([kind for _, kind, *_ in rules] + ["frame"]))
-    said_of = F.concat(of([x[2] for x in rules]), F.get(F.array(*about), of([x[3] for x in rules])), of([x[4] for x in rules]))
-    d = d.withColumn("message", F.when(F.col("kind") == "error", said_of))
-    good = F.col("kind") == "frame"
-    return d.select(
-        *kept, "kind", "message",
-        F.when(good, F.col("__ts")).alias("ts_us"),
-        F.when(good, raw).alias("can_id"),
-        F.when(good, ~short).alias("is_extended"),
-        F.when(good, F.unhex("__hex")).alias("payload"),
-        F.when(good, n).cast("int").alias("len"),
-        F.when(good & F.col("__dlc").between(9, 15) & (n == 8), F.col("__dlc")).cast("int").alias("len8_dlc"),
-    )
+    line = F.coalesce(F.col("line"), F.lit(""))
+    parsed = F.when(line.rlike(_PLAIN), _plain_line(line)).otherwise(_odd_line(line))
+    return lines.select(*[F.col(c) for c in lines.columns], F.inline(F.array(parsed)))
 
 
 def _lines(reader, path: str) -> DataFrame:
