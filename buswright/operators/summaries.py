@@ -160,6 +160,21 @@ def monotonic_violations(decoded: DataFrame) -> DataFrame:
     return found.where("kind = 0").select(*names).unionByName(edges.select(*names))
 
 
+def panels(decoded: DataFrame, start_us: int, end_us: int, columns: int) -> DataFrame:
+    """What a plot of each signal over a span needs, in pixel columns: message, signal, column, n, minimum, maximum, first, last.
+
+    One aggregate, and at most ``columns`` rows a signal however long the log: a
+    line through first, minimum, maximum and last of each column looks as one
+    through all values. Columns without values have no row.
+    """
+    width = (end_us - start_us) // columns + 1
+    at, order = F.call_function("div", F.col("ts_us") - F.lit(start_us), F.lit(width)), F.struct("ts_us", "seq")
+    inside = decoded.where("status = 'ok'").where(F.col("ts_us").between(start_us, end_us))
+    return inside.groupBy("message", "signal", at.alias("column")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last")
+    )
+
+
 def carried_signals(decoded: DataFrame) -> DataFrame:
     """The distinct (can_id, signal) that gave a value."""
     return decoded.where("status = 'ok'").select("can_id", "signal").distinct()

@@ -14,7 +14,7 @@ from buswright.operators import check, decode, encode, resample, summaries
 from buswright.plans import compiled
 from buswright.session import scratch
 from buswright.sinks import ld, text
-from buswright.sources import candump
+from buswright.sources import candump, generator
 from buswright.sources.dbc import Signal, parse_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,6 +440,51 @@ def monotonic_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.monotonic_violations(decode.decode_frames(_frames(spark, sf_dir), demo.catalog()))
 
 
+_PIXELS = 200
+
+
+@query(f"""WITH {_F}, {_D}, s AS (SELECT min(ts_us) AS a, (max(ts_us) - min(ts_us)) // {_PIXELS} + 1 AS w FROM frames)
+SELECT message, signal, CAST((ts_us - a) // w AS BIGINT) AS "column", count(*) AS n, min(value) AS minimum, max(value) AS maximum,
+       arg_min(value, (ts_us, seq)) AS "first", arg_max(value, (ts_us, seq)) AS "last" FROM decoded, s WHERE status = 'ok' GROUP BY ALL""")
+def plot_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    about = resample.span(f).first()
+    return summaries.panels(decode.decode_frames(f, demo.catalog()), about.start_us or 0, about.end_us or 0, _PIXELS)
+
+
+_TURNS = 15
+
+
+def _generated_sql() -> str:
+    """Expected raw values of each signal, by the formula of its wave, without any payload."""
+    sent, cases = generator.sent(demo.catalog()), []
+    for i, m in enumerate(sent):
+        shown = generator.pages(m)
+        for s in m.signals:
+            top, a, b, c = generator.wave(m.name, s.name, s.length)
+            raw, on = f"abs((c_custkey * {a} + t * {b} + {c}) % {2 * top} - {top})", "true"
+            if s.mux_kind == "M":
+                raw = f"{shown}[(c_custkey + t) % {len(shown)} + 1]"
+            if s.mux_kind == "m":
+                on = f"(c_custkey + t) % {len(shown)} = {shown.index(s.mux_page)}"
+            cases.append(f"SELECT '{m.name}' AS message, '{s.name}' AS signal, t * {len(sent)} + {i} AS n, {raw} AS raw FROM c WHERE {on}")
+    return f"""WITH c AS (SELECT c_custkey, unnest(range({_TURNS})) AS t FROM customer), r AS ({" UNION ALL ".join(cases)})
+SELECT message, signal, count(*) AS n, CAST(sum(raw) AS BIGINT) AS raws, CAST(max(n) * 1000 AS BIGINT) AS last_us FROM r GROUP BY message, signal"""
+
+
+@query(_generated_sql())
+def generated_log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log made for each customer, as lines of text, parsed and decoded."""
+    c, sent = spark.read.parquet(f"{sf_dir}/customer.parquet"), len(generator.sent(demo.catalog()))
+    # the table is one row group, which one task reads, and each row becomes many
+    c = c.select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    made = generator.generate(c.select(F.col("c_custkey").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(_TURNS * sent - 1))).alias("n")), demo.catalog())
+    line = candump.log_line(F.col("ts_us"), F.col("can_id"), F.col("is_extended"), F.col("payload"), F.col("len8_dlc"))
+    frames = candump.parse_lines(made.select("seq", "line_no", line.alias("line"))).where("kind = 'frame'")
+    decoded = decode.decode_frames(frames, demo.catalog()).where("status = 'ok'")
+    return decoded.groupBy("message", "signal").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raws"), F.max("ts_us").alias("last_us"))
+
+
 @query(f"WITH {_F}, {_D} SELECT DISTINCT can_id, signal FROM decoded WHERE status = 'ok'")
 def carried_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.carried_signals(decode.decode_frames(_frames(spark, sf_dir), demo.catalog()))
