@@ -98,17 +98,16 @@ def bus(spark, folder, **options):
 
 
 def send(folder, frames, pause=0.0):
-    """Send frames once a receiver is there."""
+    """Send frames once a receiver is there; give up a little after it has gone."""
     out = socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM)
     until = time.monotonic() + 60
     for frame in frames:
-        while True:
+        while time.monotonic() < until:
             try:
                 out.sendto(frame, f"{folder}/bus")
+                until = time.monotonic() + 5
                 break
             except OSError:
-                if time.monotonic() > until:
-                    raise
                 time.sleep(0.05)
         time.sleep(pause)
     out.close()
