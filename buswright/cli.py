@@ -101,6 +101,7 @@ def check_command(args: argparse.Namespace) -> int:
     catalog = load_catalog(args.dbc)
     problems = [r.text for r in check(session(), catalog).collect()]
     show(problems)
+    # fixed values, as in text.tally_text
     print(f"{args.dbc}: {len(catalog)} message(s), {catalog.signal_count} signal(s), {len(problems)} problem(s)")
     return FOUND if problems else 0
 
