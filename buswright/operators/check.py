@@ -9,6 +9,8 @@ from buswright.sources.dbc import Catalog
 
 #: Bytes of the longest payload; bits past it are in no frame and aren't compared.
 _BYTES = 64
+#: The slot of signals of no page; pages are at least 0.
+_NO_PAGE = -1
 
 
 def _bytes() -> Column:
@@ -27,25 +29,25 @@ def _bytes() -> Column:
 
 
 def overlaps(signals: DataFrame) -> DataFrame:
-    """Pairs of signals of a message that share a bit and can be in one frame: db, is_extended, can_id, i, j, first, second.
+    """Pairs of signals of a message that share a bit and can be in one frame: db, is_extended, can_id, message, i, j, first, second.
 
-    Signals meet only in bytes that both have bits in, those of a page only with
-    their own page and with signals of no page.
+    Signals meet in one join, only in bytes that both have bits in. Those of a page
+    wait in its slot for others of the page, and once more in the slot of signals of
+    no page, which look there only.
     """
-    key = ["db", "is_extended", "can_id", "byte"]
+    key = ["db", "is_extended", "can_id"]
     page = F.when(F.col("mux_kind") == "m", F.col("mux_page"))
-    rows = signals.select("db", "is_extended", "can_id", F.col("sig_ix").alias("i"), F.col("signal").alias("first"), page.alias("page"), F.inline(_bytes()))
-    other = rows.select(*key, F.col("i").alias("j"), F.col("first").alias("second"), F.col("page").alias("p2"), F.col("mask").alias("m2"))
-    paged, plain = rows.where("page IS NOT NULL"), rows.where("page IS NULL")
-    pairs = [
-        plain.join(other.where("p2 IS NULL"), key),
-        plain.join(other.where("p2 IS NOT NULL"), key),
-        paged.withColumn("p", F.col("page")).join(other.where("p2 IS NOT NULL").withColumn("p", F.col("p2")), [*key, "p"]).drop("p"),
-    ]
-    met = [p.where(F.col("mask").bitwiseAND(F.col("m2")) != 0).where("i != j").select(*key[:3], "i", "j", "first", "second") for p in pairs]
-    # the pairs of a page and none are met from one side
-    turned = met[1].select(*key[:3], F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") < F.col("j"), F.col("first")).otherwise(F.col("second")).alias("first"), F.when(F.col("i") < F.col("j"), F.col("second")).otherwise(F.col("first")).alias("second"))
-    return met[0].where("i < j").unionByName(turned).unionByName(met[2].where("i < j")).dropDuplicates([*key[:3], "i", "j"])
+    slots = F.when(F.col("page").isNull(), F.array(F.lit(_NO_PAGE))).otherwise(F.array(F.col("page").cast("long"), F.lit(_NO_PAGE)))
+    rows = signals.select(*key, "message", F.col("sig_ix").alias("i"), F.col("signal").alias("first"), page.alias("page"), F.inline(_bytes()))
+    one = rows.withColumn("slot", F.coalesce(F.col("page").cast("long"), F.lit(_NO_PAGE)))
+    two = rows.select(*key, "byte", F.explode(slots).alias("slot"), F.col("i").alias("j"), F.col("first").alias("second"), F.col("page").alias("p2"), F.col("mask").alias("m2"))
+    # a signal of no page meets those of pages from its side only, any others meet from both
+    once = (F.col("page").isNull() & F.col("p2").isNotNull()) | (F.col("i") < F.col("j"))
+    met = one.join(two, [*key, "byte", "slot"]).where((F.col("mask").bitwiseAND(F.col("m2")) != 0) & once)
+    ahead = F.col("i") < F.col("j")
+    pair = lambda a, b, name: F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(name)
+    met = met.select(*key, "message", pair("i", "j", "i"), pair("j", "i", "j"), pair("first", "second", "first"), pair("second", "first", "second"))
+    return met.dropDuplicates([*key, "i", "j"])
 
 
 def check_layout(signals: DataFrame) -> DataFrame:
@@ -61,8 +63,7 @@ def check_layout(signals: DataFrame) -> DataFrame:
         F.col("signal").alias("first"), F.lit(None).cast("string").alias("second"), "required", "dlc",
         F.concat(F.col("message"), F.lit(": signal `"), F.col("signal"), F.lit("` needs "), F.col("required").cast("string"), F.lit(" byte(s) but the message declares "), F.col("dlc").cast("string")).alias("text"),
     )
-    names = signals.select(*key, "message", F.col("sig_ix").alias("i"))
-    overlap = overlaps(signals).join(names, [*key, "i"]).select(
+    overlap = overlaps(signals).select(
         *key, F.lit(1).alias("rank"), "i", "j", F.lit("overlap").alias("kind"), "message", "first", "second",
         F.lit(None).cast("int").alias("required"), F.lit(None).cast("int").alias("dlc"),
         F.concat(F.col("message"), F.lit(": signals `"), F.col("first"), F.lit("` and `"), F.col("second"), F.lit("` overlap")).alias("text"),

@@ -38,25 +38,26 @@ def decode_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
     return decode_with(frames, signals, catalog.signal_count)
 
 
-def _laid_out(signals: DataFrame) -> DataFrame:
-    """What decoding needs of a table of signals, with the places of each and of its page's selector."""
+def _laid_out(signals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What decoding needs of a table of signals, with the places of each and of its page's selector, and the columns to keep."""
     paged = F.col("has_mux") & F.coalesce(F.col("mux_kind") == "m", F.lit(False))
     return signals.select(
         *_KEY, "message", "sig_ix", "signal", "length", "is_signed", "factor", "offset", "unit", "labels", "required",
         placement(F.col("start_bit"), F.col("length"), F.col("is_motorola")).alias("place"),
         paged.alias("paged"), "mux_page", "mux_required",
-        F.when(paged, placement(F.col("mux_start"), F.col("mux_length"), F.col("mux_motorola"))).alias("mux_place"),
+        F.when(paged, placement(F.col("mux_start"), F.col("mux_length"), F.col("mux_motorola"))).alias("mux_place"), *keep,
     )
 
 
-def decode_with(frames: DataFrame, signals: DataFrame, count: int | None = None) -> DataFrame:
+def decode_with(frames: DataFrame, signals: DataFrame, count: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """:func:`decode_frames` with a table of signals, such as one of many databases.
 
     Up to :data:`BROADCAST_SIGNALS` of them are sent to all tasks; where ``count``
-    isn't given Spark judges by their size.
+    isn't given Spark judges by their size. Columns of ``signals`` named in ``keep``
+    come last in the result.
     """
     at = frames.select("seq", "ts_us", *_KEY, F.length("payload").alias("available"), payload_words(F.col("payload")).alias("words"))
-    laid = _laid_out(signals)
+    laid = _laid_out(signals, keep)
     at = at.join(laid if count is None else small(laid, count), _KEY)
     selected = (F.col("mux_required") <= F.col("available")) & (placed_raw(F.col("words"), F.col("mux_place")) == F.col("mux_page"))
     at = at.where(~F.col("paged") | F.coalesce(selected, F.lit(False)))
@@ -67,7 +68,7 @@ def decode_with(frames: DataFrame, signals: DataFrame, count: int | None = None)
         "unit",
         label(F.col("raw"), F.col("length"), F.col("is_signed"), F.col("labels")).alias("label"),
         F.when(F.col("raw").isNull(), "unfit").otherwise("ok").alias("status"),
-        "required", "available",
+        "required", "available", *keep,
     )
 
 

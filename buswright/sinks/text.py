@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 
 from buswright.functions.frames import declared_dlc, id_text, timestamp_text
 from buswright.functions.values import unsigned_text
-from buswright.operators.decode import decode_frames, known_frames, small
-from buswright.sources.dbc import Catalog, Signal
+from buswright.operators.decode import decode_with, known_frames
+from buswright.sources.dbc import Catalog
 
 #: Decimals of values that are formatted without Python.
 MOST_DECIMALS = 6
@@ -57,27 +57,29 @@ def _quoted(catalog: Catalog) -> Catalog:
     return Catalog([replace(m, name=csv_field(m.name), signals=signals(m)) for m in catalog], catalog.name)
 
 
-def _simple(s: Signal, most: int) -> bool:
-    """Whether :func:`value_text` may take a signal's values: whole ones under 2**63, others that doubles hold to ``most`` decimals."""
-    largest = (1 << s.length) * abs(s.factor) + abs(s.offset)
-    return largest < 1 << 62 if s.precision == 0 else s.precision <= most and largest * 10**most < 1 << 50
+def _simple(most: int) -> Column:
+    """Whether :func:`value_text` may take a signal's values: whole ones under 2**62, others that doubles hold to ``most`` decimals."""
+    largest = F.pow(F.lit(2.0), F.col("length")) * F.abs("factor") + F.abs("offset")
+    return F.when(F.col("precision") == 0, largest < float(1 << 62)).otherwise((F.col("precision") <= most) & (largest * 10.0**most < float(1 << 50)))
 
 
 def _shown(frames: DataFrame, catalog: Catalog) -> DataFrame:
     """Values of all signals that fit, as text.
 
-    Only where a catalog has signals whose values can't be formatted without Python
-    are the frames decoded a second time, for these.
+    How a signal's values are formatted is a column of the catalog's rows. Only
+    signals whose values can't be formatted without Python are decoded in a pass
+    of their own.
     """
-    places = [(m.can_id, m.is_extended, i, s) for m in catalog for i, s in enumerate(m.signals)]
-    most = max((s.precision for *_, s in places if s.precision <= MOST_DECIMALS), default=0)
-    out = decode_frames(frames, catalog).where("status = 'ok'")
-    about = frames.sparkSession.createDataFrame([(c, e, i, s.precision, _simple(s, most)) for c, e, i, s in places], "can_id long, is_extended boolean, sig_ix int, precision int, simple boolean")
-    out = out.join(small(about, catalog.signal_count), ["can_id", "is_extended", "sig_ix"])
-    simple = out.where("simple").withColumn("shown", value_text(F.col("value"), F.col("precision"), most))
-    if all(_simple(s, most) for *_, s in places):
+    precisions = [s.precision for m in catalog for s in m.signals]
+    most = max((p for p in precisions if p <= MOST_DECIMALS), default=0)
+    signals = catalog.signals(frames.sparkSession).withColumn("simple", _simple(most))
+    odd = signals.where("NOT simple")
+    simple = decode_with(frames, signals.where("simple"), len(precisions), ("precision",)).where("status = 'ok'")
+    simple = simple.withColumn("shown", value_text(F.col("value"), F.col("precision"), most))
+    if odd.isEmpty():
         return simple
-    return simple.unionByName(out.where("NOT simple").withColumn("shown", any_value_text("value", "precision")))
+    odd = decode_with(frames, odd, len(precisions), ("precision",)).where("status = 'ok'")
+    return simple.unionByName(odd.withColumn("shown", any_value_text("value", "precision")))
 
 
 def csv_rows(frames: DataFrame, catalog: Catalog) -> DataFrame:
