@@ -130,8 +130,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, total: int = ALL_SAMPLES) -> Id
     """Learn from text and lang of documents outside the held-out fold, about ``sample``
     of each language and ``total`` of all; None where there is nothing to learn from. The
     sample's profiles, 8 kB a document, come to the driver. Rows without doc_id,
-    lang, text or a letter teach nothing; of rows that repeat a doc_id and lang all
-    that were drawn together count, twice the sample at the most."""
+    lang, text or a letter teach nothing; of rows that repeat a doc_id and lang the
+    one with the smallest profile teaches."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     known = sampled(known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang"), "lang", sample, total).distinct()
     # about ``total`` rows of two values at the most
@@ -142,7 +142,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, total: int = ALL_SAMPLES) -> Id
             rows = [r.astype(np.float16).tobytes() for r in profiles(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "profile"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, lang string, profile binary").limit(2 * total).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = chosen.mapInArrow(run, "doc_id long, lang string, profile binary").groupBy("doc_id", "lang").agg(F.min("profile").alias("profile"))
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)

@@ -171,8 +171,8 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 400) -> Ne
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network:
     """Learn from labelled documents outside the held-out fold, about ``sample`` of
     either label; their pooled vectors come to the driver. Rows without doc_id or
-    label teach nothing; of rows that repeat a doc_id all that were drawn together
-    count, twice the sample at the most."""
+    label teach nothing; of rows that repeat a doc_id and label the one with the
+    smallest pooled vector teaches."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "quality")
     # about 2 * sample rows of two integers
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(known, "quality", sample).distinct()), "doc_id")
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             rows = [r.tobytes() for r in pooled(part.column("text"), held.value)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").limit(4 * sample).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 2 * WIDTH + 4)
     order = np.random.default_rng(1).permutation(len(x))
     return fit(x[order], np.array(rows.column("quality").to_pylist(), dtype=int)[order])

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buswright.llm.common import looked_up, lower_ascii, materialise, mixed, row_starts, scratch, slices, table, utf8, word_bounds
+from buswright.llm.common import looked_up, lower_ascii, materialise, mixed, release, row_starts, scratch, slices, table, utf8, word_bounds
 from buswright.llm.wordcache import WordCache
 
 END_ID = 1
 WINDOW, MASK = 16, 511
 SHORTEST, LONGEST = 128, 4096
-#: Documents of a part, about, where there are more of them than shuffle partitions take.
-PART_ROWS = 500_000
+#: Documents of a part, about, where there are more of them than shuffle partitions take, and its chunks, about, in smaller stores.
+PART_ROWS, PART_CHUNKS = 500_000, 20_000
 #: The preparation of text that encoding by words relies on; a tokenizer with another one gets whole texts.
 _PREPARED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -239,7 +239,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Encode ``docs`` (doc_id, text) into a store at ``path`` and return the store's root in hex.
 
     Very long texts are cut into as many chunks as they need. Other columns are
-    left out, whatever their names.
+    left out, whatever their names. ``path`` gets the three tables alone.
 
     Null and empty texts hold the end id alone. Rows that repeat a doc_id are
     documents of their own, in the order of their lengths and chunk ids; a null
@@ -247,14 +247,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     one row a part, comes to the driver.
     """
     spark = docs.sparkSession
-    _encoded(docs, tokenizer).write.option("compression", "zstd").parquet(f"{path}/encoded")
-    encoded = spark.read.parquet(f"{path}/encoded")
+    # every document's chunks with their bodies: gone as soon as chunks and recipes are written
+    encoded = materialise(_encoded(docs, tokenizer), "token-bodies", "zstd")
     chunks = encoded.select(F.explode(F.arrays_zip("chunk_ids", "sizes", "bodies")).alias("c")).select("c.chunk_ids", "c.sizes", "c.bodies").toDF("chunk_id", "n", "body")
     # copies are combined in each task before the shuffle
     chunks.distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), encoded.count() // PART_ROWS)
-    recipes = encoded.drop("bodies").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "chunk_ids")
-    recipes.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunk_ids", "sizes").write.parquet(f"{path}/recipes")
+    total = encoded.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("sizes")), F.lit(0)).alias("chunks")).first()
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total.chunks // PART_CHUNKS), total.rows // PART_ROWS)
+    # rows that repeat a doc_id are parted too: by size, first chunk and, where that is all, by chance, since equal rows have no order
+    order = ["doc_id", "n_tokens", "chunk_ids"]
+    recipes = encoded.drop("bodies").withColumn("first", F.col("chunk_ids")[0]).withColumn("chance", F.when(F.size("chunk_ids") > 1, F.lit(2.0)).otherwise(F.rand(5)))
+    recipes = recipes.repartitionByRange(parts, "doc_id", "n_tokens", "first", "chance").sortWithinPartitions(*order)
+    recipes.select(F.spark_partition_id().alias("part"), *order, "sizes").write.parquet(f"{path}/recipes")
+    release(encoded)
     rows = sorted(_roots(_ordered(spark.read.parquet(f"{path}/recipes"))).collect())
     top, first, manifest = Merkle(), 0, []
     for part, documents, tokens, root in rows:
