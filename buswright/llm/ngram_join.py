@@ -24,9 +24,16 @@ of its documents go that can link with no other of it: a document's reach is how
 tokens any other may have at all, and two documents of reach r and s share
 min(r, s) tokens at the most. That ends lists of a passage that many otherwise
 different texts have. The documents that the lists left over connect form a group, and
-those outside its largest component are compared with all others of it; in large
-groups in blocks, by matrix products that give links and not pairs. So a group
-of n near copies costs about n comparisons, and no link between components is missed.
+those outside its largest component are compared with all others of it. Where these
+are one block of documents at the most, that is a matrix product a block of the group,
+which gives links and not pairs. So a group of n near copies costs about n comparisons.
+Groups of more, as of texts put together from the same passages in other ways, are
+indexed again, by parts of their sets. Sets that link differ in few tokens; dealt by hash into
+somewhat more parts than that, they have many equal parts. Parts come in
+groups of eight, as many as make two equal parts fall into one group, and pairs of
+parts are indexed: some nine tokens of each set, which unlike texts seldom have all in
+common. Of the pairs that meet there those with too many unequal parts go before whole sets
+are compared. No link between components is missed.
 
 Tokens are 64-bit hashes of n-grams while candidates are searched; a set's name and
 the verification of a link use a second, independent hash besides.
@@ -52,6 +59,8 @@ _BROADCAST_ROWS = 2_000_000
 _SMALL_GROUP, _BLOCK = 64, 1024
 #: Tokens of all documents of a block, about.
 _BLOCK_TOKENS = 2_000_000
+#: Parts of a set that are indexed in pairs, the most parts that a sketch has, and index entries that a task makes at a time.
+_TOGETHER, _SKETCH, _ENTRIES = 8, 4096, 500_000
 _QUARTER = np.uint64(1) << np.uint64(62)
 
 
@@ -129,7 +138,7 @@ def _classes(sets: DataFrame) -> DataFrame:
     """sig_a, sig_b, low, doc_id, n, counted: a row for each distinct set, low its smallest doc_id and doc_id
     the smallest of those that have its tokens."""
     with_tokens = F.when(F.col("tokens").isNotNull(), F.col("doc_id"))
-    return sets.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("low"), F.min(with_tokens).alias("doc_id"), F.min("n").alias("n"), F.min("counted").alias("counted"))
+    return sets.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("low"), F.min(with_tokens).alias("doc_id"), F.min("n").alias("n"), F.min("counted").alias("counted"), F.count(F.lit(1)).alias("copies"))
 
 
 def signatures(n: int, need: int, counts: np.ndarray, tokens: np.ndarray, rule: Rule) -> np.ndarray:
@@ -282,8 +291,8 @@ def _rest(docs: DataFrame, shared: DataFrame, named: DataFrame, rule: Rule) -> D
 
     ``shared`` are the index entries that several documents have. Documents that
     open lists connect form a group. In a group, the documents outside its largest
-    component are compared with all others: pair by pair in small groups, in blocks
-    of documents in large ones.
+    component are compared with all others: pair by pair in small groups, as one block
+    with blocks of all in larger ones, by an index of parts where they are many.
     """
     entries = shared.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "n", "own", "reach", F.coalesce("component", "doc").alias("component"))
     entries = materialise(entries, "ngram-entries")
@@ -319,8 +328,11 @@ def _rest(docs: DataFrame, shared: DataFrame, named: DataFrame, rule: Rule) -> D
     pairs = pairs.where((F.col("component") != F.col("other")) & _may_link(F.col("n"), F.col("m"), F.col("reach"), F.col("far"), rule))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     many = members.where(F.col("all") > _SMALL_GROUP)
-    if many.limit(1).count():
-        pairs = pairs.union(_blocks(docs, many, rule))
+    alike, mixed_up = many.where("rows = 1"), many.where("rows > 1")
+    if alike.limit(1).count():
+        pairs = pairs.union(_blocks(docs, alike, rule))
+    if mixed_up.limit(1).count():
+        pairs = pairs.union(_by_parts(docs, mixed_up, rule))
     links = _verified(docs, materialise(pairs.distinct(), "ngram-rest"), rule)
     release(entries, members)
     return links
@@ -372,6 +384,101 @@ def block_links(block: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64())})
 
 
+def size_bands(most: int) -> np.ndarray:
+    """First sizes of the bands of sizes up to ``most``, each a tenth above the one before."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, edges[-1] * 11 // 10))
+    return np.array(edges, np.int64)
+
+
+def most_unequal(n: int, m: int, rule: Rule) -> int:
+    """The most tokens that only one of two sets of these sizes has, if they link."""
+    return (n + m) * (100 - rule.percent) // (100 + rule.percent)
+
+
+def set_parts(keys: np.ndarray, rule: Rule) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Of a set's tokens, for each band that the smaller set of a link may be in: the band, whether the
+    set is in it itself, a sketch of 16 bits a part, and the index entries.
+
+    Two sets that link have an entry in common in the band of the smaller. They
+    differ in d tokens at the most and have as many unequal parts at the most; of 8 k
+    parts in k groups, with 7 k > d, more than k are equal, so two of one group are.
+    """
+    n = len(keys)
+    edges = size_bands(n)
+    band = lambda size: int(np.searchsorted(edges, size, side="right")) - 1
+    one, two = np.triu_indices(_TOGETHER, 1)
+    values, places = mixed(keys + np.uint64(0x2545F491)), mixed(keys ^ np.uint64(0x9E3779B9))
+    for b in range(band(-(-n * rule.percent // 100)), band(n) + 1):
+        top = int(edges[b + 1]) - 1
+        groups = most_unequal(top, top * 100 // rule.percent, rule) // (_TOGETHER - 1) + 1
+        count = groups * _TOGETHER
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, (places % np.uint64(count)).astype(np.int64), values)
+        sums = mixed(sums + np.uint64(b << 32) + mixed(np.arange(count, dtype=np.uint64)))
+        grid = sums.reshape(groups, _TOGETHER)
+        entries = mixed(mixed(grid[:, one]) + grid[:, two]).ravel()
+        yield b, b == band(n), sums[:_SKETCH].astype(np.uint16), entries
+
+
+def _by_parts(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of documents outside their group's main component with others that have two parts of a set in
+    common and don't differ in more parts than sets that link may."""
+    sets = _whole_sets(docs, members.select(F.col("doc").alias("doc_id")), rule)
+    placed = members.select("doc", "component", "odd").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            lists = batch.column(3)
+            for i, (doc, component, odd) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                keys = np.asarray(lists[i].values).view(np.uint64)
+                for b, own, sketch, entries in set_parts(keys, rule):
+                    rows.append((doc, component, odd, len(keys), b, own, sketch.tobytes(), entries.view(np.int64)))
+                    held += len(entries)
+                if held > _ENTRIES:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc", "component", "odd", "n", "band", "own", "sketch", "sigs"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    schema = "doc long, component long, odd boolean, n long, band int, own boolean, sketch binary, sigs array<long>"
+    parts = materialise(placed.mapInArrow(cut, schema), "ngram-parts")
+    entries = parts.select("doc", "component", "odd", "n", "band", "own", F.explode("sigs").alias("sig"))
+    odd = entries.where("odd").select("sig", F.col("doc").alias("a"), "component", "n", "own", "band")
+    other = entries.select("sig", F.col("doc").alias("b"), F.col("component").alias("met"), F.col("n").alias("m"), F.col("own").alias("home"))
+    pairs = odd.join(other, "sig").where((F.col("component") != F.col("met")) & (F.col("own") | F.col("home")))
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent)
+    met = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct(), "ngram-met")
+    pairs = met
+    for end, size, sketch in (("a", "n", "x"), ("b", "m", "y")):
+        pairs = pairs.join(parts.select(F.col("doc").alias(end), "band", F.col("n").alias(size), F.col("sketch").alias(sketch)), [end, "band"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(4), batch.column(5)
+            if batch.num_rows:
+                limit = most_unequal(batch.column(2).to_numpy(), batch.column(3).to_numpy(), rule)
+                yield batch.select([0, 1]).filter(pa.array(unequal(x, y) <= limit))
+
+    found = materialise(pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "ngram-near")
+    release(sets, parts, met)
+    return found
+
+
+def unequal(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many parts each two sketches differ."""
+    sizes = np.array([len(s) // 2 for s in x.to_pylist()], np.int64)
+    one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint16) for c in (x, y))
+    return np.add.reduceat((one != two).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def components_of(docs: DataFrame, index: DataFrame, rule: Rule) -> DataFrame:
     """(node, component) of the documents that link with another in a list of ``index``, as ENTRIES."""
     lists = index.groupBy("sig").agg(F.min(F.struct("own", "doc", "n", "reach")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -405,10 +512,15 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     named = components_of(docs, index, rule)
     release(index)
-    classes = _classes(known).join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", "low", F.coalesce("component", "doc_id").alias("name"))
-    lowest = classes.groupBy("name").agg(F.min("low").alias("component"))
-    classes = classes.join(lowest, "name").select("sig_a", "sig_b", "component")
-    out = sets.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"], "left")
+    classes = _classes(known).join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    classes = materialise(classes.select("sig_a", "sig_b", "low", "copies", F.coalesce("component", "doc_id").alias("name")), "ngram-classes")
+    lowest = classes.groupBy("name").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("classes"))
+    # very many classes may be one component, and very many rows one class
+    classes = looked_up(classes, lowest, ["name"], "classes", classes.count()).select("sig_a", "sig_b", "copies", "component")
+    rows = sets.select("doc_id", "n", "sig_a", "sig_b")
+    out = looked_up(rows.where("n > 0"), classes, ["sig_a", "sig_b"], "copies", sets.count(), "left").select("doc_id", "n", "component")
+    # texts without words are no class
+    out = out.union(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long")))
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")), "ngram-result")
     release(sets)
