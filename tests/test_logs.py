@@ -175,3 +175,17 @@ def test_databases_of_a_table_are_parsed_or_are_errors(spark):
     assert sorted(r.db for r in errors.collect()) == ["bad", "bytes", "none"]
     labelled = LAMP + 'VAL_ 77 Dim 1 "Half" 2 "Whole" ;\n'
     assert parse_texts(spark.createDataFrame([("x", labelled)], "db string, content string"))[1].select(F.col("labels")).first()[0] == {1: "Half", 2: "Whole"}
+
+
+def test_overlaps_are_shuffled_whatever_the_size_of_the_signals_table(spark, tmp_path):
+    Catalog([Message(1, False, "M", 8, "", (Signal("A", 0, 8), Signal("B", 4, 8)))]).signals(spark).write.parquet(str(tmp_path / "s"))
+    found = check.overlaps(spark.read.parquet(str(tmp_path / "s")))
+    assert [(r.first, r.second) for r in found.collect()] == [("A", "B")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_databases_are_kept_a_row_a_message_and_a_signal(spark):
+    body = "".join(f'BO_ {i} M{i}: 8 X\n SG_ A : 0|8@1+ (1,0) [0|0] "" X\n SG_ B : 8|8@1+ (1,0) [0|0] "" X\n' for i in range(1500))
+    messages, signals, errors = parse_texts(spark.createDataFrame([(f"d{i}", body) for i in range(3)] + [("bad", "SG_ A")], "db string, content string"))
+    assert (messages.count(), signals.count(), errors.count()) == (4500, 9000, 1)
+    assert spark.read.parquet(*signals.inputFiles()).count() == 4500 + 9000 + 1
