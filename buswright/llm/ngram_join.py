@@ -28,7 +28,9 @@ those outside its largest component are compared with all others of it. Where th
 are one block of documents at the most, that is a matrix product a block of the group,
 which gives links and not pairs. So a group of n near copies costs about n comparisons.
 Groups of more, as of texts put together from the same passages in other ways, are
-indexed again, by parts of their sets. Sets that link differ in few tokens; dealt by hash into
+indexed again. First those leave that can link with none: two sets differ by what each has of
+its own against one set of the group, its pivot, less twice what they share of that. Then the
+others are indexed by parts of their sets. Sets that link differ in few tokens; dealt by hash into
 somewhat more parts than that, they have many equal parts. Parts come in
 groups of eight, as many as make two equal parts fall into one group, and pairs of
 parts are indexed: some nine tokens of each set, which unlike texts seldom have all in
@@ -59,8 +61,10 @@ _BROADCAST_ROWS = 2_000_000
 _SMALL_GROUP, _BLOCK = 64, 1024
 #: Tokens of all documents of a block, about.
 _BLOCK_TOKENS = 2_000_000
-#: Parts of a set that are indexed in pairs, the most parts that a sketch has, and index entries that a task makes at a time.
-_TOGETHER, _SKETCH, _ENTRIES = 8, 4096, 500_000
+#: Parts of a set that are indexed in pairs, parts of a sketch for each of these, the most that a sketch has, and index entries that a task makes at a time.
+_TOGETHER, _FINER, _SKETCH, _ENTRIES = 8, 8, 4096, 500_000
+#: Times that documents which can link with none leave a group, and significant bits of the sizes by which that is found.
+_LEAVE, _BITS = 2, 6
 _QUARTER = np.uint64(1) << np.uint64(62)
 
 
@@ -183,13 +187,17 @@ def _packed(rows: list[tuple[np.ndarray, int, int, int, int]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*columns, own, reach], names=["sig", "doc", "n", "own", "reach"])
 
 
+def _common(sets: DataFrame) -> DataFrame:
+    """token, doc_id, sets: the tokens that several documents have, and how many."""
+    rows = sets.select("doc_id", F.explode("tokens").alias("token"))
+    return rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "token")
+
+
 def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """sig, doc, n, own, reach: the index entries of each class, own its share of tokens of its own in
     thousandths and reach the number of its tokens that others of such an entry may have."""
     classes = _classes(sets)
-    rows = sets.where("tokens IS NOT NULL").select("doc_id", F.explode("tokens").alias("token"))
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    listed = rows.join(common, "token").groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("tokens"))
+    listed = _common(sets.where("tokens IS NOT NULL")).groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("tokens"))
     # of the documents that stand for a class in their own tasks the smallest goes on
     listed = classes.select("doc_id", "n", "counted").join(listed, "doc_id", "left")
     alone = F.col("counted") - F.coalesce(F.size("tokens"), F.lit(0))
@@ -212,9 +220,7 @@ def _index(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     # documents whose rare tokens don't make a prefix go on into all their other tokens
     short = listed.where(~enough)
     whole = _whole_sets(docs, short.select("doc_id"), rule)
-    rows = whole.select("doc_id", F.explode("tokens").alias("token"))
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    met = rows.join(common, "token").groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("others"))
+    met = _common(whole).groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("others"))
     short = short.join(met, "doc_id", "left").select("doc_id", "n", "need", "own", "alone", "rare.token", F.col("others.sets").alias("sets"), F.col("others.token").alias("other"))
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,23 +425,76 @@ def set_parts(keys: np.ndarray, rule: Rule) -> Iterator[tuple[int, bool, np.ndar
         sums = mixed(sums + np.uint64(b << 32) + mixed(np.arange(count, dtype=np.uint64)))
         grid = sums.reshape(groups, _TOGETHER)
         entries = mixed(mixed(grid[:, one]) + grid[:, two]).ravel()
-        yield b, b == band(n), sums[:_SKETCH].astype(np.uint16), entries
+        # unequal parts are fewer than unequal tokens where two of these fall into one part: seldom, in finer parts
+        fine = np.zeros(count * _FINER, np.uint64)
+        np.add.at(fine, (places % np.uint64(len(fine))).astype(np.int64), values)
+        yield b, b == band(n), mixed(fine[:_SKETCH]).astype(np.uint16), entries
+
+
+def _links_at_most(n: Column, m: Column, away: Column, far: Column, shared: Column, other: Column, rule: Rule) -> Column:
+    """Whether sets of sizes n and m may link that differ from a third set in ``away`` and ``far`` tokens, of which they
+    have no more than the smaller of ``shared`` and ``other`` in common."""
+    unequal = F.floor((n + m) * (100 - rule.percent) / F.lit(100 + rule.percent))
+    return 2 * F.least(shared, other) >= away + far - unequal
+
+
+def _able_members(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """g, doc, component, odd, n, away, shared, tokens of the members that may link with one of another component.
+
+    Sets are seen by what they differ in from their group's pivot, the set with the fewest tokens of its own:
+    ``away`` tokens that only one of both has, of which ``shared`` are so for other members too. Two sets differ in
+    the sum of both but for twice what they share. So texts of one origin with changes of their own, each too many
+    for a link, leave the group without being compared.
+    """
+    rows = members.select("g", "doc", "component", "odd", "n", "reach").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    pivots = rows.groupBy("g").agg(F.min_by("tokens", F.struct((F.col("n") - F.col("reach")) / F.col("n"), "doc")).alias("pivot"))
+    differ = F.concat(F.array_except("tokens", "pivot"), F.array_except("pivot", "tokens"))
+    # such groups have over a block of members, so pivots are few
+    rows = rows.join(F.broadcast(pivots), "g").select("g", "doc", "component", "odd", "n", "tokens", differ.alias("differ"))
+    rows = materialise(rows.withColumn("away", F.size("differ").cast("long")), "ngram-away")
+    for _ in range(_LEAVE):
+        # a token of one group is none of another
+        of_group = rows.select(F.col("doc").alias("doc_id"), F.transform("differ", lambda t: F.xxhash64("g", t)).alias("tokens"))
+        shared = _common(of_group).groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("doc_id", "doc")
+        known = materialise(rows.drop("shared").join(shared, "doc", "left").fillna(0, ["shared"]), "ngram-shared-away")
+        cells = known.groupBy("g", (-_rounded(-F.col("n"))).alias("m"), _rounded(F.col("away")).alias("far"))
+        cells = cells.agg(F.max("shared").alias("any"), F.max(F.when(F.col("odd"), F.col("shared"))).alias("odd"))
+        cells = cells.groupBy("g").agg(F.collect_list(F.struct("m", "far", "any", "odd")).alias("cells"))
+
+        def may(c: Column) -> Column:
+            # documents of the main component need one outside it
+            other = F.when(F.col("odd"), c["any"]).otherwise(c["odd"])
+            m = F.least(c["m"], F.floor(F.col("n") * 100 / rule.percent))
+            link = _links_at_most(F.col("n"), m, F.col("away"), c["far"], F.col("shared"), other, rule)
+            return other.isNotNull() & (c["m"] * 100 >= F.col("n") * rule.percent) & link
+
+        left = materialise(known.join(F.broadcast(cells), "g").where(F.exists("cells", may)).drop("cells"), "ngram-left")
+        release(rows, known)
+        rows = left
+    return rows
+
+
+def _rounded(size: Column) -> Column:
+    """A size, or its negative, with ``_BITS`` significant bits, rounded down."""
+    beyond = F.greatest(F.length(F.bin(F.abs(size))) - _BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, beyond), beyond)
 
 
 def _by_parts(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of documents outside their group's main component with others that have two parts of a set in
     common and don't differ in more parts than sets that link may."""
     sets = _whole_sets(docs, members.select(F.col("doc").alias("doc_id")), rule)
-    placed = members.select("doc", "component", "odd").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    able = _able_members(members, sets, rule)
+    placed = able.select("doc", "component", "odd", "g", "away", "shared", "tokens")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            lists = batch.column(3)
-            for i, (doc, component, odd) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            lists = batch.column(6)
+            for i, about in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
                 keys = np.asarray(lists[i].values).view(np.uint64)
                 for b, own, sketch, entries in set_parts(keys, rule):
-                    rows.append((doc, component, odd, len(keys), b, own, sketch.tobytes(), entries.view(np.int64)))
+                    rows.append((*about, len(keys), b, own, sketch.tobytes(), entries.view(np.int64)))
                     held += len(entries)
                 if held > _ENTRIES:
                     yield packed(rows)
@@ -444,17 +503,18 @@ def _by_parts(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             yield packed(rows)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
-        names = ["doc", "component", "odd", "n", "band", "own", "sketch", "sigs"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc", "component", "odd", "g", "away", "shared", "n", "band", "own", "sketch", "sigs"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    schema = "doc long, component long, odd boolean, n long, band int, own boolean, sketch binary, sigs array<long>"
+    schema = "doc long, component long, odd boolean, g long, away long, shared long, n long, band int, own boolean, sketch binary, sigs array<long>"
     parts = materialise(placed.mapInArrow(cut, schema), "ngram-parts")
-    entries = parts.select("doc", "component", "odd", "n", "band", "own", F.explode("sigs").alias("sig"))
-    odd = entries.where("odd").select("sig", F.col("doc").alias("a"), "component", "n", "own", "band")
-    other = entries.select("sig", F.col("doc").alias("b"), F.col("component").alias("met"), F.col("n").alias("m"), F.col("own").alias("home"))
-    pairs = odd.join(other, "sig").where((F.col("component") != F.col("met")) & (F.col("own") | F.col("home")))
+    entries = parts.select("doc", "component", "odd", "g", "away", "shared", "n", "band", "own", F.explode("sigs").alias("sig"))
+    odd = entries.where("odd").select("g", "sig", F.col("doc").alias("a"), "component", "n", "own", "band", "away", "shared")
+    other = entries.select("g", "sig", F.col("doc").alias("b"), F.col("component").alias("met"), F.col("n").alias("m"), F.col("own").alias("home"), F.col("away").alias("far"), F.col("shared").alias("other"))
+    pairs = odd.join(other, ["g", "sig"]).where((F.col("component") != F.col("met")) & (F.col("own") | F.col("home")))
     pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent)
+    pairs = pairs.where(_links_at_most(*(F.col(c) for c in ("n", "m", "away", "far", "shared", "other")), rule))
     met = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct(), "ngram-met")
     pairs = met
     for end, size, sketch in (("a", "n", "x"), ("b", "m", "y")):
@@ -468,7 +528,7 @@ def _by_parts(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(unequal(x, y) <= limit))
 
     found = materialise(pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "ngram-near")
-    release(sets, parts, met)
+    release(sets, able, parts, met)
     return found
 
 

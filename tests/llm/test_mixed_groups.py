@@ -75,3 +75,37 @@ def test_bands_cover_every_size_once():
     edges = ngram_join.size_bands(5000)
     assert edges[0] == 1 and edges[-1] > 5000 and (np.diff(edges) > 0).all()
     assert (edges[1:] <= np.maximum(edges[:-1] + 1, edges[:-1] * 1.1)).all()
+
+
+def edited(r, count, words, edits):
+    """Texts of one origin with so many words of each changed, apart, and the origin."""
+    base = [f"b{r.randrange(10**6)}" for _ in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, count):
+        copy = list(base)
+        for k in r.sample(range(2, words - 2, 5), edits(i)):
+            copy[k] = f"e{r.random()}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_texts_of_one_origin_too_far_apart_make_few_pairs(spark):
+    # of 147 tokens a change takes four and brings four: links differ in 23 at the most, these in 32, or 24 where changes meet
+    rule, rows = ngram_join.Rule(), edited(random.Random(8), 120, 150, lambda i: 1 if i % 2 else 3)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    members = [(0, i, 147, 147, 0 if i % 2 or not i else i, i % 2 == 0 and i > 0) for i, _ in rows]
+    members = spark.createDataFrame(members, "g long, doc long, n long, reach long, component long, odd boolean")
+    assert ngram_join._by_parts(d, members, rule).count() <= len(rows)
+
+
+def test_members_that_link_stay_in_their_group(spark):
+    r, rule = random.Random(4), ngram_join.Rule()
+    rows = scattered(r, 60) + [(i + 500, t) for i, t in edited(r, 60, 90, lambda i: i % 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = ngram_join._whole_sets(d, d.select("doc_id"), rule)
+    held = {x.doc_id: set(x.tokens) for x in sets.collect()}
+    members = spark.createDataFrame([(int(i >= 500), i, len(t), len(t) - i % 3, i, i % 5 > 0) for i, t in held.items()], "g long, doc long, n long, reach long, component long, odd boolean")
+    left = {x.doc for x in ngram_join._able_members(members, sets, rule).collect()}
+    link = lambda a, b: 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])
+    linked = {x for a in held for b in held if a < b and (a >= 500) == (b >= 500) and (a % 5 or b % 5) and link(a, b) for x in (a, b)}
+    assert linked and linked <= left and len(left) < len(held)
